@@ -5,7 +5,8 @@ from __future__ import annotations
 from .chat import OP8_SQL, op8_chat_format
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP9_SQL, op9_mixing
+from .near_dedup import op1_near_dedup
 from .packing import op6_packing
 
-QUERIES = {f.__name__: f for f in (op6_packing, op8_chat_format, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op6_packing, op8_chat_format, op9_mixing, op10_exact_dedup)}
 ORACLE = {"op8_chat_format": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
