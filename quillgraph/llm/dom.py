@@ -98,8 +98,16 @@ class Forest:
         at = links = 0
         node = root
 
+        def begin() -> None:
+            """A body of its own for content that comes before any."""
+            nonlocal node
+            node = self._node(root, "body", "")
+            stack.append(("body", node))
+
         def text(piece: str) -> None:
             if piece:
+                if len(stack) == 1 and not piece.isspace():
+                    begin()
                 if "&" in piece:
                     piece = html.unescape(piece)
                 block.append((node, piece))
@@ -119,6 +127,8 @@ class Forest:
                 continue
             tag = tag.lower()
             inline = tag in _INLINE
+            if len(stack) == 1 and not m[2] and tag not in ("html", "head", "body", "meta", "link", "base"):
+                begin()
             if m[2]:
                 if tag == "a":
                     links = max(0, links - 1)
@@ -159,7 +169,7 @@ class Forest:
             links = 0
             if tag in _VOID:
                 continue
-            if tag == "html":
+            if tag == "html" or tag == "body" and len(stack) > 1:
                 continue
             while len(stack) > 1 and stack[-1][0] in _INLINE:
                 stack.pop()

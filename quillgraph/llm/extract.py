@@ -131,10 +131,14 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
                 out.append(plain(r.choice(["h2", "h3"]), 1, words(r.randint(1, 7))))
             elif x < 0.9:
                 out.append(plain(r.choice(["ul", "ol"]), 1, "".join(plain("li", 1, words(r.randint(2, 20))) for _ in range(r.randint(2, 6)))))
-            elif x < 0.95:
+            elif x < 0.93:
                 out.append(plain("blockquote", 1, plain("p", 1, words(n))))
-            else:
+            elif x < 0.94:
                 out.append(plain(r.choice(["pre", "figcaption", "div"]), 1, words(n)))
+            elif x < 0.955:
+                out.append(plain("table", 1, "".join(plain("tr", 1, "".join(plain("td", 1, words(length(3))) for _ in range(3))) for _ in range(3))))
+            else:
+                out.append("<br>".join(words(n) for _ in range(r.randint(1, 4))))
         for _ in range(r.choice([0, 0, 1, 2])):
             out.insert(r.randint(0, len(out)), noise(r.choice(["ad", "share", "aside", "notice", "form", "nav"])))
         if r.random() < 0.15:
@@ -152,6 +156,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         return inner
 
     pages = []
+    for _ in range(n // 8):  # fragments and plain texts
+        pages.append(r.choice([article(), "".join(body_blocks()), f'<body y="1">{words(length(5))}</body>', f'<body y="1">{words(length(4))}<br>{words(length(5))}</body>', f'<body y="1">{words(length(4))}{plain("p", 1, words(length(5)))}</body>']))
     for _ in range(n):
         before = [noise(k) for k in r.sample(["nav", "header", "ad", "notice", "form", "nav"], r.randint(0, 4))]
         after = [noise(k) for k in r.sample(["footer", "aside", "comments", "ad", "share", "notice", "form", "nav", "footer"], r.randint(0, 5))]
