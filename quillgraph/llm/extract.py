@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, workers_see_us
 from .dom import EDGES, FEATURES, Forest
 
-PAGES, STEPS, SEED = 450, 240, 11
+PAGES, STEPS, SEED = 640, 240, 11
 _CHUNK = 1 << 20
 
 
@@ -131,11 +131,11 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
                 out.append(plain(r.choice(["h2", "h3"]), 1, words(r.randint(1, 7))))
             elif x < 0.9:
                 out.append(plain(r.choice(["ul", "ol"]), 1, "".join(plain("li", 1, words(r.randint(2, 20))) for _ in range(r.randint(2, 6)))))
-            elif x < 0.93:
+            elif x < 0.95:
                 out.append(plain("blockquote", 1, plain("p", 1, words(n))))
-            elif x < 0.94:
+            elif x < 0.965:
                 out.append(plain(r.choice(["pre", "figcaption", "div"]), 1, words(n)))
-            elif x < 0.955:
+            elif x < 0.98:
                 out.append(plain("table", 1, "".join(plain("tr", 1, "".join(plain("td", 1, words(length(3))) for _ in range(3))) for _ in range(3))))
             else:
                 out.append("<br>".join(words(n) for _ in range(r.randint(1, 4))))
