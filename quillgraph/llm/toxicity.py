@@ -53,6 +53,19 @@ def word_inputs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.stack(hashed, 1).astype(np.int64), place, first
 
 
+def many_word_inputs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_inputs of any number of texts, a block at a time."""
+    rows, places, firsts, base = [np.zeros((0, INPUTS), np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
+    for a, b in blocks(at, _CHUNK):
+        buckets, place, first = word_inputs(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+        rows.append(buckets)
+        places.append(place + base)
+        firsts.append(first[1:] + firsts[-1][-1])
+        base += len(buckets)
+    distinct, back = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+    return distinct, back.ravel()[np.concatenate(places)], np.concatenate(firsts)
+
+
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place and text of every window: they start each STRIDE words until one reaches the text's end."""
     words = np.diff(first)
@@ -198,12 +211,13 @@ def train_network(texts: list[str], y: np.ndarray, rounds: int = 4, epochs: int
         net.p["out"][:] = 0
         return net
     raw, at = arrow_bytes(pa.array(texts, pa.large_string()))
-    buckets, place, first = word_inputs(raw, at)
+    buckets, place, first = many_word_inputs(raw, at)
     starts, owner = windows(first)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    seen = np.unique(doc[:, None] * BUCKETS + buckets[place])
-    in_pos = np.bincount(seen % BUCKETS, y[seen // BUCKETS], BUCKETS)
-    in_all = np.bincount(seen % BUCKETS, minlength=BUCKETS)
+    in_pos, in_all = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for k, label_k in enumerate(y):
+        seen = np.unique(buckets[place[first[k] : first[k + 1]]])
+        in_pos[seen] += label_k
+        in_all[seen] += 1
     odds = np.log((in_pos + 0.5) / (positive + 1)) - np.log((in_all - in_pos + 0.5) / (len(y) - positive + 1))
     odds = np.where(in_all >= 3, np.clip(odds, 0, None), 0) * np.sqrt(np.minimum(in_pos, 50) / 50)
     net.p["table"][:, 0] = odds / 4
