@@ -1,19 +1,47 @@
-"""The corpus pipeline: stages from raw documents to packed sequences."""
+"""The corpus pipeline: toxicity, exact and near de-duplication, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
+returns the columns of documents; the last returns pieces of packed sequences. Stages
+are cut by Parquet tables in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import exact_dedup, mixing, packing
+from quillgraph.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from quillgraph.llm.common import cut, table
 
-#: SQL can express neither the toxicity model nor packing.
+#: SQL can express neither the toxicity model nor sketches nor packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: exact_dedup.drop_copies(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.mix_documents(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 

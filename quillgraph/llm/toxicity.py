@@ -287,10 +287,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut
     return scored.withColumn("predicted", (F.col("score") >= cut_at).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents whose score stays below the cut, with all their columns."""
-    toxic = score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["__id"]), "left_anti")
+def _clean(held, at_text: int, cut_at: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, at = arrow_bytes(batch.column(at_text))
+            for a, b in blocks(at, _CHUNK):
+                part = batch.slice(a, b - a)
+                score, _ = score_texts(held.value, *arrow_bytes(part.column(at_text)))
+                yield part.filter(pa.array(score < cut_at))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, cut_at: float = CUT) -> DataFrame:
+    """Documents whose score stays below the cut, with all their columns; each partition streams through one task."""
+    spark = docs.sparkSession
+    workers_see_us(spark)
+    net = spark.sparkContext.broadcast(train(docs, labels))
+    return docs.mapInArrow(_clean(net, docs.columns.index("text"), cut_at), docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
