@@ -1,6 +1,6 @@
 """Near-duplicate detection with HyperMinHash sketches (operator 1).
 
-Each document's set of five-word shingles becomes 128 registers. A register holds the
+Each document's set of five-word shingles becomes 256 registers. A register holds the
 smallest hash of its bucket in compressed form: the count of leading zeros and ten
 mantissa bits (Yu and Weber). Empty registers borrow from pseudo-random others (optimal
 densification), so short documents band as well as long ones. Bands of four registers
@@ -31,13 +31,14 @@ from .components import components
 WORDS = 5
 #: Similarity bar in hundredths.
 BAR = 75
-REGISTERS = 128
-BAND = 4
+REGISTERS = 256
+#: Bands of BAND registers each; the other registers only sharpen the estimate.
+BANDS, BAND = 32, 4
 MANTISSA = 10
 #: Deviations of the estimate below the bar at which a pair is still confirmed on full sets.
 MARGIN = 5.0
-#: Members of a bucket that meet in one task of the second round.
-BLOCK = 512
+#: Members of a bucket, and shingles of theirs, that one side of a block pair in the second round has on average.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _CHUNK = 1 << 21
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -166,18 +167,29 @@ def similar_enough(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return met.where(near("ru", "rv", "nu", "nv")).select("u", "v")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the bar: 100 * intersection >= 75 * union. Only texts that stand in a pair are read out."""
-    asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+def shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of a sorted set with each of several."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    return np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+
+
+def full_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, shingles) of the asked ids: the only texts that are read again."""
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")).join(asked, "id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    return texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets reach the bar: 100 * intersection >= 75 * union."""
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.zeros(len(a), bool)
         for i, (x, y) in enumerate(zip(a, b)):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            both = int(shared(x, [y])[0])
             out[i] = 100 * both >= BAR * (len(x) + len(y) - both)
         return pd.Series(out)
 
@@ -185,39 +197,83 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return met.where(linked("a", "b")).select("u", "v")
 
 
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in one pair of blocks that are similar enough by estimate. Each side has at most BLOCK rows."""
-    one = rows[rows["side"] <= 1]
-    two = rows[rows["side"] >= 1]
-    if not len(one) or not len(two):
-        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-    a, b = _matrix(one["registers"]), _matrix(two["registers"])
-    least, us, vs = _floor(), [], []
-    for i, (u, c, n) in enumerate(zip(one["id"], one["component"], one["n_shingles"])):
-        m = two["n_shingles"].to_numpy()
-        ask = np.flatnonzero((two["component"].to_numpy() != c) & (100 * np.minimum(m, n) >= BAR * np.maximum(m, n)))
-        if len(ask):
-            ask = ask[estimate(a[i], b[ask], np.full(len(ask), n), m[ask]) >= least]
-            us.append(np.full(len(ask), u))
-            vs.append(two["id"].to_numpy()[ask])
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
-
-
-def unsettled_pairs(bands: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of different components that share a band and pass the estimate. bands: key, id; members: id, component, n_shingles, registers.
-
-    A bucket is dealt into blocks of about BLOCK rows by hash, and each pair of blocks is one
-    bounded group, whatever the bucket's size.
+def _candidates(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each first-side row of a pair of blocks: second-side rows of other components that are similar enough by size and estimate and share no earlier band with it, best first."""
+    side, ids, component, n = (rows[c].to_numpy() for c in ("side", "id", "component", "n_shingles"))
+    regs = _matrix(rows["registers"])
+    band = int(rows["band"].iloc[0])
+    two = np.flatnonzero(side >= 1)
+    least = _floor()
+    for u in np.flatnonzero(side <= 1):
+        v = two[(component[two] != component[u]) & (100 * np.minimum(n[two], n[u]) >= BAR * np.maximum(n[two], n[u]))]
+        if side[u] == 1:
+            v = v[ids[v] > ids[u]]
+        if len(v):
+            near = estimate(regs[u], regs[v], np.full(len(v), n[u]), n[v])
+            v, near = v[near >= least], near[near >= least]
+            if band and len(v):
+                earlier = (regs[u, : band * BAND] == regs[v, : band * BAND]).reshape(len(v), band, BAND).all(2).any(1)
+                v, near = v[~earlier], near[~earlier]
+            if len(v):
+                order = np.argsort(-near, kind="stable")
+                yield u, v[order], near[order]
+
+
+def _flag(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a pair of blocks that stand in a candidate pair of this band."""
+    keep = np.zeros(len(rows), bool)
+    for u, v, _ in _candidates(rows):
+        keep[u] = keep[v] = True
+    return rows.loc[keep, ["key", "i", "j", "id", "side"]]
+
+
+def _connect(rows: pd.DataFrame) -> pd.DataFrame:
+    """Confirmed links between components of a pair of blocks, as many as connect what can be connected there."""
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    ids, size = rows["id"].to_numpy(), np.array([len(x) for x in sets])
+    root = {c: c for c in rows["component"]}
+    component = rows["component"].to_numpy()
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for u, v, _ in _candidates(rows):
+        for k in range(0, len(v), 64):
+            part = np.array([w for w in v[k : k + 64] if find(component[w]) != find(component[u])], np.int64)
+            if len(part):
+                both = shared(sets[u], [sets[w] for w in part])
+                for w in part[100 * both >= BAR * (size[u] + size[part] - both)]:
+                    a, b = find(component[u]), find(component[w])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((min(ids[u], ids[w]), max(ids[u], ids[w])))
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
+def late_links(bands: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components that share a band. bands: key, band, id; members: id, component, n_shingles, registers.
+
+    Only buckets that hold several components are looked at. Each is dealt by hash into
+    parts of about BLOCK members or BLOCK_SHINGLES shingles, and each pair of parts is a
+    bounded group. A first pass over registers keeps the members that stand in a
+    candidate pair, each pair in its first common band; the second brings their full sets
+    and gives links that connect components, never all pairs.
     """
-    held = bands.join(members.select("id", "component"), "id")
-    open_keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    parts = F.ceil(F.col("n") * 2 / F.lit(BLOCK)).cast("long")
-    dealt = bands.join(open_keys.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    held = bands.join(members.select("id", "component", "n_shingles"), "id")
+    sums = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("m") / F.lit(BLOCK_SHINGLES))).cast("long")
+    dealt = bands.join(sums.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    met = dealt.withColumn("o", other).select("key", "id", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.when(F.col("part") == F.col("o"), 1).when(F.col("part") < F.col("o"), 0).otherwise(2).alias("side"))
+    side = F.when(F.col("part") == F.col("o"), 1).when(F.col("part") < F.col("o"), 0).otherwise(2)
+    met = dealt.withColumn("o", other).select("key", "band", "id", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), side.alias("side"))
     rows = met.join(members, "id")
-    return rows.groupBy("key", "i", "j").applyInPandas(_across, "u long, v long").distinct()
+    flagged = cut(rows.groupBy("key", "i", "j").applyInPandas(_flag, "key long, i long, j long, id long, side int"), "flagged")
+    full = flagged.join(members, "id").join(sets, "id").join(bands.select("key", "id", "band"), ["key", "id"])
+    return full.groupBy("key", "i", "j").applyInPandas(_connect, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -231,22 +287,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(sketched.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     reps = cut(sketched.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "registers"), "representatives")
     width = 2 * BAND
-    keys = F.array(*[F.xxhash64(F.substring("registers", 1 + width * i, width), F.lit(i)) for i in range(REGISTERS // BAND)])
-    every = reps.select(F.col("doc_id").alias("id"), F.explode(keys).alias("key"))
-    shared = every.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
-    bands = cut(every.join(shared, "key"), "bands")
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.substring("registers", 1 + width * i, width), F.lit(i)).alias("key")) for i in range(BANDS)])
+    every = reps.select(F.col("doc_id").alias("id"), F.inline(keys))
+    common = every.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
+    bands = cut(every.join(common, "key"), "bands")
+    sets = cut(full_sets(docs, bands.select("id").distinct()), "sets")
     stars = bands.where("id <> low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
-    links = cut(confirm(cut(similar_enough(stars, reps), "near"), docs), "links")
+    links = cut(confirm(similar_enough(stars, reps), sets), "links")
     found = components(links)
-
-    def labelled(found: DataFrame) -> DataFrame:
-        return reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component"), "n_shingles", "registers")
-
-    more = cut(unsettled_pairs(bands.select("key", "id"), labelled(found)), "unsettled")
-    if not more.isEmpty():
-        late = cut(confirm(more, docs), "links")
-        if not late.isEmpty():
-            found = components(links.unionByName(late))
+    members = reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component"), "n_shingles", "registers")
+    late = cut(late_links(bands.select("key", "band", "id"), cut(members, "members"), sets), "late")
+    if not late.isEmpty():
+        found = components(links.unionByName(late))
     label = classes.join(found, classes["rep"] == found["id"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = sketched.join(label, "set_id", "left")
     component = F.coalesce("component", "doc_id")
