@@ -26,7 +26,7 @@ from .tokens import WORD_BPE, word_bpe
 TOKENS = 2048
 SEGMENTS = 128
 LOSS = 2048
-POOL = 1024
+POOL = 512
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -72,21 +72,25 @@ class Packer:
         pool = self.pool
         need = np.array([self.demand(p) for p in pool], float)
         free = np.ones(len(pool), bool)
+        if not pool:
+            return
         pull = need.mean(0) / self.limits / self.limits
-        while free.sum() > leave or (leave == 0 and free.any()):
+        left_over, waiting = len(pool), int(need[:, 0].sum())
+        while left_over > leave:
             size = self.capacity
-            if leave == 0 and (rest := int(need[free, 0].sum())) < self.capacity:
+            if leave == 0 and (rest := waiting) < self.capacity:
                 size = 1 << (rest.bit_length() - 1)
             left = np.array([size, self.segments, min(self.loss, size)], float)
             chosen: list[tuple] = []
             while left[0] > 0 and left[1] > 0:
-                fits = free & (need <= left).all(1)
+                fits = free & (need[:, 0] <= left[0]) & (need[:, 2] <= left[2])
                 if fits.any():
                     k = int(np.argmax(np.where(fits, need @ (pull * left), -1.0)))
                     chosen.append(pool[k])
                     left -= need[k]
                     free[k] = False
-                elif free.any() and left[2] > 0:
+                    left_over -= 1
+                elif left_over and left[2] > 0:
                     k = int(np.argmax(np.where(free, need[:, 0], -1.0)))
                     head, pool[k] = self.split(pool[k], int(min(left[0], left[2] + (pool[k][1] == 0))))
                     chosen.append(head)
@@ -104,10 +108,12 @@ class Packer:
                 else:
                     tail = chosen.pop()
                 back -= min(n, back)
+                left_over += 1
                 pool.append(tail)
                 need = np.vstack([need, self.demand(tail)])
                 free = np.append(free, True)
             self.put(chosen)
+            waiting -= sum(len(p[2]) for p in chosen) // 4
         self.pool = [p for p, x in zip(pool, free) if x]
 
     @staticmethod

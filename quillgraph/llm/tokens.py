@@ -5,13 +5,18 @@ from __future__ import annotations
 import base64
 import os
 import re
+from itertools import compress
+from operator import add
 
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-#: Words whose ids a worker keeps; beyond that it starts afresh.
+#: Words of a generation of a worker's cache; it keeps two.
 CACHE_WORDS = 400_000
+#: Punctuation that may follow a word without changing how it is split; not the apostrophe, which begins endings.
+_AFTER = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: For texts with U+001C to U+001F, white space to Python but not to the tokenizer.
 _WHITE = re.compile(r"[\x20\x09-\x0D]+")
 _loaded: dict = {}
 
@@ -26,28 +31,77 @@ def vocabulary(name: str) -> str:
 
 
 class WordBpe:
-    """The word-level BPE. It drops white space and never merges across it, so a text's ids are those of its words, one after another."""
+    """The word-level BPE. It drops white space and never merges across it, so a text's ids are those of its words, one after another.
+
+    A worker keeps the words of its last texts in two generations. New words of letters
+    below U+0250, with or without punctuation after them, go to the BPE model without the
+    normaliser and the splitter, which would find nothing to do once they are lower-cased;
+    all others take the whole tokenizer.
+    """
 
     def __init__(self, name: str = WORD_BPE):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(vocabulary(name))
+        self.bare = Tokenizer.from_file(vocabulary(name))
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        size = self.model.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.model.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.shown = {b: 256 + k for k, b in enumerate(hidden)}
+        self.parts: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of words of letters: each ends with its only token that carries the word end."""
+        out: list[bytes] = []
+        for i in range(0, len(heads), 2000):
+            part = heads[i : i + 2000]
+            text = " ".join([x if x.isascii() else x.encode().decode("latin-1").translate(self.shown) for x in part])
+            ids = np.asarray(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stop) != len(part):
+                out += self._whole(part)
+                continue
+            raw, at = ids.tobytes(), [0, *stop.tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    def _new(self, words: list[str]) -> None:
+        """Add words to the cache: a head of letters and a tail of punctuation each, where that is all there is to a word."""
+        lowered = "\n".join(words).lower().split("\n")
+        heads = [x.rstrip(_AFTER) for x in lowered]
+        plain = [h.isalpha() and (h.isascii() or max(h) < "\u0250") for h in heads]
+        tails = [x[len(h) :] for x, h in zip(lowered, heads)]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        parts = self.parts
+        fresh = set(compress(heads, plain)).difference(parts)
+        parts.update(zip(fresh, self._heads(list(fresh))))
+        fresh = set(tails).difference(parts)
+        parts.update(zip(fresh, self._whole(list(fresh))))
+        get = parts.__getitem__
+        self.known.update(zip(compress(words, plain), map(add, map(get, compress(heads, plain)), map(get, compress(tails, plain)))))
+        odd = [w for w, ok in zip(words, plain) if not ok]
+        self.known.update(zip(odd, self._whole(odd)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
-        split = [x.split() if x.isascii() and not any(c in x for c in "\x1c\x1d\x1e\x1f") else [w for w in _WHITE.split(x) if w] for x in texts]
-        known = self.known
-        missing = [w for w in set().union(*split) if w not in known]
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = list(set().union(*split))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+        split = [[w for w in _WHITE.split(x) if w] if "\x1c" in x or "\x1d" in x or "\x1e" in x or "\x1f" in x else x.split() for x in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        missing = set().union(*split).difference(self.known)
+        again = missing & self.old.keys()
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        self._new(list(missing.difference(again)))
+        get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
