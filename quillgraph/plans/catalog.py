@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import graph_queries
+
+QUERIES: dict = {**graph_queries.QUERIES}
+ORACLE: dict = {**graph_queries.ORACLE}
