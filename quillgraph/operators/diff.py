@@ -91,17 +91,20 @@ def sync_diff(current: DataFrame, target: DataFrame, keys: list[str]) -> DataFra
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Current rows with the incoming ones written over them: an update replaces all content and ``updated_*``, and keeps ``created_*``."""
     old = current.select([F.col(c).alias(f"o_{c}") for c in current.columns])
-    on = [old[f"o_{k}"] == incoming[k] for k in keys]
-    met = old.join(incoming.withColumn("__new", F.lit(True)), on, "full_outer")
+    new = incoming.select([F.col(c).alias(f"n_{c}") for c in current.columns] + [F.lit(True).alias("n__new")])
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(f"o_{k}") == F.col(f"n_{k}"))
+    met = old.join(new, on, "full_outer")
 
     def value(c: str) -> Column:
         if c in keys:
-            return F.coalesce(incoming[c], F.col(f"o_{c}"))
+            return F.coalesce(f"n_{c}", f"o_{c}")
         if c.startswith("created_"):
-            return F.coalesce(F.col(f"o_{c}"), incoming[c])
-        return F.when(F.col("__new"), incoming[c]).otherwise(F.col(f"o_{c}"))
+            return F.coalesce(f"o_{c}", f"n_{c}")
+        return F.when(F.col("n__new"), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}"))
 
-    change = F.when(F.col("__new").isNull(), "kept").when(F.col(f"o_{keys[0]}").isNull(), "created").otherwise("updated")
+    change = F.when(F.col("n__new").isNull(), "kept").when(F.col(f"o_{keys[0]}").isNull(), "created").otherwise("updated")
     return met.select(*[value(c).alias(c) for c in current.columns], change.alias("change"))
 
 
