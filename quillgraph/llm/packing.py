@@ -58,7 +58,7 @@ class Packer:
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         total, start = len(ids) // 4, 0
-        step = min(self.capacity, self.loss)
+        step = self.capacity if self.loss >= self.capacity else 1 << (self.loss.bit_length() - 1)
         while total - start >= step:
             self.put([(doc_id, start, ids[4 * start : 4 * (start + step)], total)])
             start += step
@@ -133,10 +133,8 @@ def _pack(vocabulary: str, limits: tuple[int, int, int], pool: int):
         packer = Packer(TaskContext.get().partitionId() << 40, limits, pool)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 512):
-                whole = [x or "" for x in texts.slice(i, 512).to_pylist()]
-                for doc_id, own in zip(ids[i : i + 512], model.ids(whole)):
-                    packer.add(doc_id, own + end)
+            for doc_id, own in zip(ids, model.ids([x or "" for x in texts.to_pylist()])):
+                packer.add(doc_id, own + end)
             yield from packer.flush()
         packer.fill(0)
         yield from packer.flush()

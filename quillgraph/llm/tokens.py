@@ -30,6 +30,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def forget() -> None:
+    """Give back a worker's models and caches; operators that use none call this as they start."""
+    _loaded.clear()
+
+
 class WordBpe:
     """The word-level BPE. It drops white space and never merges across it, so a text's ids are those of its words, one after another.
 
@@ -94,6 +99,7 @@ class WordBpe:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
+        texts = [x if "Σ" in x or "<|" in x else x.lower() for x in texts]  # else the tokenizer would lower-case otherwise
         split = [[w for w in _WHITE.split(x) if w] if "\x1c" in x or "\x1d" in x or "\x1e" in x or "\x1f" in x else x.split() for x in texts]
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {}
