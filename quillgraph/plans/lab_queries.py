@@ -9,6 +9,7 @@ from ..functions.scalars import is_rfc3339, is_safe_id, rounded, violations
 from ..operators import lab as L
 from ..operators.attribution import filter_recorded, filter_written, latest_by_session, outcome_counts
 from ..sources.adapter import decisions, runs, table
+from ..streaming.streams import decision_counts
 from .sqlbase import RUNS, r, with_
 
 QUERIES: dict = {}
@@ -275,3 +276,9 @@ def blinding_projection(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"), blinded(record).alias("shown"))
 
 
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def decision_windows(spark: SparkSession, d: str) -> DataFrame:
+    counted = decision_counts(table(spark, d, "events"), "1 day")
+    return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 4).alias("value"))
