@@ -34,9 +34,10 @@ def expand(relations: DataFrame, seeds: DataFrame, wanted: str) -> DataFrame:
     """(id, direction, from_id, to_id, kind): what each relation that touches a seed gives to its ends.
 
     Exactly one case holds for a relation: the intent's case for DEPENDS_ON, else its from
-    end is a seed, else its to end is. seeds: distinct ids as ``id``.
+    end is a seed, else its to end is. seeds: distinct ids as ``id``; relations are unique by
+    (from_id, kind, to_id), as the store returns them.
     """
-    edges = relations.select("from_id", "to_id", "kind").dropDuplicates(["from_id", "kind", "to_id"])
+    edges = relations.select("from_id", "to_id", "kind")
     at = lambda c: seeds.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_seed"))
     flagged = edges.join(at("from_id"), "from_id", "left").join(at("to_id"), "to_id", "left")
     starts, ends = F.coalesce("from_id_seed", F.lit(False)), F.coalesce("to_id_seed", F.lit(False))
