@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import attribution, context, evaluation, finish, health, lab, retrieval, workflow
-from .sources import ledger
-from .sources.payload import NODE, EDGE, parse_edge, parse_node, read_payload
+from .sources import ledger, workspace
+from .sources.payload import EDGE, NODE, parse_edge, parse_node, read_payload
 from .sources.store import Graph, Store, StoreError
 
 VERSION = "v1"
@@ -50,6 +50,7 @@ class Engine:
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, f"{self.base}/graph")
+        self.files = workspace.Files(self.spark, self.base)
 
     @command("init")
     def init(self) -> dict:
@@ -194,6 +195,55 @@ class Engine:
 
     # ---------------------------------------------------------------- lab
 
+    @command("workflow.init")
+    def init_workflow(self, assets: dict[str, str], overrides: list[str] | None = None) -> dict:
+        """Install the managed assets and keep a manifest of them."""
+        done = workspace.ensure_assets(self.files, {f"workflow/assets/{p}": t for p, t in assets.items()}, {f"workflow/assets/{p}" for p in overrides or []})
+        self.files.write_json("workflow/manifest.json", {"schema_version": VERSION, "assets": done["assets"]})
+        return {k: v for k, v in done.items() if k != "assets"}
+
+    @command("lab.init")
+    def lab_init(self) -> dict:
+        return workspace.init_lab(self.files)
+
+    @command("lab.run")
+    def lab_run(self, task_id: str, condition_id: str, model: str, topology: str, seed: int, started: str, finished: str, prompt: str, outcome: str | None = None) -> dict:
+        """Record one run: its telemetry from the outcome payload, its artifacts, then its record."""
+        condition = next((c for c in (self.files.read_json("lab/conditions.json") or {}).get("conditions", []) if c["condition_id"] == condition_id), None)
+        if condition is None:
+            raise StoreError("record_validation_failed", "condition_id must reference an existing condition")
+        backed = condition["workflow_mode"] not in ("baseline", "without_harness")
+        parsed = finish.parse(outcome) if outcome else None
+        usage = workspace.run_telemetry(finish.telemetry(parsed) if parsed else None, started, finished, backed, outcome is not None)
+        run_id = workspace.free_id(self.files, "run", started, "lab/runs")
+        record = {"schema_version": VERSION, "run_id": run_id, "task_id": task_id, "condition_id": condition_id, "model": model, "session_topology": topology, "seed": seed, "prompt_variant": "default", "started_at": started, "finished_at": finished, "telemetry": usage}
+        record |= {"kickoff_inputs_ref": "kickoff-inputs.json", "session_structure_ref": "session-structure.json", "writeback_outputs_ref": "writeback-outputs.json", "outcome_artifacts_ref": "outcome"}
+        parts: dict = {"kickoff-inputs.json": {"task_id": task_id, "prompt": prompt}, "session-structure.json": {"delegated_sessions": usage["delegated_sessions"]}, "writeback-outputs.json": {"graph_backed": backed, "outcome": parsed or {}}, "outcome/summary.json": {"summary": (parsed or {}).get("summary", "")}}
+        if not backed:
+            record["baseline_prompt_metadata_ref"] = "baseline-prompt.json"
+            parts["baseline-prompt.json"] = workspace.prompt_metadata(prompt)
+        return {"run_id": run_id, "path": workspace.record_run(self.files, record, parts), "telemetry": usage}
+
+    @command("lab.plan")
+    def lab_plan(self, seed: int, at: str) -> dict:
+        """A batch plan over every task and condition, in the order that the seed fixes."""
+        base = f"{self.base}/lab"
+        entries = _plain(lab.batch_plan(ledger.tasks(self.spark, base), ledger.conditions(self.spark, base), seed).orderBy("entry"))
+        batch = workspace.free_id(self.files, "batch", at, "lab/runs/batches")
+        self.files.write_json(f"lab/runs/batches/{batch}/plan.json", {"schema_version": VERSION, "batch_id": batch, "seed": seed, "created_at": at, "entries": entries})
+        return {"batch_id": batch, "entries": entries}
+
+    @command("lab.evaluate")
+    def lab_evaluate(self, record: dict) -> dict:
+        checked = ledger.evaluation_violations(self.spark.createDataFrame([record], ledger.EVALUATION), ledger.runs(self.spark, f"{self.base}/lab")).head()["violations"]
+        if checked:
+            raise StoreError("record_validation_failed", "; ".join(f"{v['field']}: {v['message']}" for v in checked))
+        return {"run_id": record["run_id"], "evaluations": workspace.add_evaluation(self.files, record)}
+
+    @command("lab.evaluate.present")
+    def lab_present(self, run_id: str, blind: bool = True) -> dict:
+        return workspace.present(self.files, run_id, blind)
+
     @command("lab.report")
     def report(self) -> dict:
         at = f"{self.base}/lab"

@@ -164,3 +164,34 @@ def test_streams(spark, tmp_path):
     counted = decision_counts(spark.readStream.schema(events.schema).parquet(str(source))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination()
     assert sorted(map(tuple, spark.table("counts").select("start", "event_type", "n").collect())) == sorted(map(tuple, decision_counts(events).select("start", "event_type", "n").collect()))
+
+
+def test_lab_cycle(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/e")
+    assert e.lab_init()["result"]["manifests"] == {"suite.json": "installed", "conditions.json": "installed"}
+    assert e.lab_init()["result"]["manifests"] == {"suite.json": "preserved", "conditions.json": "preserved"}
+    e.files.write_json("lab/suite.json", {"schema_version": "v1", "suite_id": "s", "tasks": [{"task_id": "t1", "family": "f", "description": "d", "acceptance_criteria_ref": "r"}]})
+    plan = e.lab_plan(7, "2026-01-01T00:00:00Z")["result"]
+    assert len(plan["entries"]) == 5 and plan["entries"] == e.lab_plan(7, "2026-01-01T00:00:00Z")["result"]["entries"]
+    outcome = json.dumps({"schema_version": "v1", "metadata": META | {"revision": {"properties": {"execution_usage": {"input_tokens": 1, "output_tokens": 2, "total_tokens": 3}}}}, "task": "T", "summary": "S"})
+    one = e.lab_run("t1", "with-graph", "m", "d", 1, "2026-01-01T00:00:00Z", "2026-01-01T00:00:00Z", "do it", outcome)["result"]
+    two = e.lab_run("t1", "without-graph", "m", "d", 1, "2026-01-01T00:00:00Z", "2026-01-01T00:02:00Z", "do it")["result"]
+    assert (one["run_id"], two["run_id"]) == ("run-20260101t000000z", "run-20260101t000000z-02")
+    assert one["telemetry"]["measurement_status"] == "complete" and one["telemetry"]["wall_clock_seconds"] == 1
+    assert two["telemetry"]["incomplete_reasons"] == ["baseline_run_did_not_receive_execution_outcome"]
+    blind = e.lab_present(one["run_id"])["result"]
+    assert "condition" not in blind and "graph_backed" not in blind["artifacts"]["writeback_outputs"]
+    assert e.lab_present(two["run_id"], False)["result"]["condition"]["workflow_mode"] == "baseline"
+    score = {"schema_version": "v1", "run_id": one["run_id"], "evaluator": "e", "evaluated_at": NOW, "scores": {"success": True, "quality_score": 0.5, "resumability_score": 0.5, "human_intervention_count": 0}}
+    assert e.lab_evaluate(score)["result"]["evaluations"] == 1 and e.lab_evaluate(score)["result"]["evaluations"] == 2
+    assert e.lab_evaluate(score | {"run_id": "ghost"})["status"] == "error"
+    report = e.report()["result"]
+    assert report["counters"] == {"runs": 2, "scored": 1, "unscored": 1} and report["warnings"] == ["missing_evaluations"]
+
+
+def test_managed_assets(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/e")
+    assert e.init_workflow({"a.md": "1", "b.md": "2"})["result"]["installed"] == ["workflow/assets/a.md", "workflow/assets/b.md"]
+    again = e.init_workflow({"a.md": "1", "b.md": "3"}, ["b.md"])["result"]
+    assert (again["skipped"], again["preserved"], e.files.read("workflow/assets/b.md")) == (["workflow/assets/a.md"], ["workflow/assets/b.md"], "2")
+    assert e.init_workflow({"a.md": "1", "b.md": "3"})["result"]["refreshed"] == ["workflow/assets/b.md"]
