@@ -41,8 +41,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: what a Python worker holds at once, however long the texts are.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
 def workers_see_us(spark: SparkSession) -> None:
-    """Put the repository on the Python workers' path, whatever folder the driver was started in."""
+    """Put the repository on the Python workers' path, whatever folder the driver was started in, and bound the batches they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if _ROOT not in have.split(os.pathsep):
@@ -127,13 +133,21 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
+class Spans:
+    """64-bit hashes of any spans of a buffer's bytes, by one prefix polynomial over it."""
+
+    def __init__(self, raw: np.ndarray):
+        up, self.down = _powers(len(raw) + 1)
+        self.prefix = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * up[: len(raw)], out=self.prefix[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+        return mix(value + (ends - starts).astype(np.uint64) * np.uint64(_P))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes, by one prefix polynomial over the whole buffer."""
-    up, down = _powers(len(raw) + 1)
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=prefix[1:])
-    value = (prefix[ends] - prefix[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(_P))
+    return Spans(raw)(starts, ends)
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

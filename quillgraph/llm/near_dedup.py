@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_bytes, blocks, cut, mix, table, word_hashes, workers_see_us
 from .components import components
+from .tokens import forget
 
 WORDS = 5
 #: Similarity bar in hundredths.
@@ -104,6 +105,7 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_i
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         _, at = arrow_bytes(batch.column(1))
         for a, b in blocks(at, _CHUNK):
@@ -124,6 +126,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         _, at = arrow_bytes(batch.column(1))
         for a, b in blocks(at, _CHUNK):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
-from .common import arrow_bytes, blocks, span_hashes, table, word_spans, workers_see_us
+from .common import Spans, arrow_bytes, blocks, table, word_spans, workers_see_us
 from .labelled import held_out, training_rows
 
 #: The most labelled rows of each class that are trained on, and the longest text among them.
@@ -58,7 +58,8 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     words = np.diff(first)
     word_owner = np.repeat(np.arange(n), words)
     length = (ends - starts).astype(float)
-    hashed = span_hashes(raw, starts, ends)
+    hashes = Spans(raw)
+    hashed = hashes(starts, ends)
     some, many = np.maximum(size, 1), np.maximum(words, 1)
     shares = counts @ _CLASS / some[:, None]
     p = counts / some[:, None]
@@ -80,7 +81,7 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     line_ends = np.append(line_starts[1:], len(raw))
     line_owner = owner[line_starts] if len(line_starts) else line_starts
     lines = np.bincount(line_owner, minlength=n) if len(line_starts) else np.zeros(n)
-    lines_distinct, top_line = _distinct(line_owner, span_hashes(raw, line_starts, line_ends), n) if len(line_starts) else (np.zeros(n), np.zeros(n))
+    lines_distinct, top_line = _distinct(line_owner, hashes(line_starts, line_ends), n) if len(line_starts) else (np.zeros(n), np.zeros(n))
     longest = np.zeros(n)
     if len(length):
         np.maximum.at(longest, word_owner, length)

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, arrow_bytes, blocks, mix, span_hashes, table, word_spans, workers_see_us
+from .common import _LOWER, Spans, arrow_bytes, blocks, mix, table, word_spans, workers_see_us
 from .labelled import held_out, training_rows
+from .tokens import forget
 
 #: The most labelled rows of each class that are trained on, and the longest text among them.
 MOST_ROWS = 2500
@@ -46,10 +47,11 @@ def word_inputs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for _ in range(4):
         ends = ends - (_PUNCTUATION[raw[ends - 1]] & (ends - starts > 1))
         starts = starts + (_PUNCTUATION[raw[starts]] & (ends - starts > 1))
-    _, one, place = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    hashes = Spans(raw)
+    _, one, place = np.unique(hashes(starts, ends), return_index=True, return_inverse=True)
     s, e = starts[one], ends[one]
     spans = [(s, e), *((s, np.minimum(s + k, e)) for k in _PREFIXES), *((np.maximum(e - k, s), e) for k in _SUFFIXES)]
-    hashed = [mix(span_hashes(raw, a, b) + np.uint64(k)) % np.uint64(BUCKETS) for k, (a, b) in enumerate(spans)]
+    hashed = [mix(hashes(a, b) + np.uint64(k)) % np.uint64(BUCKETS) for k, (a, b) in enumerate(spans)]
     return np.stack(hashed, 1).astype(np.int64), place, first
 
 
@@ -262,6 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         net = held.value
         for batch in batches:
             _, at = arrow_bytes(batch.column(1))
@@ -289,6 +292,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut
 
 def _clean(held, at_text: int, cut_at: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             _, at = arrow_bytes(batch.column(at_text))
             for a, b in blocks(at, _CHUNK):
