@@ -88,11 +88,14 @@ def postings(vectors: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarra
 
 def accumulate(lists: dict, n: int, queries: list[np.ndarray]) -> np.ndarray:
     """Scores (rows x queries): one term after another, each scattered into the dense array."""
-    peak = max((int(np.abs(w).max()) for _, w in lists.values()), default=0) * max((int(np.abs(q).max()) for q in queries if len(q)), default=0) * max(len(lists), 1)
+    peak = max((int(np.abs(w).max()) for _, w in lists.values()), default=1) * max((int(np.abs(q).max()) for q in queries if len(q)), default=1) * max(len(lists), 1)
+    peak = max([peak, *(int(np.abs(w).max()) for _, w in lists.values())])
     kind = np.int32 if peak < 2**31 else np.int64 if peak < 2**63 else object
     scores = np.zeros((n, len(queries)), dtype=kind)
+    if kind is object:
+        lists = {d: (at, np.array([int(x) for x in w], dtype=object)) for d, (at, w) in lists.items()}
     for d, (at, weights) in lists.items():
-        asked = np.array([q[d] if d < len(q) else 0 for q in queries], dtype=kind)
+        asked = np.array([int(q[d]) if d < len(q) else 0 for q in queries], dtype=kind)
         who = np.flatnonzero(asked)
         if len(who) == len(queries) and len(at) == n:
             scores += weights.astype(kind)[:, None] * asked
