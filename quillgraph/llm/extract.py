@@ -156,8 +156,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         return inner
 
     pages = []
-    for _ in range(n // 8):  # fragments and plain texts
-        pages.append(r.choice([article(), "".join(body_blocks()), f'<body y="1">{words(length(5))}</body>', f'<body y="1">{words(length(4))}<br>{words(length(5))}</body>', f'<body y="1">{words(length(4))}{plain("p", 1, words(length(5)))}</body>']))
+    for _ in range(n // 5):  # fragments and plain texts
+        pages.append(r.choice([article(), "".join(body_blocks()), f"<article y=\"1\">{plain('p', 1, words(length(4)))}</article>", f'<body y="1">{words(length(5))}</body>', f'<body y="1">{words(length(4))}<br>{words(length(5))}</body>', f'<body y="1">{words(length(4))}{plain("p", 1, words(length(5)))}</body>']))
     for _ in range(n):
         before = [noise(k) for k in r.sample(["nav", "header", "ad", "notice", "form", "nav"], r.randint(0, 4))]
         after = [noise(k) for k in r.sample(["footer", "aside", "comments", "ad", "share", "notice", "form", "nav", "footer"], r.randint(0, 5))]
