@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, blocks, cut, mix, table, word_hashes, workers_see_us
+from .common import arrow_bytes, blocks, cut, discard, mix, table, word_hashes, workers_see_us
 from .components import components
 from .tokens import forget
 
@@ -299,9 +299,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(confirm(similar_enough(stars, reps), sets), "links")
     found = components(links)
     members = reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component"), "n_shingles", "registers")
-    late = cut(late_links(bands.select("key", "band", "id"), cut(members, "members"), sets), "late")
+    members = cut(members, "members")
+    late = cut(late_links(bands.select("key", "band", "id"), members, sets), "late")
     if not late.isEmpty():
         found = components(links.unionByName(late))
+    discard(reps, bands, sets, links, members, late)
     label = classes.join(found, classes["rep"] == found["id"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = sketched.join(label, "set_id", "left")
     component = F.coalesce("component", "doc_id")
