@@ -81,8 +81,9 @@ def slug(text: Column, most: int = 24) -> Column:
 def excerpt(text: Column, most: int) -> Column:
     """White space collapsed; over ``most`` UTF-8 bytes, cut to most - 3 bytes and marked with dots."""
     plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    head = F.try_validate_utf8(F.substring(F.encode(plain, "utf-8"), 1, most - 3).cast("string"))
-    return F.when(F.octet_length(plain) <= most, plain).otherwise(F.concat(F.trim(F.coalesce(head, F.substring(plain, 1, most - 6))), F.lit("...")))
+    raw = F.encode(plain, "utf-8")
+    head = F.coalesce(*[F.try_validate_utf8(F.substring(raw, 1, most - 3 - k).cast("string")) for k in range(4)])  # not inside a character
+    return F.when(F.octet_length(plain) <= most, plain).otherwise(F.concat(F.trim(head), F.lit("...")))
 
 
 def token_estimate(value: Column) -> Column:

@@ -54,3 +54,13 @@ def test_markdown():
     assert summarize_markdown(text) == ("Title", "intro", "intro First para more.")
     assert cut_bytes("é" * 10, 9) == "ééé..."
     assert yaml_scalar("a: 1\nname: 'x y'\n", "name") == "x y"
+
+
+def test_excerpt_equals_its_python_form(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.functions.text import excerpt
+
+    texts = ["é" * 10, "a" * 30, "ab  cd\n", "日本語" * 5, "", "x é日" * 9]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", excerpt(F.col("t"), 20).alias("e")).collect()
+    assert [r["e"] for r in rows] == [cut_bytes(t, 20) for t in texts]
