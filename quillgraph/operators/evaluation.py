@@ -110,7 +110,7 @@ def conflicts(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def fate(relevance: Column, consistency: Column, usefulness: Column, composite: Column, config: Config) -> tuple[Column, Column]:
-    """Fate of a candidate and, if it is rejected, why."""
+    """Fate of a candidate and, if it is rejected, why (fixed texts)."""
     why = (
         F.when(relevance < config.least_relevance, "below relevance threshold")
         .when(consistency < config.least_consistency, "below consistency threshold")
@@ -198,6 +198,7 @@ def write_gate(value: Column, t: Thresholds = Thresholds()) -> list[Column]:
     """outcome, write_status and reason of a candidate output's composite."""
     decided = F.when(value >= t.write, "write").otherwise("abstain")
     status = F.when(value >= t.write, "approved").when(value >= t.defer, "deferred").otherwise("skipped")
+    # The two texts.
     held = F.format_string(f"composite confidence %.4f is below write threshold {t.write:.4f} but above defer threshold {t.defer:.4f}; write held for retry", value)
     lost = F.format_string(f"composite confidence %.4f is below defer threshold {t.defer:.4f}; write suppressed without auto-retry", value)
     return [decided.alias("outcome"), status.alias("write_status"), F.when(status == "deferred", held).when(status == "skipped", lost).alias("reason")]

@@ -99,6 +99,7 @@ def grouped(rows: DataFrame) -> DataFrame:
 def variation_notes(groups: DataFrame) -> DataFrame:
     """Groupings in which a metric's effect differs between two or more groups."""
     met = groups.groupBy("grouping", "family", "metric").agg(F.count(F.lit(1)).alias("groups"), F.min("mean_delta").alias("lowest"), F.max("mean_delta").alias("highest"))
+    # Fixed value: the text.
     note = F.format_string("graph effect for %s varies across %s groups (mean delta range %.3f to %.3f)", "metric", "grouping", "lowest", "highest")
     return met.where((F.col("groups") >= 2) & (F.col("highest") - F.col("lowest") >= CLOSE)).withColumn("note", note)
 

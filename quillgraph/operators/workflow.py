@@ -176,6 +176,7 @@ def advisory(rows: DataFrame, max_tokens: int = 1200) -> DataFrame:
 def inclusion_reason(family: Column, subprofile: Column) -> Column:
     """Why a result is in the kickoff context."""
     label = F.when(subprofile != "", F.concat_ws("/", family, subprofile)).otherwise(family)
+    # The three texts.
     return (
         F.when(F.size("matched_terms") > 0, F.format_string("Included for the %s family because it matches task terms: %s.", label, F.array_join("matched_terms", ", ")))
         .when(F.size("graph_refs") > 0, F.format_string("Included for the %s family because graph relationships connect it to the delegated task context.", label))
