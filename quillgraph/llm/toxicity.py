@@ -65,7 +65,7 @@ def many_word_inputs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
         firsts.append(first[1:] + firsts[-1][-1])
         base += len(buckets)
     distinct, back = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-    return distinct, back.ravel()[np.concatenate(places)], np.concatenate(firsts)
+    return distinct, back.ravel().astype(np.int32)[np.concatenate(places)], np.concatenate(firsts)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,8 +224,10 @@ def train_network(texts: list[str], y: np.ndarray, rounds: int = 4, epochs: int
     odds = np.where(in_all >= 3, np.clip(odds, 0, None), 0) * np.sqrt(np.minimum(in_pos, 50) / 50)
     net.p["table"][:, 0] = odds / 4
     score = odds[buckets].max(1)[place]
-    held = starts + np.arange(WINDOW)[:, None]
-    value = np.where(held < first[1:][owner], score[np.minimum(held, len(score) - 1)], 0).max(0)
+    value = np.zeros(len(starts))
+    for i in range(0, len(starts), 1 << 14):
+        held = starts[i : i + (1 << 14)] + np.arange(WINDOW)[:, None]
+        value[i : i + (1 << 14)] = np.where(held < first[1:][owner[i : i + (1 << 14)]], score[np.minimum(held, len(score) - 1)], 0).max(0)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for _ in range(rounds):
