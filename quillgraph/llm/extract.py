@@ -11,6 +11,7 @@ are generated from a grammar of page layouts (``labelled_pages``), as no table h
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 from collections.abc import Iterator
@@ -194,6 +195,12 @@ def train(pages: list[str] | None = None, steps: int = STEPS) -> tuple[np.ndarra
     return w, pair
 
 
+@functools.cache
+def default_model() -> tuple[np.ndarray, np.ndarray]:
+    """The model of the generated layouts: the same in every process, and fitted once in each."""
+    return train()
+
+
 def extract_texts(pages: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[str]:
     """Main text of each page: blocks whose elements are content with probability over one half, in page order."""
     forest = Forest()
@@ -240,7 +247,7 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     """
     spark = pages.sparkSession
     workers_see_us(spark)
-    held = spark.sparkContext.broadcast(train() if model is None else model)
+    held = spark.sparkContext.broadcast(default_model() if model is None else model)
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].alias("html"))
     return rows.mapInArrow(_extract(held), "page_id long, url string, text string, n_chars long")
 
