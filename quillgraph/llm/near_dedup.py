@@ -260,19 +260,33 @@ def _connect(rows: pd.DataFrame) -> pd.DataFrame:
 def late_links(bands: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between different components that share a band. bands: key, band, id; members: id, component, n_shingles, registers.
 
-    Only buckets that hold several components are looked at. Each is dealt by hash into
-    parts of about BLOCK members or BLOCK_SHINGLES shingles, and each pair of parts is a
-    bounded group. A first pass over registers keeps the members that stand in a
-    candidate pair, each pair in its first common band; the second brings their full sets
-    and gives links that connect components, never all pairs.
+    Only buckets that hold several components are looked at. A small one is one group. A larger one's greatest component and
+    its other members are dealt by hash into parts of about BLOCK members or BLOCK_SHINGLES
+    shingles each; the others' parts meet each other and the largest component's parts, which
+    never meet among themselves. So a bucket of one great component and a few strays costs
+    little more than its rows, and each pair of parts is a bounded group. A first pass over
+    registers keeps the members that stand in a candidate pair, each pair in its first common
+    band; the second brings their full sets and gives links that connect components, never
+    all pairs.
     """
     held = bands.join(members.select("id", "component", "n_shingles"), "id")
-    sums = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    parts = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("m") / F.lit(BLOCK_SHINGLES))).cast("long")
-    dealt = bands.join(sums.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    side = F.when(F.col("part") == F.col("o"), 1).when(F.col("part") < F.col("o"), 0).otherwise(2)
-    met = dealt.withColumn("o", other).select("key", "band", "id", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), side.alias("side"))
+    each = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    most = F.struct("n", "component", "m")
+    sums = each.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(most).alias("main")).where("k > 1")
+    parts = lambda n, m: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(m / F.lit(BLOCK_SHINGLES))).cast("long")
+    whole = (F.col("n") <= BLOCK) & (F.col("m") <= BLOCK_SHINGLES)
+    p_main, p_other = parts(F.col("main.n"), F.col("main.m")), parts(F.col("n") - F.col("main.n"), F.col("m") - F.col("main.m"))
+    cut_up = sums.select("key", F.when(~whole, F.col("main.component")).alias("main"), F.when(whole, 0).otherwise(p_main).alias("p_main"), F.when(whole, 1).otherwise(p_other).alias("p_other"))
+    dealt = held.join(cut_up, "key").withColumn("own", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+    part = F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("p_main")).otherwise(F.col("p_other")))
+    dealt = dealt.select("key", "band", "id", "own", "p_main", "p_other", part.alias("part"))
+    upto = lambda p: F.when(F.col(p) > 0, F.sequence(F.lit(0).cast("long"), F.col(p) - 1)).otherwise(F.array().cast("array<long>"))
+    place = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
+    a = F.col("part")
+    among = F.transform(upto("p_other"), lambda b: place(F.least(a, b), F.greatest(a, b), F.when(a < b, 0).when(a == b, 1).otherwise(2)))
+    with_main = F.transform(upto("p_main"), lambda b: place(-1 - a, b, F.lit(0)))
+    from_main = F.transform(upto("p_other"), lambda b: place(-1 - b, a, F.lit(2)))
+    met = dealt.select("key", "band", "id", F.inline(F.when(F.col("own"), from_main).otherwise(F.concat(among, with_main))))
     rows = met.join(members, "id")
     flagged = cut(rows.groupBy("key", "i", "j").applyInPandas(_flag, "key long, i long, j long, id long, side int"), "flagged")
     full = flagged.join(members, "id").join(sets, "id").join(bands.select("key", "id", "band"), ["key", "id"])
