@@ -6,7 +6,9 @@ mantissa bits (Yu and Weber). Empty registers borrow from pseudo-random others (
 densification), so short documents band as well as long ones. Bands of four registers
 give candidate pairs; the share of equal registers, corrected for the chance that two
 different minima have one compressed form, estimates Jaccard similarity; pairs within
-five deviations of the bar are confirmed on the full sets.
+five deviations of the bar are confirmed on the full sets. Sets of fewer shingles than
+registers share few values among many registers, so their estimate spreads wider than a
+binomial one and rejects nothing: pairs with such a set are confirmed on the full sets.
 
 Documents with equal sets are one class and only its smallest id goes on. No pairs are
 formed within a bucket at first: each member meets the bucket's smallest id. Confirmed
@@ -79,6 +81,12 @@ def _donors(registers: int, tries: int = 64) -> np.ndarray:
     return np.array([mix(j * _STEP + np.uint64(t + 1)) % np.uint64(registers) for t in range(tries)]).astype(np.int64)
 
 
+def _ranks(registers: int) -> np.ndarray:
+    """(borrower, donor) -> order in which a borrower that found nothing turns to the donors: hashed for each borrower on its own, the same for all documents."""
+    j = np.arange(registers, dtype=np.uint64)
+    return np.argsort(np.argsort(mix(mix(j * _STEP)[:, None] ^ (j + np.uint64(1 << 32))), axis=1), axis=1).astype(np.uint16)
+
+
 def sketches(value: np.ndarray, at: np.ndarray, registers: int = REGISTERS, mantissa: int = MANTISSA) -> np.ndarray:
     """Compressed registers (documents x registers) of shingle sets; rows of empty sets are all ones."""
     n = len(at) - 1
@@ -90,14 +98,15 @@ def sketches(value: np.ndarray, at: np.ndarray, registers: int = REGISTERS, mant
     packed = ((64 - exponent).astype(np.uint16) << np.uint16(mantissa)) | np.minimum((fraction * 2 - 1) * (1 << mantissa), (1 << mantissa) - 1).astype(np.uint16)
     packed[low == _EMPTY] = 0xFFFF
     todo = np.flatnonzero(np.diff(at) > 0)
-    base, donors = packed.copy(), _donors(registers)
-    tries = 0
-    while len(todo):
+    base = packed.copy()
+    for take in _donors(registers):
         here = packed[todo]
-        take = donors[tries] if tries < len(donors) else (np.arange(registers) + tries) % registers
         packed[todo] = np.where(here == 0xFFFF, base[todo][:, take], here)
         todo = todo[(packed[todo] == 0xFFFF).any(1)]
-        tries += 1
+    ranks = _ranks(registers) if len(todo) else None
+    for d in todo:  # few registers hold anything: each empty one takes the first of these in its own order
+        empty, full = np.flatnonzero(packed[d] == 0xFFFF), np.flatnonzero(base[d] != 0xFFFF)
+        packed[d, empty] = base[d, full[ranks[empty[:, None], full].argmin(1)]]
     return packed
 
 
@@ -152,6 +161,12 @@ def _floor(bar: int = BAR, registers: int = REGISTERS) -> float:
     return p - MARGIN * np.sqrt(p * (1 - p) / registers)
 
 
+def within_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that go to confirmation, and the estimates. No estimate rejects a pair of which a set has fewer shingles than there are registers."""
+    near = estimate(a, b, na, nb)
+    return (near >= _floor()) | (np.minimum(na, nb) < REGISTERS), near
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
@@ -160,11 +175,10 @@ def similar_enough(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sizes and estimate leave the bar within reach."""
     left = sketched.select(F.col("doc_id").alias("u"), F.col("registers").alias("ru"), F.col("n_shingles").alias("nu"))
     right = sketched.select(F.col("doc_id").alias("v"), F.col("registers").alias("rv"), F.col("n_shingles").alias("nv"))
-    least = _floor()
 
     @F.pandas_udf("boolean")
     def near(ru: pd.Series, rv: pd.Series, nu: pd.Series, nv: pd.Series) -> pd.Series:
-        return pd.Series(estimate(_matrix(ru), _matrix(rv), nu.to_numpy(), nv.to_numpy()) >= least) if len(ru) else pd.Series([], dtype=bool)
+        return pd.Series(within_reach(_matrix(ru), _matrix(rv), nu.to_numpy(), nv.to_numpy())[0]) if len(ru) else pd.Series([], dtype=bool)
 
     met = pairs.join(left, "u").join(right, "v").where(100 * F.least("nu", "nv") >= BAR * F.greatest("nu", "nv"))
     return met.where(near("ru", "rv", "nu", "nv")).select("u", "v")
@@ -206,14 +220,13 @@ def _candidates(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarra
     regs = _matrix(rows["registers"])
     band = int(rows["band"].iloc[0])
     two = np.flatnonzero(side >= 1)
-    least = _floor()
     for u in np.flatnonzero(side <= 1):
         v = two[(component[two] != component[u]) & (100 * np.minimum(n[two], n[u]) >= BAR * np.maximum(n[two], n[u]))]
         if side[u] == 1:
             v = v[ids[v] > ids[u]]
         if len(v):
-            near = estimate(regs[u], regs[v], np.full(len(v), n[u]), n[v])
-            v, near = v[near >= least], near[near >= least]
+            keep, near = within_reach(regs[u], regs[v], np.full(len(v), n[u]), n[v])
+            v, near = v[keep], near[keep]
             if band and len(v):
                 earlier = (regs[u, : band * BAND] == regs[v, : band * BAND]).reshape(len(v), band, BAND).all(2).any(1)
                 v, near = v[~earlier], near[~earlier]

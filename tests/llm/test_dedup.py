@@ -153,6 +153,38 @@ def test_late_links_join_components_of_one_bucket(docs, monkeypatch):
     assert near_rows(docs(rows)) == near_brute(rows)
 
 
+def appended(seed, n):
+    """Texts of 7 to 12 words, each followed by itself with one word more."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{r.randrange(10**9)}" for _ in range(7 + i % 6)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "more"]))]
+    return rows
+
+
+def test_short_texts_with_one_word_appended(docs):
+    """3 to 8 shingles and one more: similarities from 0.75 to 0.89, of which the estimate must not reject any."""
+    rows = appended(7, 600) + [(5000, "a b c d e"), (5001, "a b c d e f"), (5002, "a b c d e f g"), (5003, "p q r s t u"), (5004, "p q r s t u v")]
+    assert near_rows(docs(rows)) == near_brute(rows)
+
+
+def test_empty_registers_borrow_independently():
+    import numpy as np
+
+    value, at = near_dedup.shingle_sets(pa.array(["a b c d e f g h", "a b c d e f g h i"]))
+    regs = near_dedup.sketches(value, at)
+    assert at[1] == 4 and (regs != 0xFFFF).all()
+    bands = (regs[0, :128] == regs[1, :128]).reshape(32, 4).all(1)
+    assert 3 <= bands.sum() <= 26
+    shares = []
+    for i in range(300):
+        value, at = near_dedup.shingle_sets(pa.array([" ".join(f"{i}x{k}" for k in range(n)) for n in (7, 8)]))
+        a, b = near_dedup.sketches(value, at)
+        shares.append((a == b).mean())
+    assert abs(np.mean(shares) - 0.75) < 0.02 and np.std(shares) < 0.07
+
+
 def test_very_long_text(docs):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, long), (2, long.replace("w500 ", "x ")), (3, "w1 w2 w3 w4 w5 w6")]
