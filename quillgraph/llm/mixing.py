@@ -7,9 +7,12 @@ in order of cap / weight, so one ordered pass over the sources table settles all
 
 Times: a source's weight over training time t in [0, 1] is 1 + slope * (2t - 1) times its
 share. Its integral, the cumulative demand (1 - slope) t + slope t^2, is inverted at each
-document's cumulative words, which gives the document's position; documents are then
-range-sorted by position. Order within a source is that of md5(doc_id), and running sums
-go through 4096 hash ranges a source, so no task holds a whole source.
+copy's cumulative taken words over all words taken from the source, which gives the copy's
+position; copies are then range-sorted by position. A source is gone through once for each
+copy that all its documents have, and then once more as far as the target reaches, so
+taken words follow the schedule whatever the target is. Order within a pass is that of
+md5(doc_id), and running sums go through 4096 hash ranges a source, so no task holds a
+whole source.
 """
 
 from __future__ import annotations
@@ -49,10 +52,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
 
 def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken, position; range-sorted by position.
+    """One row per document: doc_id, size, source_size, target, copies, taken, position, positions; range-sorted by position.
 
     Every document is taken floor(target / source_size) times, and once more while the
-    words before it, in md5 order, leave room for over half of it. A null text has size 0
+    words before it, in md5 order, leave room for over half of it. positions has one entry
+    for each copy and position is the first; a document without copies has the position that
+    it would have if the documents that are not taken were a mix of their own. A null text has size 0
     and is taken 0 words; rows with equal doc_id are told apart only by their size. An
     empty table gives no rows.
     """
@@ -67,27 +72,49 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     ran = sized.withColumn("run", F.sum("size").over(Window.partitionBy("source", "cell").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = ran.join(known, ran["source"].eqNullSafe(known["s"]) & (ran["cell"] == known["c"]))
     first = F.col("before") + F.col("run")
-    whole = F.floor(F.col("target") / F.col("source_size"))
+    whole = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
     spare = F.col("target") - whole * F.col("source_size")
-    once_more = F.when(F.col("size") == 0, 0).otherwise((first + F.col("size") / 2.0 <= spare).cast("long"))
-    copies = F.when(F.col("source_size") == 0, 1).otherwise(whole + once_more).cast("long")
+    fits = (F.col("size") > 0) & (first + F.col("size") / 2.0 <= spare)
+    copies = F.when(F.col("source_size") == 0, 1).otherwise(whole + fits.cast("long")).cast("long")
+    # words of the last pass, which ends in one cell of each source at most: only these cells are run through again
+    ended = starts.join(F.broadcast(goal), starts["source"].eqNullSafe(goal["source"])).select(
+        starts["source"].alias("s"), starts["cell"].alias("c"), "before", "words", "source_size", spare.alias("spare")
+    ).where("source_size > 0")
+    within = F.col("before") + F.col("words")
+    edge = ended.where((F.col("before") < F.col("spare")) & (F.col("spare") < within)).select("s", "c", "before", "spare")
+    edge_rows = sized.join(F.broadcast(edge), sized["source"].eqNullSafe(edge["s"]) & (sized["cell"] == edge["c"]))
+    edge_run = edge_rows.withColumn("run", F.sum("size").over(Window.partitionBy("s", "c").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    reached = edge_run.where((F.col("size") > 0) & (first + F.col("size") / 2.0 <= F.col("spare"))).select("s", (first + F.col("size")).alias("extra"))
+    full = ended.where(within <= F.col("spare")).select("s", within.alias("extra"))
+    extras = full.unionByName(reached).groupBy("s").agg(F.max("extra").alias("extra")).withColumnRenamed("s", "es")
+    placed = placed.join(F.broadcast(extras), placed["s"].eqNullSafe(extras["es"]), "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
+    middle = first + F.col("size") / 2.0
+    total = whole * F.col("source_size") + F.col("extra")
+    rest = F.col("source_size") - F.col("extra")
     a = F.col("slope")
-    share = F.when(F.col("source_size") == 0, 0.0).otherwise((first + F.col("size") / 2.0) / F.col("source_size"))
-    demand = (a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * share)) / (2 * F.when(a == 0, 1.0).otherwise(a))
-    placed = placed.select(
-        "doc_id", "size", F.col("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.when(a == 0, share).otherwise(demand).alias("position")
-    )
+
+    def invert(share: Column) -> Column:
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+        return F.when(a == 0, share).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * share)) / (2 * F.when(a == 0, 1.0).otherwise(a)))
+
+    ratio = lambda x, y: F.when(y > 0, x / F.when(y > 0, y)).otherwise(0.0)
+    passes = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<long>"))
+    placed = placed.withColumn("copies", copies)
+    placed = placed.withColumn("positions", F.transform(passes, lambda k: invert(ratio(k * F.col("source_size") + middle, total))))
+    position = F.when(F.col("copies") > 0, F.element_at("positions", 1)).otherwise(invert(ratio(middle - F.col("extra"), rest)))
+    placed = placed.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), position.alias("position"), "positions")
     return placed.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Documents as the mix takes them: each row as often as its copies say, in the order of positions; rows that are not taken go."""
-    plan = curriculum(docs).select(F.col("doc_id").alias("__id"), "size", "copies", "position").where("copies > 0")
-    plan = plan.groupBy("__id", "size").agg(F.max("copies").alias("copies"), F.min("position").alias("position"))
+    """Documents as the mix takes them: each row as often as its copies say, each copy at its own position, in the order of positions; rows that are not taken go."""
+    plan = curriculum(docs).select(F.col("doc_id").alias("__id"), "size", "positions").where("copies > 0")
+    plan = plan.groupBy("__id", "size").agg(F.max(F.struct(F.size("positions").alias("copies"), "positions")).alias("most")).select("__id", "size", "most.positions")
     rows = docs.withColumn("__size", word_count(F.col("text")))
     taken = rows.join(plan, rows["doc_id"].eqNullSafe(plan["__id"]) & (rows["__size"] == plan["size"]))
-    taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return taken.repartitionByRange(F.col("position"), F.col("__id"), F.col("__copy")).sortWithinPartitions("position", "__id", "__copy").select(*[docs[c] for c in docs.columns])
+    taken = taken.select(*[docs[c].alias(f"__c{k}") for k, c in enumerate(docs.columns)], "__id", F.posexplode("positions").alias("__copy", "__at"))
+    dealt = taken.repartitionByRange(F.col("__at"), F.col("__id"), F.col("__copy")).sortWithinPartitions("__at", "__id", "__copy")
+    return dealt.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,35 @@ def test_positions_follow_the_schedule(docs):
         by.setdefault(x["doc_id"] % 3, []).append(x["position"])
     early, even, late = (sum(by[k]) / len(by[k]) for k in (0, 1, 2))
     assert early < 0.45 < even < 0.55 < late
+
+
+def schedule(slope, t):
+    return (1 - slope) * t + slope * t * t
+
+
+@pytest.mark.parametrize("sizes", [(1000, 1000, 1000), (60, 1500, 1500), (2000, 500, 700), (400, 1000, 150)])
+def test_taken_copies_follow_the_schedule_to_its_end(docs, sizes):
+    """Targets below, at and above the source's size: at each time the words taken so far are the schedule's share of all taken."""
+    rows, source = [], {}
+    for s, n in enumerate(sizes):
+        for _ in range(n):
+            source[len(rows)] = s
+            rows.append((len(rows), "w " * (1 + len(rows) % 3), f"s{s}"))
+    size = {i: len(t.split()) for i, t, _ in rows}
+    copies = {s: [] for s in range(3)}
+    for x in mix(docs, rows):
+        assert len(x["positions"]) == x["copies"] and x["positions"] == sorted(x["positions"])
+        copies[source[x["doc_id"]]] += [(p, size[x["doc_id"]]) for p in x["positions"]]
+    for s, slope in enumerate(mixing.SLOPES):
+        total = sum(w for _, w in copies[s])
+        for t in (0.1, 0.25, 0.5, 0.75, 0.9, 1.0):
+            assert sum(w for p, w in copies[s] if p <= t) / total == pytest.approx(schedule(slope, t), abs=2.5 / total + 1e-9), (s, t)
+
+
+def test_mixed_rows_stand_at_their_copies_positions(docs):
+    df = docs([(i, "w", f"s{i % 3}") for i in range(900)])
+    got = [x["doc_id"] for x in mixing.mix_documents(df).collect()]
+    last = [i % 3 for i in got[-len(got) // 4 :]]
+    assert all(last.count(k) for k in range(3))
+    want = sorted((p, x["doc_id"]) for x in mixing.curriculum(df).collect() for p in x["positions"])
+    assert got == [i for _, i in want]
