@@ -17,8 +17,8 @@ _KINDS = max(_CLASSES.values()) + 1
 EDGES = _KINDS * _KINDS
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|title|textarea|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|noscript|template|svg(?!(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>)|title|textarea|iframe)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z!?][^<>]*+>"
     r"|<[a-zA-Z/!][^<>]*+\Z",
@@ -126,6 +126,10 @@ class Forest:
                     block.append((node, " "))
                 continue
             tag = tag.lower()
+            if tag == "svg" and not m[2]:  # self-closed, or the pattern would have taken its content
+                if block:
+                    block.append((node, " "))
+                continue
             inline = tag in _INLINE
             if len(stack) == 1 and not m[2] and tag not in ("html", "head", "body", "meta", "link", "base"):
                 begin()

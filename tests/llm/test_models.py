@@ -218,6 +218,22 @@ def test_odd_pages(spark, model):
     assert extract.extract(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(
+    "odd",
+    ['<svg class="i"/>', "<SVG a='>' />", "<svg/>", '<svg class="i"><path d="M0"/></svg>', '<svg><svg/></svg>', '<svg-icon name="x"></svg-icon>', "<title-bar></title-bar>", "<template-card></template-card>", "<style-guide/>", "<script-x>", "<iframe.x>", "<!-->", "<!--->", "<!-- a --!>", "<!---->", "<!-- a > b -->", "<script>'<p>'</script>"],
+)
+def test_nothing_after_an_odd_tag_is_cut(odd):
+    forest = dom.Forest()
+    forest.add(f"<p>one</p>{odd}<p>two</p><p>three</p>")
+    forest.add(f"<p>one {odd} two</p><p>three</p>")
+    assert [" ".join(t for block in page for _, t in block).split() for page in forest.pages] == [["one", "two", "three"]] * 2
+
+
+def test_text_after_an_icon_is_extracted(model):
+    page = "<article><p>one is a sentence of some words</p>{}<p>two is a sentence of some words</p></article>"
+    assert extract.extract_texts([page.format(x) for x in ('<svg class="i"/>', "<!-->")], model) == ["one is a sentence of some words\ntwo is a sentence of some words"] * 2
+
+
 def test_given_pages(spark, model):
     rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
 
