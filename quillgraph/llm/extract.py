@@ -2,19 +2,21 @@
 
 Each block element of a page is a binary variable (content or not) of a conditional
 random field over the DOM tree. Unary potentials come from tag, class and id words,
-text length and link density; a 2 x 2 potential for each kind of child connects parent
-and child. Sum-product messages, upward and then downward, give exact marginals, for all
-pages of a batch at once, level by level. Weights maximise the conditional likelihood of
-labelled pages, with the same messages giving the expected counts; the labelled pages
-are generated from a grammar of page layouts (``labelled_pages``), as no table has labels.
+text length, link density, sentence ends, share of the page's text and cue words of
+boilerplate; a 2 x 2 potential for each kind of child connects parent and child.
+Sum-product messages, upward and then downward, give exact marginals, for all pages of a
+batch at once, level by level. Weights maximise the conditional likelihood of labelled
+pages, with the same messages giving the expected counts. As no table labels pages, these
+are generated from a grammar of layouts (``layouts``); the fitted weights are kept in
+``layout_model.json``, which ``python -m quillgraph.llm.extract`` fits and writes anew.
 """
 
 from __future__ import annotations
 
 import functools
-import math
-import random
+import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, workers_see_us
 from .dom import EDGES, FEATURES, Forest
+from .layouts import label_of, labelled_pages
 
-PAGES, STEPS, SEED = 640, 240, 11
+STEPS = 300
+MODEL = Path(__file__).with_name("layout_model.json")
 _CHUNK = 1 << 20
 
 
 def _sum(a: np.ndarray, axis: int) -> np.ndarray:
-    return np.logaddexp.reduce(a, axis=axis)
+    """Log of the sum of exponentials over an axis of two."""
+    return np.logaddexp(a.take(0, axis), a.take(1, axis))
 
 
 def unary(t: dict, w: np.ndarray) -> np.ndarray:
@@ -54,124 +59,9 @@ def marginals(t: dict, one: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, n
     return np.exp(belief - _sum(belief, 1)[:, None]), joint
 
 
-_CONTENT = "article post entry content story main text body prose page document".split()
-_NOISE = {
-    "nav": "nav menu navigation navbar links topics breadcrumb breadcrumbs pagination pager toc categories".split(),
-    "header": "header top masthead branding logo banner topbar site".split(),
-    "footer": "footer bottom copyright legal colophon imprint credits".split(),
-    "aside": "sidebar side widget related recommended popular trending aside archive rail more".split(),
-    "ad": "ad ads advert advertisement sponsor sponsored promo promotion banner adbox dfp partner".split(),
-    "notice": "cookie cookies notice consent gdpr alert notification warning message popup modal overlay paywall subscribe newsletter signup".split(),
-    "form": "form search login subscribe contact newsletter register field".split(),
-    "comments": "comment comments reply replies discussion responses thread disqus respond feedback".split(),
-    "share": "share social follow sharing buttons tags meta".split(),
-}
-_NEUTRAL = "box row col wrap wrapper container inner outer block section c grid item unit x".split()
-
-
-def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
-    """Pages of many layouts whose elements carry their label in the attribute y (1: article content)."""
-    r = random.Random(seed)
-
-    def words(k: int) -> str:
-        return " ".join("".join(r.choice("abcdefghilmnoprstuvé") for _ in range(r.randint(2, 9))) for _ in range(k))
-
-    def length(scale: float) -> int:
-        """Words of a paragraph: a page's or a region's own scale, so that length alone tells little."""
-        return int(math.exp(r.uniform(0, scale)))
-
-    def attrs(pool: list[str] | None) -> str:
-        x = r.random()
-        if pool is None or x < 0.2:
-            name = r.choice(_NEUTRAL) if r.random() < 0.3 else ""
-        else:
-            name = r.choice(pool)
-            name += r.choice(["", "", "", "-" + r.choice(_NEUTRAL), "_" + r.choice(_NEUTRAL), " " + r.choice(_NEUTRAL)])
-        return f' {r.choice(["class", "class", "id"])}="{name}"' if name else ""
-
-    def el(tag: str, y: int, inner: str, pool: list[str] | None = None) -> str:
-        return f'<{tag}{attrs(pool)} y="{y}">{inner}</{tag}>'
-
-    def plain(tag: str, y: int, inner: str) -> str:
-        return f'<{tag} y="{y}">{inner}</{tag}>'
-
-    def marked(tag: str, pool: list[str], inner: str) -> str:
-        """A boilerplate element that says in a class or id what it is."""
-        return f'<{tag} {r.choice(["class", "class", "id"])}="{r.choice(pool)}{r.choice(["", "-" + r.choice(_NEUTRAL)])}" y="0">{inner}</{tag}>'
-
-    def link_list(k: int) -> str:
-        items = "".join(plain("li", 0, f'<a href="/x">{words(r.randint(1, 3))}</a>') for _ in range(k))
-        return plain(r.choice(["ul", "ul", "ol"]), 0, items)
-
-    def noise(kind: str) -> str:
-        pool = _NOISE[kind]
-        if kind == "nav":
-            return el(r.choice(["nav", "nav", "div", "ul"]), 0, link_list(r.randint(3, 12)), pool)
-        if kind == "header":
-            return el(r.choice(["header", "header", "div"]), 0, r.choice([plain("h1", 0, words(2)), plain("p", 0, words(r.randint(2, 8))), plain("div", 0, words(2)), words(4)]) + r.choice(["", noise("nav")]), pool)
-        if kind == "footer":
-            return el(r.choice(["footer", "footer", "div"]), 0, r.choice([plain("p", 0, "&copy; " + words(r.randint(3, 25))), "&copy; " + words(r.randint(3, 25)), link_list(4)]), pool)
-        if kind == "aside":
-            return el(r.choice(["aside", "aside", "div", "section"]), 0, plain(r.choice(["h2", "h3", "h4"]), 0, words(2)) + r.choice([link_list(5), plain("p", 0, words(r.randint(10, 90)))]), pool)
-        if kind == "form":
-            return plain("form", 0, r.choice([words(r.randint(2, 9)), plain("label", 0, words(3)) + plain("p", 0, words(r.randint(3, 30)))]) + '<input name="q">' + plain("button", 0, words(1)))
-        scale = r.uniform(1.5, 6)
-        if kind == "comments":
-            one = lambda: marked(r.choice(["div", "li", "section", "div", "li", "div", "li", "article"]), pool, r.choice(["", plain("h4", 0, words(2)), plain("div", 0, words(3))]) + "".join(plain("p", 0, words(length(scale))) for _ in range(r.randint(1, 3))))
-            return marked(r.choice(["section", "div", "ol", "aside"]), pool, r.choice(["", plain(r.choice(["h2", "h3"]), 0, words(1))]) + "".join(one() for _ in range(r.randint(1, 5))))
-        return marked(r.choice(["div", "div", "p", "section", "aside"]), pool, r.choice([words(length(min(scale, 5))), plain("p", 0, words(length(min(scale, 5))))]))
-
-    def body_blocks() -> list[str]:
-        out = [plain("h1", 1, words(r.randint(2, 10)))] if r.random() < 0.8 else []
-        scale = r.uniform(1.5, 6)
-        for _ in range(r.choice([1, 2, 3, 4, 5, 8, 12, 20, 30, 100])):
-            x, n = r.random(), length(scale)
-            if x < 0.75:
-                out.append(plain("p", 1, words(n) + (f' <a href="/y">{words(2)}</a> ' + words(n) if r.random() < 0.2 else "")))
-            elif x < 0.83:
-                out.append(plain(r.choice(["h2", "h3"]), 1, words(r.randint(1, 7))))
-            elif x < 0.9:
-                out.append(plain(r.choice(["ul", "ol"]), 1, "".join(plain("li", 1, words(r.randint(2, 20))) for _ in range(r.randint(2, 6)))))
-            elif x < 0.95:
-                out.append(plain("blockquote", 1, plain("p", 1, words(n))))
-            elif x < 0.965:
-                out.append(plain(r.choice(["pre", "figcaption", "div"]), 1, words(n)))
-            elif x < 0.98:
-                out.append(plain("table", 1, "".join(plain("tr", 1, "".join(plain("td", 1, words(length(3))) for _ in range(3))) for _ in range(3))))
-            else:
-                out.append("<br>".join(words(n) for _ in range(r.randint(1, 4))))
-        for _ in range(r.choice([0, 0, 1, 2])):
-            out.insert(r.randint(0, len(out)), noise(r.choice(["ad", "share", "aside", "notice", "form", "nav"])))
-        if r.random() < 0.15:
-            out.append(noise("comments"))
-        return out
-
-    def article() -> str:
-        inner, x = "".join(body_blocks()), r.random()
-        if x < 0.5:
-            return (el if r.random() < 0.5 else lambda tag, y, inner, _: plain(tag, y, inner))("article", 1, inner if r.random() < 0.6 else f'<div class="{r.choice(_CONTENT)}" y="1">{inner}</div>', _CONTENT)
-        if x < 0.62:
-            return plain("main", 1, inner)
-        if x < 0.9:
-            return f'<{(tag := r.choice(["div", "div", "section"]))} {r.choice(["class", "id"])}="{r.choice(_CONTENT)}{r.choice(["", "-" + r.choice(_CONTENT)])}" y="1">{inner}</{tag}>'
-        return inner
-
-    pages = []
-    for _ in range(n // 5):  # fragments and plain texts
-        pages.append(r.choice([article(), "".join(body_blocks()), f"<article y=\"1\">{plain('p', 1, words(length(4)))}</article>", f'<body y="1">{words(length(5))}</body>', f'<body y="1">{words(length(4))}<br>{words(length(5))}</body>', f'<body y="1">{words(length(4))}{plain("p", 1, words(length(5)))}</body>']))
-    for _ in range(n):
-        before = [noise(k) for k in r.sample(["nav", "header", "ad", "notice", "form", "nav"], r.randint(0, 4))]
-        after = [noise(k) for k in r.sample(["footer", "aside", "comments", "ad", "share", "notice", "form", "nav", "footer"], r.randint(0, 5))]
-        middle = article()
-        if r.random() < 0.3:
-            middle = el("div", 0, noise("aside") + middle if r.random() < 0.5 else middle + noise("aside"))
-        pages.append("<html><head><title>x</title></head>" + plain("body", 0, "".join([*before, middle, *after])) + "</html>")
-    return pages
-
-
 def train(pages: list[str] | None = None, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features and log potentials of edges, by Adam on the exact conditional likelihood."""
-    forest = Forest()
+    forest = Forest(label_of)
     for page in labelled_pages() if pages is None else pages:
         forest.add(page)
     t = forest.arrays()
@@ -197,8 +87,19 @@ def train(pages: list[str] | None = None, steps: int = STEPS) -> tuple[np.ndarra
 
 @functools.cache
 def default_model() -> tuple[np.ndarray, np.ndarray]:
-    """The model of the generated layouts: the same in every process, and fitted once in each."""
-    return train()
+    """The kept model of the generated layouts, read on the driver only."""
+    kept = json.loads(MODEL.read_text())
+    w, pair = np.zeros(FEATURES), np.zeros(EDGES * 4)
+    w[kept["features"]], pair[kept["edges"]] = kept["feature_weights"], kept["edge_weights"]
+    return w, pair.reshape(EDGES, 2, 2)
+
+
+def write_model(model: tuple[np.ndarray, np.ndarray], at: Path = MODEL) -> None:
+    """Keep the weights that are not zero, at three decimals."""
+    w, pair = model[0].round(3), model[1].round(3).ravel()
+    f, e = np.flatnonzero(w), np.flatnonzero(pair)
+    kept = {"features": f.tolist(), "feature_weights": w[f].tolist(), "edges": e.tolist(), "edge_weights": pair[e].tolist()}
+    at.write_text("{\n" + ",\n".join(f" {json.dumps(k)}: {json.dumps(v)}" for k, v in kept.items()) + "\n}\n")
 
 
 def extract_texts(pages: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[str]:
@@ -254,3 +155,7 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
 
 def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+if __name__ == "__main__":
+    write_model(train())

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import boosting, dom, extract, labelled, quality, toxicity
+from quillgraph.llm import boosting, dom, extract, labelled, layouts, quality, toxicity
 from quillgraph.llm.common import arrow_bytes, blocks, span_hashes, word_spans
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
@@ -165,7 +165,7 @@ def test_kernels():
 
 @pytest.fixture(scope="module")
 def model():
-    return extract.train()
+    return extract.default_model()
 
 
 def test_marginals_against_enumeration():
@@ -188,8 +188,8 @@ def test_marginals_against_enumeration():
 
 
 def test_fresh_layouts(model):
-    forest = dom.Forest()
-    for page in extract.labelled_pages(150, seed=77):
+    forest = dom.Forest(layouts.label_of)
+    for page in layouts.labelled_pages(150, seed=77):
         forest.add(page)
     y = np.array([x or 0 for x in forest.label])
     t = forest.arrays()
