@@ -117,8 +117,15 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return dealt.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
+#: Positions are reported in billionths of the training run, as whole numbers.
+UNIT = 1e9
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """The mix with position (of the first copy) and positions (of all copies, joined by commas) in billionths of the run."""
+    units = lambda p: F.floor(p * UNIT).cast("long")
+    every = F.array_join(F.transform("positions", lambda p: units(p).cast("string")), ",")
+    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", units(F.col("position")).alias("position"), every.alias("positions"))
 
 
 OP9_SQL = r"""
@@ -131,12 +138,18 @@ f AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total,
              sum(cap) OVER (ORDER BY cap / weight, k ROWS UNBOUNDED PRECEDING) - cap AS fullest,
              sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened FROM w),
 l AS (SELECT (total - fullest) / opened AS level FROM f WHERE cap / weight > (total - fullest) / opened ORDER BY cap / weight, k LIMIT 1),
-t AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT level FROM l)), cap) AS target FROM f),
+t AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT level FROM l)), cap) AS target,
+             CAST(CASE k % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0 ELSE 0.5 END AS DOUBLE) AS slope FROM f),
 r AS (SELECT d.*, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM d),
-c AS (SELECT r.doc_id, r.size, t.source_size, t.target,
-             CAST(CASE WHEN t.source_size = 0 THEN 1
-                       ELSE floor(t.target / t.source_size)
-                            + CASE WHEN r.size > 0 AND r.before + r.size / 2.0 <= t.target - floor(t.target / t.source_size) * t.source_size THEN 1 ELSE 0 END END AS BIGINT) AS copies
-      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
+g AS (SELECT r.*, t.source_size, t.target, t.slope, CAST(floor(t.target / t.source_size) AS BIGINT) AS whole,
+             t.target - floor(t.target / t.source_size) * t.source_size AS spare, r.before + CAST(r.size AS DOUBLE) / 2 AS middle
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN source_size = 0 THEN 1 ELSE whole + CASE WHEN size > 0 AND middle <= spare THEN 1 ELSE 0 END END AS copies FROM g),
+x AS (SELECT source, max(before + size) AS extra FROM c WHERE size > 0 AND middle <= spare GROUP BY source),
+y AS (SELECT c.*, coalesce(x.extra, 0) AS extra FROM c LEFT JOIN x ON c.source IS NOT DISTINCT FROM x.source),
+z AS (SELECT *, [CASE WHEN whole * source_size + extra > 0 THEN (i * source_size + middle) / CAST(whole * source_size + extra AS DOUBLE) ELSE 0 END FOR i IN range(copies)] AS shares,
+             CASE WHEN source_size - extra > 0 THEN (middle - extra) / CAST(source_size - extra AS DOUBLE) ELSE 0 END AS untaken FROM y),
+q AS (SELECT *, [CAST(floor(1e9 * CASE WHEN slope = 0 THEN p ELSE (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * p)) / (2 * slope) END) AS BIGINT)
+                 FOR p IN [CAST(greatest(0, least(1, coalesce(v, 0))) AS DOUBLE) FOR v IN CASE WHEN copies > 0 THEN shares ELSE [untaken] END]] AS placed FROM z)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, placed[1] AS position, CASE WHEN copies > 0 THEN array_to_string(placed, ',') ELSE '' END AS positions FROM q
 """
