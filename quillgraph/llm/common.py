@@ -34,20 +34,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    A lazy result may still read the table after its maker returned, so what discard() does
+    not delete sooner goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote, once everything made from them has been written too."""
     for df in tables:
-        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_at)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _file_system(df.sparkSession, df._cut_at)
+        fs.delete(at, True)
+
+
+def python_partitions(spark: SparkSession, units: int, most: int) -> int:
+    """Partitions for a stage whose cost is in Python, by its own measure of work: at most ``most`` units each, and none joined by its bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // most))
 
 
 #: Rows and bytes of an Arrow batch: what a Python worker holds at once, however long the texts are.

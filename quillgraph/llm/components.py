@@ -30,7 +30,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links -> (id, component): each linked id with the smallest id that it reaches. Ids without a link have no row.
 
-    Every step is a shuffle of the edge table and cut by a written table; a hub's edges are
+    The result reads a written table, so discard() may delete it. Every step is a shuffle of the edge table and cut by a written table; a hub's edges are
     pre-aggregated by min before the shuffle, and the joins on hubs are split by AQE.
     """
     now = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
@@ -40,5 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(last)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)"))).head()
         if state == seen:
-            return now.select(F.col("v").alias("id"), F.col("u").alias("component"))
+            found = now.select(F.col("v").alias("id"), F.col("u").alias("component"))
+            found._cut_at = now._cut_at
+            return found
         seen = state

@@ -10,9 +10,10 @@ five deviations of the bar are confirmed on the full sets. Sets of fewer shingle
 registers share few values among many registers, so their estimate spreads wider than a
 binomial one and rejects nothing: pairs with such a set are confirmed on the full sets.
 
-Documents with equal sets are one class and only its smallest id goes on. No pairs are
-formed within a bucket at first: each member meets the bucket's smallest id. Confirmed
-links become components, and only buckets that still hold several components have their
+Rows with equal sets are one class, and classes, not doc_ids, are what is linked: a class
+has a number of its own and the smallest doc_id of its rows. No pairs are formed within a
+bucket at first: each member meets the bucket's smallest number. Confirmed links become
+components, and only buckets that still hold several components have their
 remaining cross-component pairs estimated, in blocks of bounded size. A pair whose ends
 already are connected needs no test, so no link between different components is lost.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, blocks, cut, discard, mix, table, word_hashes, workers_see_us
+from .common import arrow_bytes, blocks, cut, discard, mix, python_partitions, table, word_hashes, workers_see_us
 from .components import components
 from .tokens import forget
 
@@ -42,6 +43,8 @@ MANTISSA = 10
 MARGIN = 5.0
 #: Members of a bucket, and shingles of theirs, that one side of a block pair in the second round has on average.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Rows of block pairs in one task of the second round.
+TASK_ROWS = 4096
 _CHUNK = 1 << 21
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -110,28 +113,33 @@ def sketches(value: np.ndarray, at: np.ndarray, registers: int = REGISTERS, mant
     return packed
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("registers", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("registers", pa.binary())])
+
+
+def _set_ids(value: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """128 bits that equal sets share; None for an empty set."""
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + _STEP))])
+    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ _STEP))])
+    ids = np.stack([run[first[1:]] - run[first[:-1]], other[first[1:]] - other[first[:-1]]], 1)
+    return [None if n == 0 else ids[i].tobytes() for i, n in enumerate(np.diff(first))]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
     for batch in batches:
-        _, at = arrow_bytes(batch.column(1))
+        _, at = arrow_bytes(batch.column(2))
         for a, b in blocks(at, _CHUNK):
-            value, first = shingle_sets(batch.column(1).slice(a, b - a))
-            size = np.diff(first)
-            regs = sketches(value, first)
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + _STEP))])
-            other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ _STEP))])
-            ids = np.stack([run[first[1:]] - run[first[:-1]], other[first[1:]] - other[first[:-1]]], 1)
-            keep = [None if n == 0 else ids[i].tobytes() for i, n in enumerate(size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(keep, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], schema=_SKETCH)
+            value, first = shingle_sets(batch.column(2).slice(a, b - a))
+            regs = [r.tobytes() for r in sketches(value, first)]
+            own = [batch.column(k).slice(a, b - a) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first)), pa.array(_set_ids(value, first), pa.binary()), pa.array(regs, pa.binary())], schema=_SKETCH)
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (128 bits that equal sets share; null for an empty set), registers."""
+    """doc_id, mark (a hash of the text, to find the row again), n_shingles, set_id (128 bits that equal sets share; null for an empty set), registers."""
     workers_see_us(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, set_id binary, registers binary")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("mark"), docs["text"].alias("text"))
+    return rows.mapInArrow(_sketch, "doc_id long, mark long, n_shingles long, set_id binary, registers binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +148,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, at = arrow_bytes(batch.column(1))
         for a, b in blocks(at, _CHUNK):
             value, first = shingle_sets(batch.column(1).slice(a, b - a))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([value[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["id", "shingles"])
+            sets = pa.array([value[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_set_ids(value, first), pa.binary()), sets], names=["rep", "set_id", "shingles"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, mantissa: int = MANTISSA) -> np.ndarray:
@@ -173,8 +182,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def similar_enough(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sizes and estimate leave the bar within reach."""
-    left = sketched.select(F.col("doc_id").alias("u"), F.col("registers").alias("ru"), F.col("n_shingles").alias("nu"))
-    right = sketched.select(F.col("doc_id").alias("v"), F.col("registers").alias("rv"), F.col("n_shingles").alias("nv"))
+    left = sketched.select(F.col("id").alias("u"), F.col("registers").alias("ru"), F.col("n_shingles").alias("nu"))
+    right = sketched.select(F.col("id").alias("v"), F.col("registers").alias("rv"), F.col("n_shingles").alias("nv"))
 
     @F.pandas_udf("boolean")
     def near(ru: pd.Series, rv: pd.Series, nu: pd.Series, nv: pd.Series) -> pd.Series:
@@ -193,9 +202,10 @@ def shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, shingles) of the asked ids: the only texts that are read again."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")).join(asked, "id", "left_semi")
-    return texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"])
+    """(id, shingles) of the asked classes (id, rep, set_id): only texts of rows with such a doc_id are read again, and of each class one row's set stays."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].alias("text")).join(asked.select("rep"), "rep", "left_semi")
+    found = texts.mapInArrow(_sets, "rep long, set_id binary, shingles binary").join(asked, ["rep", "set_id"])
+    return found.select("id", "shingles").dropDuplicates(["id"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -271,7 +281,7 @@ def _connect(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def late_links(bands: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between different components that share a band. bands: key, band, id; members: id, component, n_shingles, registers.
+    """A written table of links between different components that share a band. bands: key, band, id; members: id, component, n_shingles, registers.
 
     Only buckets that hold several components are looked at. A small one is one group. A larger one's greatest component and
     its other members are dealt by hash into parts of about BLOCK members or BLOCK_SHINGLES
@@ -299,48 +309,66 @@ def late_links(bands: DataFrame, members: DataFrame, sets: DataFrame) -> DataFra
     among = F.transform(upto("p_other"), lambda b: place(F.least(a, b), F.greatest(a, b), F.when(a < b, 0).when(a == b, 1).otherwise(2)))
     with_main = F.transform(upto("p_main"), lambda b: place(-1 - a, b, F.lit(0)))
     from_main = F.transform(upto("p_other"), lambda b: place(-1 - b, a, F.lit(2)))
-    met = dealt.select("key", "band", "id", F.inline(F.when(F.col("own"), from_main).otherwise(F.concat(among, with_main))))
-    rows = met.join(members, "id")
-    flagged = cut(rows.groupBy("key", "i", "j").applyInPandas(_flag, "key long, i long, j long, id long, side int"), "flagged")
+    met = cut(dealt.select("key", "band", "id", F.inline(F.when(F.col("own"), from_main).otherwise(F.concat(among, with_main)))), "met")
+    group = ["key", "i", "j"]
+    tasks = python_partitions(met.sparkSession, met.count(), TASK_ROWS)
+    rows = met.join(members, "id").repartition(tasks, *group)
+    flagged = cut(rows.groupBy(*group).applyInPandas(_flag, "key long, i long, j long, id long, side int"), "flagged")
     full = flagged.join(members, "id").join(sets, "id").join(bands.select("key", "id", "band"), ["key", "id"])
-    return full.groupBy("key", "i", "j").applyInPandas(_connect, "u long, v long").distinct()
+    tasks = python_partitions(met.sparkSession, flagged.count(), TASK_ROWS)
+    late = cut(full.repartition(tasks, *group).groupBy(*group).applyInPandas(_connect, "u long, v long").distinct(), "late")
+    discard(met, flagged)
+    return late
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Texts without words have no shingles and are components of their own. Rows with one
-    doc_id and equal texts are one document. Null doc_ids keep a null component. An empty
-    table gives no rows. Only doc_id and text are read, so other columns cannot clash.
-    """
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, kept of each row."""
     sketched = cut(sketch_table(docs), "sketches")
-    classes = cut(sketched.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = cut(sketched.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "registers"), "representatives")
+    known = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers hold once they are written
     width = 2 * BAND
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.substring("registers", 1 + width * i, width), F.lit(i)).alias("key")) for i in range(BANDS)])
-    every = reps.select(F.col("doc_id").alias("id"), F.inline(keys))
+    every = classes.select("id", F.inline(keys))
     common = every.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
     bands = cut(every.join(common, "key"), "bands")
-    sets = cut(full_sets(docs, bands.select("id").distinct()), "sets")
+    asked = classes.select("id", "rep", "set_id").join(bands.select("id"), "id", "left_semi")
+    sets = cut(full_sets(docs, asked), "sets")
     stars = bands.where("id <> low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
-    links = cut(confirm(similar_enough(stars, reps), sets), "links")
+    links = cut(confirm(similar_enough(stars, classes), sets), "links")
     found = components(links)
-    members = reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component"), "n_shingles", "registers")
+    members = classes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n_shingles", "registers")
     members = cut(members, "members")
-    late = cut(late_links(bands.select("key", "band", "id"), members, sets), "late")
+    late = late_links(bands.select("key", "band", "id"), members, sets)
     if not late.isEmpty():
+        discard(found)
         found = components(links.unionByName(late))
-    discard(reps, bands, sets, links, members, late)
-    label = classes.join(found, classes["rep"] == found["id"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    out = sketched.join(label, "set_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    placed = classes.select("id", "rep", "set_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    label = cut(placed.join(lowest, "component").select("set_id", "component_id"), "labels")
+    discard(classes, bands, sets, links, members, late, found)
+    out = sketched.join(label, (sketched["set_id"] == label["set_id"]) & sketched["doc_id"].isNotNull(), "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Each row is a text of its own: links go from shingle set to shingle set, so of rows with
+    one doc_id and different texts each has its own links and component, and that component
+    is the smallest doc_id of all rows reached. Texts without words have no shingles and are
+    components of their own. Rows without doc_id take no part: they have a null component,
+    are kept, and link nothing. An empty table gives no rows. Only doc_id and text are read,
+    so other columns cannot clash.
+    """
+    return _labelled(docs).drop("mark")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """Documents with one row of each near-duplicate group: the one with the smallest doc_id."""
-    stay = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    """Documents with one document of each near-duplicate group: the one with the smallest doc_id. Rows of one doc_id are decided each by its own text; rows without doc_id stay."""
+    stay = _labelled(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]) & (F.xxhash64(docs["text"]) == stay["__mark"]), "left_semi")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

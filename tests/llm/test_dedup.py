@@ -5,6 +5,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import exact_dedup, near_dedup
 from quillgraph.llm.components import components
@@ -210,3 +211,42 @@ def test_shingle_sets_equal_across_batches():
     value, at = near_dedup.shingle_sets(pa.array(texts))
     one, _ = near_dedup.shingle_sets(pa.array(["a b c d e f g"]))
     assert list(at) == [0, 3, 4, 4, 7] and list(value[:3]) == list(one) == list(value[4:])
+
+
+def _text(k, n=40):
+    return " ".join(f"t{k}w{i}" for i in range(n))
+
+
+def test_links_go_from_set_to_set_not_from_id_to_id(docs):
+    """Rows of one doc_id with different texts: each has the links of its own text."""
+    a, b = _text(1), _text(2)
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(docs([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, _text(3))])).collect())
+    assert got == [(1, 36, 1, True), (1, 36, 1, True), (2, 37, 1, False), (3, 37, 1, False), (4, 36, 4, True)]
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(docs([(5, a), (5, b), (2, a + " x"), (3, b + " y")])).collect())
+    assert got == [(2, 37, 2, True), (3, 37, 3, True), (5, 36, 2, False), (5, 36, 3, False)]
+
+
+def test_rows_without_id_take_no_part(docs):
+    a = _text(1)
+    df = docs([(None, a), (None, a), (7, a), (8, a + " x"), (None, None)], {"mark": F.lit("m"), "component_id": F.lit("c"), "set_id": F.lit(1)})
+    got = sorted((tuple(r) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    assert got == [(7, 36, 7, True), (8, 37, 7, False), (None, 0, None, True), (None, 36, None, True), (None, 36, None, True)]
+    left = near_dedup.drop_near_copies(df)
+    assert left.columns == df.columns and sorted((str(r["doc_id"]) for r in left.collect())) == ["7", "None", "None", "None"]
+
+
+def test_near_copies_that_go_are_rows_not_ids(docs):
+    a, b = _text(1), _text(2)
+    df = docs([(5, a), (5, b), (2, a + " x")])
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(df).collect()) == [(2, a + " x"), (5, b)]
+
+
+def test_written_tables_go(spark, docs):
+    import os
+
+    from quillgraph.llm.common import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    near_dedup.near_duplicates(docs([(1, _text(1)), (2, _text(1) + " x"), (3, _text(2))])).collect()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before}
+    assert left <= {"sketches", "labels"}  # what the lazy result reads; it goes when the JVM ends
