@@ -50,6 +50,22 @@ def test_top_k_edges(spark):
     assert top_rows(df.limit(0)) == []
 
 
+def test_top_k_in_rounds_and_repeated_queries(spark, monkeypatch):
+    """Many small rounds give what one gives; rows with a query's id are no candidates of it, and each query row has its own answer."""
+    r = random.Random(2)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(160)] + [(50, [0.1] * 6), (7, [0.9] * 6)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
+    want = top_brute(rows, range(0, 200, 50))
+    assert top_rows(df) == want
+    monkeypatch.setattr(topk, "QUERIES", 1)
+    monkeypatch.setattr(topk, "ROUND_BYTES", 1)
+    monkeypatch.setattr(topk, "ROWS", 16)
+    monkeypatch.setattr(topk, "_HELD", 8)
+    assert top_rows(df) == want
+    plan = topk.top_k(df, df.where("vec_id = 0"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 ODD = ["Ünïcode's ΣΑΣ İx don't we'LL 12ab <|endoftext|> a<|startoftext|>b", " x y\x1cz\x85q\u3000w", "à \u0300b", "'tis 'S _x_ x__.", "日本語 ǅ ß ﬁ", None, "", " \n", "word " * 3000, "x" * 5000]
 
 
