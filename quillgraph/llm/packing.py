@@ -1,8 +1,10 @@
 """Vector bin packing of documents into training sequences (operator 6).
 
-A sequence has simultaneous limits on tokens, segments and loss-bearing tokens. Whole
-multiples of the token limit fill sequences of their own; what is left of each document
-goes to a bounded pool. The dot-product heuristic then fills one sequence at a time with
+A sequence has simultaneous limits on tokens, segments and loss-bearing tokens. For
+instruction data the first lines of a text of more lines are its prompt: they bear no
+loss, nor does a document's first token. Long documents are cut (into whole sequences
+where the loss limit lets one bear loss throughout, else into halves) and what is left of
+each document goes to a bounded pool. The dot-product heuristic then fills one sequence at a time with
 the feasible piece whose demand vector, weighted by the pool's mean demand, points most
 along what the sequence has left. Where no piece fits, the longest is cut to fill it.
 The last pieces of a partition go to sequences of a power of two tokens, which need no
@@ -26,44 +28,52 @@ from .tokens import WORD_BPE, word_bpe
 TOKENS = 2048
 SEGMENTS = 128
 LOSS = 2048
+#: Production limits for instruction data: a sequence trains on at most 31 of 32 of its tokens, so it needs examples with prompts.
+INSTRUCTION = (TOKENS, SEGMENTS, 1984)
+PROMPT_LINES = 1
 POOL = 512
 END_ID = 1
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, closed_by string"
+_ARROW = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in SCHEMA.split(", "))])
 
 
 class Packer:
-    """Places pieces (doc_id, start, ids as bytes, doc_tokens) into sequences."""
+    """Places pieces (doc_id, start, ids as bytes, doc_tokens, tokens of the document before its first loss) into sequences."""
 
     def __init__(self, first_id: int, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), pool: int = POOL):
         self.next, self.limits, self.most = first_id, np.array(limits, float), pool
         self.capacity, self.segments, self.loss = limits
         self.rows: list[tuple] = []
         self.pool: list[tuple] = []
+        self.whole = self.loss >= self.capacity
+        self.step = self.capacity if self.whole else 1 << (max(1, min(self.loss, self.capacity // 2)).bit_length() - 1)
 
     @staticmethod
     def demand(piece: tuple) -> tuple[int, int, int]:
-        """Tokens, segments and loss-bearing tokens: nothing predicts a document's first token."""
+        """Tokens, segments and loss-bearing tokens."""
         n = len(piece[2]) // 4
-        return n, 1, n - (piece[1] == 0)
+        return n, 1, max(0, piece[1] + n - max(piece[1], piece[4]))
 
-    def put(self, pieces: list[tuple]) -> None:
+    def put(self, pieces: list[tuple], closed_by: str) -> None:
         """Close a sequence."""
         offset = 0
-        for doc_id, start, ids, total in pieces:
-            n = len(ids) // 4
-            self.rows.append((doc_id, start, n, zlib.crc32(ids), total, self.next, offset))
+        for piece in pieces:
+            doc_id, start, ids, total, _ = piece
+            n, _, loss = self.demand(piece)
+            self.rows.append((doc_id, start, n, zlib.crc32(ids), total, self.next, offset, loss, closed_by))
             offset += n
         self.next += 1
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        total, start = len(ids) // 4, 0
-        step = self.capacity if self.loss >= self.capacity else 1 << (self.loss.bit_length() - 1)
-        while total - start >= step:
-            self.put([(doc_id, start, ids[4 * start : 4 * (start + step)], total)])
-            start += step
-        if start < total:
-            self.pool.append((doc_id, start, ids[4 * start :], total))
+    def add(self, doc_id: int | None, ids: bytes, prompt: int = 0) -> None:
+        """Take a document whose first ``prompt`` tokens bear no loss; nothing predicts its first token."""
+        total, start, prompt = len(ids) // 4, 0, max(1, prompt)
+        while start < total:
+            piece = (doc_id, start, ids[4 * start : 4 * (start + self.step)], total, prompt)
+            start += self.step
+            if self.whole and start <= total:
+                self.put([piece], "tokens")
+                continue
+            self.pool.append(piece)
             if len(self.pool) >= 2 * self.most:
                 self.fill(self.most)
 
@@ -92,12 +102,13 @@ class Packer:
                     left_over -= 1
                 elif left_over and left[2] > 0:
                     k = int(np.argmax(np.where(free, need[:, 0], -1.0)))
-                    head, pool[k] = self.split(pool[k], int(min(left[0], left[2] + (pool[k][1] == 0))))
+                    head, pool[k] = self.split(pool[k], int(min(left[0], left[2] + max(0, pool[k][4] - pool[k][1]))))
                     chosen.append(head)
                     left -= self.demand(head)
                     need[k] = self.demand(pool[k])
                 else:
                     break
+            closed_by = "tokens" if left[0] == 0 and size == self.capacity else "end" if left[0] == 0 else "segments" if left[1] == 0 else "loss"
             used = sum(len(p[2]) for p in chosen) // 4
             back = used - (1 << (used.bit_length() - 1)) if used < self.capacity else 0
             while back:  # a sequence that another limit closed: end it at a power of two
@@ -112,29 +123,40 @@ class Packer:
                 pool.append(tail)
                 need = np.vstack([need, self.demand(tail)])
                 free = np.append(free, True)
-            self.put(chosen)
+            self.put(chosen, closed_by)
             waiting -= sum(len(p[2]) for p in chosen) // 4
         self.pool = [p for p, x in zip(pool, free) if x]
 
     @staticmethod
     def split(piece: tuple, n: int) -> tuple[tuple, tuple]:
-        doc_id, start, ids, total = piece
-        return (doc_id, start, ids[: 4 * n], total), (doc_id, start + n, ids[4 * n :], total)
+        doc_id, start, ids, *rest = piece
+        return (doc_id, start, ids[: 4 * n], *rest), (doc_id, start + n, ids[4 * n :], *rest)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*self.rows)], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows), _ARROW)], schema=_ARROW)
             self.rows = []
 
 
-def _pack(vocabulary: str, limits: tuple[int, int, int], pool: int):
+def prompt_of(text: str, lines: int) -> str:
+    """The first ``lines`` lines of a text of more lines; of any other text nothing."""
+    at = -1
+    for _ in range(lines):
+        at = text.find("\n", at + 1)
+        if at < 0:
+            return ""
+    return text[: at + 1]
+
+
+def _pack(vocabulary: str, limits: tuple[int, int, int], pool: int, prompt_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end = word_bpe(vocabulary), np.array([END_ID], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 40, limits, pool)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for doc_id, own in zip(ids, model.ids([x or "" for x in texts.to_pylist()])):
-                packer.add(doc_id, own + end)
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            prompts = model.ids([prompt_of(x, prompt_lines) for x in texts]) if prompt_lines else [b""] * len(texts)
+            for doc_id, own, prompt in zip(batch.column(0).to_pylist(), model.ids(texts), prompts):
+                packer.add(doc_id, own + end, len(prompt) // 4)
             yield from packer.flush()
         packer.fill(0)
         yield from packer.flush()
@@ -142,17 +164,25 @@ def _pack(vocabulary: str, limits: tuple[int, int, int], pool: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str = WORD_BPE, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), pool: int = POOL) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, vocabulary: str = WORD_BPE, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), pool: int = POOL, prompt_lines: int = 0) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, closed_by.
 
     Each id of each row's text lies in exactly one piece; null and empty texts are the end
     id alone. Repeated rows are packed each. An empty table gives no rows. Sequence ids
-    hold the partition and a running number; offsets run from 0 without gaps.
+    hold the partition and a running number; offsets run from 0 without gaps. loss_tokens
+    are those of the piece; closed_by says which limit closed its sequence (tokens, segments
+    or loss; end: the partition's last sequences, of a power of two). A sequence that
+    segments or loss closed ends at a power of two, so it needs no padding either.
     """
     workers_see_us(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInArrow(_pack(vocabulary, limits, pool), SCHEMA)
+    return rows.mapInArrow(_pack(vocabulary, limits, pool, prompt_lines), SCHEMA)
+
+
+def pack_instructions(docs: DataFrame) -> DataFrame:
+    """pack() with the production limits: first lines are prompts, and the loss limit binds."""
+    return pack(docs, limits=INSTRUCTION, prompt_lines=PROMPT_LINES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack_instructions(table(spark, sf_dir, "documents"))

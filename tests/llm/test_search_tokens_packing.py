@@ -117,6 +117,35 @@ def test_packing(docs, limits):
     check_packing(rows, packing.pack(df, limits=limits, pool=16).collect(), limits)
 
 
+def prompt_tokens(text):
+    """Tokens before the first that bears loss: those of the first of several lines, and a document's first."""
+    head, line_end, _ = (text or "").partition("\n")
+    return max(1, len(word_bpe().ids([head])[0]) // 4 if line_end else 0)
+
+
+@pytest.mark.parametrize("limits", [packing.INSTRUCTION, (256, 4, 200), (64, 8, 40)])
+def test_packing_with_prompts(docs, limits):
+    """All three limits hold and the loss limit binds, with no padding."""
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(["ab", "cde", "fgh."]) for _ in range(n))
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + i, say(r.randint(0, 60)) + r.choice(["\n", ""]) + say(r.randint(0, 900))) for i in range(200)]
+    pieces = packing.pack(docs(rows), limits=limits, pool=16, prompt_lines=1).collect()
+    check_packing(rows, pieces, (limits[0], limits[1], limits[0]))
+    free = {i: prompt_tokens(t) for i, t in rows}
+    loss, closed = {}, {}
+    for p in pieces:
+        assert p["loss_tokens"] == sum(k >= free[p["doc_id"]] for k in range(p["start"], p["start"] + p["length"]))
+        loss[p["sequence_id"]] = loss.get(p["sequence_id"], 0) + p["loss_tokens"]
+        closed[p["sequence_id"]] = p["closed_by"]
+    assert max(loss.values()) <= limits[2]
+    assert "loss" in closed.values() and set(closed.values()) <= {"tokens", "segments", "loss", "end"}
+
+
+def test_prompts():
+    assert [packing.prompt_of(t, 1) for t in ("", "a", "a\nb", "\n", "a\n")] == ["", "", "a\n", "\n", "a\n"]
+    assert packing.prompt_of("a\nb\nc", 2) == "a\nb\n" and packing.prompt_of("a\nb", 2) == ""
+
+
 def test_packing_is_repeatable_and_keeps_repeats(docs):
     df = docs([(1, "a b c"), (1, "a b c"), (2, "d")])
     once = sorted(map(tuple, packing.pack(df).collect()))
