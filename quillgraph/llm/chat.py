@@ -66,23 +66,46 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     part = F.struct("first", "message", "role", F.concat("head", "body", F.lit(CLOSE)).alias("shown"), "start", F.length("body").cast("long").alias("n"))
     out = shown.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     under = F.transform(F.filter("parts", lambda p: p["role"] == loss_role), lambda p: F.struct(p["start"].alias("start"), p["n"].alias("length")))
-    return out.select("conv_id", F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("formatted"), under.alias("loss_spans"))
+    return out.select("conv_id", F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("formatted"), under.alias("loss_spans"), F.size("parts").cast("long").alias("n_turns"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns and the text under the mask, from the formatted string and its spans alone."""
+    """Turns and the text under the mask, from the formatted string and its spans alone; one row for each conv_id, as render() gives them.
+
+    The string is cut into turns once. A running sum of turn lengths places every body, and
+    a body is under the mask if a span has its start and length. So the work is in
+    proportion to the text, however many turns there are: no span is looked up from the
+    string's start. All of it stays in the partition of the conversation.
+    """
     turns = F.regexp_extract_all("formatted", F.lit(r"(?s)<s>(.*?)</s>"), F.lit(1))
+    none = F.lit(None).cast("long")
+    part = lambda kind, start, length, turn: F.struct(F.lit(kind).alias("kind"), start.alias("start"), length.alias("length"), turn.alias("turn"))
+    whole = F.array(part(2, none, F.length("formatted").cast("long"), F.lit(None).cast("string")))  # a row of its own, so that the string is not carried beside every turn
+    parts = F.concat(F.transform(turns, lambda t: part(0, none, none, t)), F.transform("loss_spans", lambda s: part(1, s["start"].cast("long"), s["length"].cast("long"), F.lit(None).cast("string"))), whole)
+    rows = formatted.select("conv_id", F.posexplode(parts).alias("k", "part"))
     head = r"(?s)^([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n(.*)$"
-    plain = F.transform(turns, lambda t: F.concat(unescape(F.regexp_extract(t, head, 1)), F.lit("\n"), unescape(F.regexp_extract(t, head, 2)), F.lit("\n")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    read = formatted.select("conv_id", "formatted", plain.alias("turns"), loss.alias("loss"))
+    rows = rows.select("conv_id", "k", "part.kind", "part.start", "part.length", "part.turn", F.regexp_extract("part.turn", head, 1).alias("role"), F.regexp_extract("part.turn", head, 2).alias("body"))
+    so_far = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("turn") + len(OPEN) + len(CLOSE)).over(so_far), F.lit(0))
+    rows = rows.withColumn("start", F.when(F.col("kind") == 0, before + len(OPEN) + F.length("role") + 1).otherwise(F.col("start")))
+    masked = F.max(F.when(F.col("kind") == 1, F.col("length"))).over(Window.partitionBy("conv_id", "start"))
+    rows = rows.withColumn("under", masked == F.length("body")).where("kind <> 1")
+    said = unescape(F.col("body"))
+    plain = F.concat(unescape(F.col("role")), F.lit("\n"), said, F.lit("\n"))
+    read = rows.groupBy("conv_id").agg(
+        F.max(F.when(F.col("kind") == 2, F.col("length"))).alias("formatted_chars"),
+        F.count_if(F.col("kind") == 0).alias("n_turns"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.struct("k", plain.alias("plain"), F.when(F.col("under"), said).alias("loss"))))).alias("turns"),
+    )
+    joined = lambda name: F.array_join(F.transform("turns", lambda t: t[name]), "")
+    read = read.select("conv_id", "n_turns", "formatted_chars", joined("plain").alias("plain"), joined("loss").alias("loss"))
     return read.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        "n_turns",
+        F.sha2("plain", 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "formatted_chars",
     )
 
 

@@ -54,6 +54,29 @@ def test_chat_empty_and_clashing(spark):
     assert chat.read_back(chat.render(chat.fold_events(chat.events_of(more)))).head()["n_turns"] == 1
 
 
+def test_a_very_long_conversation_is_read_back_in_proportion(spark):
+    """20,000 turns: looking every span up from the string's start would be a day's work of copying."""
+    import time
+
+    said = [("assistant" if t % 2 else "user", f"turn {t} " + "word " * 40) for t in range(20_000)]
+    conv = spark.createDataFrame([(1, t, role, text) for t, (role, text) in enumerate(said)], CONV)
+    shown = chat.render(chat.fold_events(chat.events_of(conv)))
+    assert shown.head()["n_turns"] == len(said)
+    began = time.time()
+    got = chat.read_back(shown).head()
+    assert time.time() - began < 60
+    loss = "".join(x for role, x in said if role == "assistant")
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (len(said), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_read_back_takes_only_what_the_spans_say(spark):
+    """A span that is no body gives nothing, and a body without a span is not under the mask."""
+    shown = chat.render(chat.fold_events(chat.events_of(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "bc")], CONV))))
+    for change, loss in (("loss_spans", "bc"), ("filter(loss_spans, x -> false)", ""), ("transform(loss_spans, x -> struct(x.start + 1 AS start, x.length AS length))", ""), ("transform(loss_spans, x -> struct(x.start AS start, x.length - 1 AS length))", "")):
+        got = chat.read_back(shown.withColumn("loss_spans", F.expr(change))).head()
+        assert got["n_turns"] == 2 and got["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 # --------------------------------------------------------------------------- mixing
 
 
