@@ -6,12 +6,13 @@ folder. A Misra-Gries summary (Spark's mergeable frequent-items sketch) names di
 that may hold over one row in ``heavy_share``. Their exact counts and winners are then
 verified by a partial aggregation and broadcast: at most ``heavy_share`` rows, whatever
 the input. Rows of heavy digests meet their winner map-side; all others take an
-ordinary shuffle on the digest, where no key can be larger than the split allows.
+ordinary shuffle on the digest: their winners are aggregated with partial sums first and
+joined back, so no group is sorted or held in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table, without_white
@@ -46,16 +47,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty, and all empty texts are one group. Repeated rows with one
-    doc_id are counted each and share the decision. An empty table gives no rows. Columns
+    doc_id are counted each and share the decision; rows without doc_id stay only in a group
+    where one of them has the most code points and no row with a doc_id has as many. An empty table gives no rows. Columns
     of the input other than the two named are not read, so their names cannot clash.
     """
     rows = cut(narrow(docs, id_col, text_col), "digests")
     heavy = heavy_digests(rows, rows.count(), heavy_share)
     winners = cut(rows.join(F.broadcast(heavy), "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("keep_id")), "winners")
     hot = rows.join(F.broadcast(winners), "digest")
-    group = Window.partitionBy("digest")
-    ordered = group.orderBy(F.desc("n"), F.col("doc_id").asc_nulls_last())
-    cold = rows.join(F.broadcast(winners), "digest", "left_anti").select("*", F.count(F.lit(1)).over(group).alias("group_size"), F.first("doc_id").over(ordered).alias("keep_id"))
+    others = rows.join(F.broadcast(winners), "digest", "left_anti")
+    cold = others.join(others.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("keep_id")), "digest")
     return hot.select(*cold.columns).unionByName(cold).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

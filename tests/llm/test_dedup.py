@@ -213,6 +213,13 @@ def test_shingle_sets_equal_across_batches():
     assert list(at) == [0, 3, 4, 4, 7] and list(value[:3]) == list(one) == list(value[4:])
 
 
+def test_exact_copies_without_id(docs):
+    """Of equal lengths a row with doc_id stays before one without; a longer row without doc_id stays itself."""
+    rows = [(None, "a b"), (3, "ab"), (None, "c d"), (4, "c d"), (None, "e"), (None, "e")]
+    got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs(rows)).collect())
+    assert got == sorted([("None", "None", 2, True), ("3", "None", 2, False), ("None", "4", 2, False), ("4", "4", 2, True), ("None", "None", 2, True), ("None", "None", 2, True)])
+
+
 def _text(k, n=40):
     return " ".join(f"t{k}w{i}" for i in range(n))
 
