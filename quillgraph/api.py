@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from .operators import attribution, context, evaluation, finish, health, lab, retrieval, workflow
 from .sources import ledger, workspace
+from .sources.files import staged
 from .sources.payload import EDGE, NODE, parse_edge, parse_node, read_payload
 from .sources.store import Graph, Store, StoreError
 
 VERSION = "v1"
+#: Rows of a plan's targets up to which they are broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def command(name: str) -> Callable:
@@ -89,9 +92,9 @@ class Engine:
         confidence = scored.agg(evaluation.aggregate_confidence().alias("c")).head()["c"]
         decided = self.spark.range(1).select(evaluation.outcome(F.lit(confidence), F.lit(None).cast("double"), self.thresholds).alias("o")).head()["o"]
         kept = results.join(evaluation.bundle(scored, decided).select("id"), "id", "left_semi")
-        head = kept.where(F.col("rank") <= F.lit(max_tokens)).orderBy("rank")
+        head = kept.orderBy("rank").limit(max_tokens)
         record = attribution.recorded(scored, task, decided, confidence, now)
-        return {"decision": decided, "confidence": confidence, "context": context.pack(_plain(head), max_tokens), "attribution": _plain(record)[0]}
+        return {"decision": decided, "confidence": confidence, "context": context.pack(_plain(head), max_tokens, kept.count()), "attribution": _plain(record)[0]}
 
     # ---------------------------------------------------------------- versions and health
 
@@ -122,30 +125,45 @@ class Engine:
         wanted = list(dict.fromkeys(selected or known))
         if lost := [i for i in wanted if i not in known]:
             raise StoreError("unknown_action", ", ".join(lost))
-        for name in wanted:
-            nodes, edges = self._apply_one(nodes, edges, known[name])
-        return self.store.replace(Graph(nodes.select(*graph.entities.columns), self._like(edges, graph.relations)), metadata)
-
-    def _like(self, edges: DataFrame, relations: DataFrame) -> DataFrame:
-        for c in relations.columns:
-            if c not in edges.columns:
-                edges = edges.withColumn(c, F.lit(None).cast("string"))
-        return edges.select(*relations.columns)
-
-    def _apply_one(self, nodes: DataFrame, edges: DataFrame, action: dict) -> tuple[DataFrame, DataFrame]:
-        targets, into = list(action["target_ids"]), action.get("canonical_id")
-        ids = self.spark.createDataFrame([(t,) for t in targets], "id string")
-        if nodes.join(F.broadcast(ids), "id", "left_semi").count() < len(targets):
-            raise StoreError("invalid_action", f"{action.get('id')}: a target is no longer there")
-        if action["type"] == "prune_orphan":
-            if not edges.where(F.col("from_id").isin(targets) | F.col("to_id").isin(targets)).isEmpty():
-                raise StoreError("invalid_action", f"{action.get('id')}: the node has relations")
-            return health.remove_nodes(nodes, edges, ids)
-        moved = ids.where(F.col("id") != into).withColumn("canonical_id", F.lit(into))
-        merged = health.merge_entities(nodes, F.broadcast(moved))
-        if action["type"] == "resolve_contradiction":
-            merged = merged.withColumn("summary", F.when(F.col("id") == into, action["resolved"]).otherwise(F.col("summary")))
-        return merged, health.remap(edges, F.broadcast(moved))
+        batches = self._disjoint([known[name] for name in wanted])
+        for k, batch in enumerate(batches):
+            nodes, edges = self._apply_batch(nodes, edges, batch)
+            if k + 1 < len(batches):
+                nodes, edges = staged(nodes, "nodes"), staged(edges, "edges")
+        return self.store.replace(Graph(nodes.select(*graph.entities.columns), edges.select(*graph.relations.columns)), metadata)
+
+    @staticmethod
+    def _disjoint(actions: list[dict]) -> list[list[dict]]:
+        """The actions in runs that share no node, so that a run is one merge of all its groups."""
+        out: list[list[dict]] = []
+        seen: set[str] = set()
+        for action in actions:
+            touched = {*action["target_ids"], *filter(None, [action.get("canonical_id")])}
+            if not out or seen & touched:
+                out.append([])
+                seen = set()
+            out[-1].append(action)
+            seen |= touched
+        return out
+
+    def _apply_batch(self, nodes: DataFrame, edges: DataFrame, actions: list[dict]) -> tuple[DataFrame, DataFrame]:
+        """Actions that share no node, checked in two jobs and applied in one plan, however many there are."""
+        rows = [(a.get("id") or a.get("action_id"), a["type"], t, a.get("canonical_id"), a.get("resolved")) for a in actions for t in a["target_ids"]]
+        asked = self.spark.createDataFrame(rows, "action string, type string, id string, into string, resolved string")
+        asked = F.broadcast(asked) if len(rows) <= BROADCAST_ROWS else asked
+        if (row := asked.join(nodes.select("id"), "id", "left_anti").orderBy("action").head()) is not None:
+            raise StoreError("invalid_action", f"{row['action']}: a target is no longer there")
+        pruned = asked.where("type = 'prune_orphan'")
+        ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id"))
+        if (row := pruned.join(ends, "id", "left_semi").orderBy("action").head()) is not None:
+            raise StoreError("invalid_action", f"{row['action']}: the node has relations")
+        nodes, edges = health.remove_nodes(nodes, edges, pruned)
+        merged = asked.where("type <> 'prune_orphan'")
+        moved = merged.where("id <> into").select("id", F.col("into").alias("canonical_id"))
+        settled = merged.where("type = 'resolve_contradiction'").groupBy(F.col("into").alias("id")).agg(F.first("resolved").alias("settled"))
+        out = health.merge_entities(nodes, moved).join(settled, "id", "left")
+        out = out.withColumn("summary", F.coalesce("settled", "summary")).drop("settled")
+        return out, health.remap(edges, moved)
 
     # ---------------------------------------------------------------- workflow
 
@@ -159,15 +177,15 @@ class Engine:
         scored = self._scored(results, task, now)
         weighed = retrieval.down_ranked(results, scored.select("id", "composite", "fate", "stale"))
         kept = retrieval.ranked(weighed.drop("rank").where(~workflow.suppressed(kind["family"], kind["subprofile"] or "")))
-        n_all, rows = results.count(), _plain(kept.where(F.col("rank") <= max_tokens).orderBy("rank"))
+        n_all, rows = results.count(), _plain(kept.orderBy("rank").limit(max_tokens))
         n_kept, n_high = kept.count(), kept.where(workflow.high_signal()).count()
-        packed = context.pack(rows, max_tokens)
+        packed = context.pack(rows, max_tokens, n_kept)
         counts = self.spark.createDataFrame([(n_kept, len(packed["results"]), n_high, n_all - n_kept, ready["nodes"], ready["edges"], kickoff_mode)], "n_results long, n_projected long, n_high_signal long, n_suppressed long, nodes long, edges long, requested_mode string")
         for name in ("family", "subprofile", "default_mode", "inject_at", "minimal_at", "inject_budget", "minimal_budget", "low_mode"):
             counts = counts.withColumn(name, F.lit(kind[name]))
         advice = _plain(workflow.advisory(workflow.kickoff_confidence(counts), max_tokens))[0]
         mode = advice["effective_mode"]
-        shown = {"max_tokens": 0, "results": []} if mode == "abstain" else context.pack(rows, advice["budget"])
+        shown = {"max_tokens": 0, "results": []} if mode == "abstain" else context.pack(rows, advice["budget"], n_kept)
         return {"readiness": ready, "task": {k: kind[k] for k in ("family", "subprofile", "basis")}, "advisory": {k: advice[k] for k in ("confidence", "level", "effective_mode", "threshold", "budget", "next_step", "confidence_reasons")}, "context": shown}
 
     @command("workflow.finish")

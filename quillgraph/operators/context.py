@@ -105,19 +105,24 @@ def pack_one(result: dict, left: int) -> tuple[dict, int] | None:
     return _shape(head, more), used
 
 
-def pack(results: Iterable[dict], max_tokens: int) -> dict:
-    """An envelope of results in rank order, up to the first whose identity does not fit; none behind it is taken."""
+def pack(results: Iterable[dict], max_tokens: int, total: int | None = None) -> dict:
+    """An envelope of results in rank order, up to the first whose identity does not fit; none behind it is taken.
+
+    A result costs two tokens at least, so the first ``max_tokens`` results will do; ``total``
+    then says how many there are in all.
+    """
     if max_tokens <= 0:
         raise ValueError("max_tokens must be positive")
     results = list(results)
+    total = len(results) if total is None else total
     out: dict = {"max_tokens": max_tokens, "estimated_tokens": 0, "truncated": False, "omitted_results": 0, "results": []}
     for i, result in enumerate(results):
         packed = pack_one(result, max_tokens - out["estimated_tokens"])
         if packed is None:
-            return out | {"truncated": True, "omitted_results": len(results) - i}
+            return out | {"truncated": True, "omitted_results": total - i}
         out["results"].append(packed[0])
         out["estimated_tokens"] += packed[1]
-    return out
+    return out | ({"truncated": True, "omitted_results": total - len(results)} if total > len(results) else {})
 
 
 def pack_groups(results: DataFrame, key: str, max_tokens: int) -> DataFrame:

@@ -119,6 +119,13 @@ def missing_endpoints(relations: DataFrame, *entity_tables: DataFrame) -> DataFr
     return lost.groupBy("from_id", "kind", "to_id").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("missing"))
 
 
+def connected(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations whose both ends are entities."""
+    ids = entities.select("id")
+    met = relations.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return met.select(*relations.columns)
+
+
 def contains_all(desired: DataFrame, current: DataFrame) -> DataFrame:
     """Desired rows that the current ones lack or hold with other content (none: nothing to write)."""
     return desired.select(*desired.columns).exceptAll(current.select(*desired.columns))

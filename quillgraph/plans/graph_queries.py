@@ -214,24 +214,47 @@ _MOVED = "moved AS (SELECT unnest(node_ids) AS id, canonical_id FROM duplicate)"
 
 @query(
     with_(ENTITY, RELATION, _DUP, _MOVED)
-    + "SELECT DISTINCT coalesce(a.canonical_id, from_id) AS from_id, kind, coalesce(b.canonical_id, to_id) AS to_id FROM relation LEFT JOIN moved a ON from_id = a.id LEFT JOIN moved b ON to_id = b.id WHERE coalesce(a.canonical_id, from_id) <> coalesce(b.canonical_id, to_id)"
+    + """, m AS (SELECT coalesce(a.canonical_id, from_id) AS f, kind, coalesce(b.canonical_id, to_id) AS t, from_id, to_id FROM relation LEFT JOIN moved a ON from_id = a.id LEFT JOIN moved b ON to_id = b.id)
+SELECT f AS from_id, kind, t AS to_id, first('{"was":"' || from_id || ' ' || to_id || '"}' ORDER BY from_id, kind, to_id) AS props_json FROM m WHERE f <> t GROUP BY f, kind, t"""
 )
 def merge_remap(spark: SparkSession, d: str) -> DataFrame:
+    """Relations say in a property which ends they had, so that the one that stays of equal ones can be told."""
     moved = H.duplicate_groups(entities(spark, d)).select(F.explode("node_ids").alias("id"), "canonical_id").where("id <> canonical_id")
-    return H.remap(relations(spark, d), moved).drop("props_json")
+    was = relations(spark, d).withColumn("props_json", F.concat(F.lit('{"was":"'), "from_id", F.lit(" "), "to_id", F.lit('"}')))
+    return H.remap(was, moved)
 
 
 @query(
     with_(ENTITY, _DUP, _MOVED)
-    + """, m AS (SELECT e.*, coalesce(canonical_id, e.id) AS target FROM entity e LEFT JOIN moved ON e.id = moved.id),
-p AS (SELECT *, id <> target AS late FROM m)
-SELECT target AS id, first(kind ORDER BY late, id) AS kind, first(title ORDER BY strlen(coalesce(title, '')) DESC, late, id) AS title, first(summary ORDER BY strlen(coalesce(summary, '')) DESC, late, id) AS summary,
-       coalesce(array_to_string(list_sort(list_distinct(list(tag) FILTER (tag IS NOT NULL))), ','), '') AS tags FROM p GROUP BY target"""
+    + """, m AS (SELECT e.*, coalesce(canonical_id, e.id) AS target, 'k' || (strlen(e.id) % 3) AS key FROM entity e LEFT JOIN moved ON e.id = moved.id),
+p AS (SELECT *, id <> target AS late FROM m),
+j AS (SELECT target, key, first(id ORDER BY late, id) AS value FROM p GROUP BY target, key UNION ALL SELECT target, 'status', first(status ORDER BY late, id) FROM p WHERE status IS NOT NULL GROUP BY target),
+o AS (SELECT target, '{' || string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) || '}' AS props FROM j GROUP BY target),
+g AS (SELECT target AS id, first(kind ORDER BY late, id) AS kind, first(title ORDER BY strlen(coalesce(title, '')) DESC, late, id) AS title, first(summary ORDER BY strlen(coalesce(summary, '')) DESC, late, id) AS summary,
+       coalesce(array_to_string(list_sort(list_distinct(list(tag) FILTER (tag IS NOT NULL))), ','), '') AS tags FROM p GROUP BY target)
+SELECT g.*, o.props FROM g JOIN o ON g.id = o.target"""
 )
 def merge_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each node has a property named by the length of its id beside its status, so that folding can be told."""
     e = entities(spark, d)
     moved = H.duplicate_groups(e).select(F.explode("node_ids").alias("id"), "canonical_id").where("id <> canonical_id")
-    return H.merge_entities(e, moved).select("id", "kind", "title", "summary", F.coalesce(F.array_join("tags", ","), F.lit("")).alias("tags"))
+    status = F.get_json_object("props_json", "$.status")
+    key = F.concat(F.lit("k"), (F.length("id") % 3).cast("string"))
+    told = e.withColumn("props_json", F.concat(F.lit('{"'), key, F.lit('":"'), F.col("id"), F.lit('"'), F.coalesce(F.concat(F.lit(',"status":"'), status, F.lit('"')), F.lit("")), F.lit("}")))
+    merged = H.merge_entities(told, moved)
+    return merged.select("id", "kind", "title", "summary", F.coalesce(F.array_join("tags", ","), F.lit("")).alias("tags"), F.col("props_json").alias("props"))
+
+
+@query(
+    with_(ENTITY, RELATION)
+    + """, k AS (SELECT id FROM entity WHERE NOT (kind = 'Part' AND CAST(split_part(id, ':', 2) AS BIGINT) % 5 = 0)), s AS (SELECT * FROM relation UNION ALL SELECT * FROM relation WHERE kind = 'PART_OF')
+SELECT DISTINCT from_id, kind, to_id FROM s WHERE from_id IN (SELECT id FROM k) AND to_id IN (SELECT id FROM k)"""
+)
+def connected_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Stored relations, some of them twice, of which only those between entities that are there count."""
+    known = entities(spark, d).where(~((F.col("kind") == "Part") & (F.substring_index("id", ":", -1).cast("long") % 5 == 0)))
+    stored = relations(spark, d).unionByName(relations(spark, d).where("kind = 'PART_OF'"))
+    return D.connected(stored.dropDuplicates(["from_id", "kind", "to_id"]), known).select("from_id", "kind", "to_id")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_rfc3339, is_safe_id, is_safe_path, violations
+from . import files
 from .store import StoreError
 
 RUN = (
@@ -193,16 +194,5 @@ def append_runs(new: DataFrame, known: DataFrame, path: str) -> None:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """One JSON document, written beside its place and then renamed into it."""
-    jvm = spark.sparkContext._jvm
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(part, True)
-    out.write(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True).encode())
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise StoreError("write_failed", path)
-
-
+    """One JSON document, whole or not at all."""
+    files.write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True))

@@ -1,7 +1,10 @@
-"""The versioned store: immutable Parquet versions behind a CURRENT pointer.
+"""The versioned store: immutable Parquet versions behind numbered pointers.
 
-A write builds a whole new version beside the old ones and then swaps the pointer by
-one rename, so readers see a version or the next, and a failed write changes nothing.
+A write builds a whole new version beside the old ones and then adds the pointer with the
+next number, by one rename that fails if there is such a pointer. Pointers are never
+changed or deleted and the highest one counts, so readers see a version or the next, a
+write that ends before its rename changes nothing, and of two writers that began from one
+version the second is told that the graph has changed.
 All file operations go through Hadoop's file system of the base path.
 """
 
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_json
 from ..operators import diff as D
+from . import files
 
 ENTITY = "id string, kind string, title string, summary string, content string, repo_path string, language string, tags array<string>, props_json string, created_at string, updated_at string, created_by string, updated_by string, created_session_id string, updated_session_id string"
 RELATION = "from_id string, kind string, to_id string, props_json string, created_at string, updated_at string, created_by string, updated_by string, created_session_id string, updated_session_id string"
@@ -39,31 +43,30 @@ class Graph:
 class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = files.file_system(spark, self.base)
 
     # ---------------------------------------------------------------- pointer
 
+    def _last(self) -> int:
+        """Number of the highest pointer; 0 if nothing has been written."""
+        root = self._path(f"{self.base}/pointers")
+        if not self._fs.exists(root):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _version(self, number: int) -> str | None:
+        return files.read_text(self.spark, f"{self.base}/pointers/{number:012d}") if number else None
+
     def _pointer(self) -> str | None:
-        path = self._path(f"{self.base}/CURRENT")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
+        return self._version(self._last())
+
+    def _swap(self, version: str, after: int) -> None:
         try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def _swap(self, version: str) -> None:
-        new, old = self._path(f"{self.base}/CURRENT.{version}"), self._path(f"{self.base}/CURRENT")
-        out = self._fs.create(new, True)
-        out.write(version.encode())
-        out.close()
-        if self._fs.exists(old):
-            self._fs.delete(old, False)
-        if not self._fs.rename(new, old):
-            raise StoreError("pointer_swap_failed", "the new version could not be made current")
+            files.write_text(self.spark, f"{self.base}/pointers/{after + 1:012d}", version, replace=False)
+        except files.Taken:
+            raise StoreError("concurrent_write", "another writer changed the graph meanwhile; nothing was written") from None
 
     def _read(self, version: str | None, name: str, schema: str) -> DataFrame:
         if version is None or not self._fs.exists(self._path(f"{self.base}/{version}/{name}")):
@@ -72,10 +75,12 @@ class Store:
 
     # ---------------------------------------------------------------- reading
 
+    def _at(self, version: str | None) -> Graph:
+        return Graph(self._read(version, "entity", ENTITY), D.connected(self._read(version, "relation", RELATION).dropDuplicates(EDGE_KEY), self._read(version, "entity", ENTITY)))
+
     def graph(self) -> Graph:
-        """The current graph; empty if nothing has been written."""
-        version = self._pointer()
-        return Graph(self._read(version, "entity", ENTITY), self._read(version, "relation", RELATION).dropDuplicates(EDGE_KEY))
+        """The current graph; empty if nothing has been written. Relations with an end that is no entity are left out."""
+        return self._at(self._pointer())
 
     def revisions(self) -> DataFrame:
         return self._read(self._pointer(), "revision", REVISION)
@@ -94,9 +99,8 @@ class Store:
     def snapshot(self, ref: str) -> Graph:
         """The graph as of a revision: a version is its snapshot, so this reads one folder."""
         row = self.revision(ref)
-        version = row["id"].removeprefix("rev:")
-        graph = Graph(self._read(version, "entity", ENTITY), self._read(version, "relation", RELATION))
-        if graph.entities.count() != row["node_count"]:
+        graph = self._at(row["id"].removeprefix("rev:"))
+        if (graph.entities.count(), graph.relations.count()) != (row["node_count"], row["edge_count"]):
             raise StoreError("revision_snapshot_unavailable", f"the snapshot of {row['id']} is not whole")
         return graph
 
@@ -108,17 +112,18 @@ class Store:
 
     # ---------------------------------------------------------------- writing
 
-    def _commit(self, graph: Graph, metadata: dict) -> dict:
+    def _commit(self, graph: Graph, metadata: dict, after: int) -> dict:
+        """Write a version and make it current, if no pointer was added since the one numbered ``after`` was read."""
         version = uuid.uuid4().hex
         at = f"{self.base}/{version}"
         graph.entities.write.parquet(f"{at}/entity")
         graph.relations.write.parquet(f"{at}/relation")
-        new = Graph(self._read(version, "entity", ENTITY), self._read(version, "relation", RELATION))
+        new = self._at(version)
         counts = {"node_count": new.entities.count(), "edge_count": new.relations.count()}
         row = {"id": f"rev:{version}", "anchor": self.anchor(new), "reason": metadata.get("reason") or f"Graph write by {metadata['agent_id']} in session {metadata['session_id']} at {metadata['timestamp']}", **counts, "created_at": metadata["timestamp"], "created_by": metadata["agent_id"], "created_session_id": metadata["session_id"]}
         added = self.spark.createDataFrame([row], REVISION)
-        self.revisions().unionByName(added).coalesce(1).write.parquet(f"{at}/revision")
-        self._swap(version)
+        self._read(self._version(after), "revision", REVISION).unionByName(added).coalesce(1).write.parquet(f"{at}/revision")
+        self._swap(version, after)
         return row
 
     @staticmethod
@@ -133,7 +138,8 @@ class Store:
 
     def write(self, nodes: DataFrame, edges: DataFrame, metadata: dict) -> dict:
         """Upsert a payload and record a revision. Returns the counts and the revision; a failure leaves the store as it was."""
-        now = self.graph()
+        after = self._last()
+        now = self._at(self._version(after))
         nodes, edges = self._stamped(nodes, metadata), self._stamped(edges.dropDuplicates(EDGE_KEY), metadata)
         self._unique(nodes, ["id"])
         if (lost := D.missing_endpoints(edges, nodes, now.entities).orderBy(*EDGE_KEY).head()) is not None:
@@ -142,19 +148,20 @@ class Store:
         linked = D.upsert(now.relations, edges.select(*now.relations.columns), EDGE_KEY)
         tally = lambda df: {r["change"]: r["count"] for r in df.groupBy("change").count().collect()}
         counts = {"nodes": tally(merged), "relationships": tally(linked)}
-        revision = self._commit(Graph(merged.drop("change"), linked.drop("change")), metadata)
+        revision = self._commit(Graph(merged.drop("change"), linked.drop("change")), metadata, after)
         return {**counts, "revision": revision}
 
     def replace(self, target: Graph, metadata: dict) -> dict:
         """Make the graph equal to the target; provenance of what stays is kept. Nothing is written if nothing differs."""
-        now = self.graph()
+        after = self._last()
+        now = self._at(self._version(after))
         count = lambda df: {r["change"]: r["count"] for r in df.groupBy("change").count().collect()}
         change = {"nodes": count(D.sync_diff(now.entities, target.entities, ["id"])), "relationships": count(D.sync_diff(now.relations, target.relations, EDGE_KEY))}
         if not any(change.values()):
             return {**change, "revision": None}
         nodes = D.upsert(now.entities.join(target.entities.select("id"), "id", "left_semi").select(*now.entities.columns), self._changed(now.entities, target.entities, ["id"], metadata), ["id"]).drop("change")
         edges = D.upsert(now.relations.join(target.relations.select(*EDGE_KEY), EDGE_KEY, "left_semi").select(*now.relations.columns), self._changed(now.relations, target.relations, EDGE_KEY, metadata), EDGE_KEY).drop("change")
-        return {**change, "revision": self._commit(Graph(nodes, edges), metadata)}
+        return {**change, "revision": self._commit(Graph(nodes, edges), metadata, after)}
 
     def _changed(self, now: DataFrame, target: DataFrame, keys: list[str], metadata: dict) -> DataFrame:
         moved = D.sync_diff(now, target, keys).where("change <> 'removed'").select(*keys)

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 
 from ..operators.blinding import REVEALING, sanitized
-from . import ledger
+from . import files, ledger
 from .store import StoreError
 
 
@@ -19,19 +19,11 @@ class Files:
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = files.file_system(spark, self.base)
 
     def read(self, name: str) -> str | None:
-        at = self._path(f"{self.base}/{name}")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        return files.read_text(self.spark, f"{self.base}/{name}")
 
     def read_json(self, name: str) -> dict | None:
         """A JSON file; None if it is absent or not JSON."""
@@ -41,14 +33,7 @@ class Files:
             return None
 
     def write(self, name: str, text: str) -> None:
-        part, at = self._path(f"{self.base}/{name}.part"), self._path(f"{self.base}/{name}")
-        out = self._fs.create(part, True)
-        out.write(text.encode())
-        out.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(part, at):
-            raise StoreError("write_failed", name)
+        files.write_text(self.spark, f"{self.base}/{name}", text)
 
     def write_json(self, name: str, value: object) -> None:
         self.write(name, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True))

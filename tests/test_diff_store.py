@@ -72,3 +72,82 @@ def test_replace(spark, graph, tmp_path):
     target = Graph(now.entities.where("id <> 'service:billing'"), now.relations)
     assert store.replace(target, META)["nodes"] == {"removed": 1}
     assert store.graph().entities.count() == 2
+
+
+def test_two_writers_from_one_version(spark, graph, tmp_path, monkeypatch):
+    """The second of two writers that began from one version is refused; the first's write stays whole."""
+    store, other = Store(spark, f"file://{tmp_path}/g"), Store(spark, f"file://{tmp_path}/g")
+    store.write(*graph, META)
+    commit = Store._commit
+
+    def slow(self, *args):
+        monkeypatch.setattr(Store, "_commit", commit)
+        other.write(graph[0].where("id = 'service:billing'").withColumn("title", F.lit("First")), graph[1].limit(0), META)
+        return commit(self, *args)
+
+    monkeypatch.setattr(Store, "_commit", slow)
+    with pytest.raises(StoreError) as e:
+        store.write(graph[0].where("id = 'service:billing'").withColumn("title", F.lit("Second")), graph[1].limit(0), META)
+    assert e.value.code == "concurrent_write"
+    assert store.graph().entities.where("id = 'service:billing'").head()["title"] == "First" and store.revisions().count() == 2
+
+
+@pytest.mark.parametrize("step", ["entity", "relation", "revision", "pointer"])
+def test_a_write_that_dies_between_steps_changes_nothing(spark, graph, tmp_path, monkeypatch, step):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from quillgraph.sources import files
+
+    store = Store(spark, f"file://{tmp_path}/g")
+    store.write(*graph, META)
+    parquet, text = DataFrameWriter.parquet, files.write_text
+
+    def die(self, path, *args, **named):
+        if path.endswith(f"/{step}"):
+            raise RuntimeError("killed")
+        return parquet(self, path, *args, **named)
+
+    def die_too(spark_, path, *args, **named):
+        if step == "pointer":
+            raise RuntimeError("killed")
+        return text(spark_, path, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", die)
+    monkeypatch.setattr(files, "write_text", die_too)
+    with pytest.raises(RuntimeError):
+        store.write(graph[0].limit(1).withColumn("title", F.lit("X")), graph[1].limit(0), META)
+    monkeypatch.undo()
+    again = Store(spark, f"file://{tmp_path}/g")
+    assert again.graph().entities.where("title = 'X'").isEmpty() and again.revisions().count() == 1
+    assert again.write(graph[0].limit(1), graph[1].limit(0), META)["nodes"]["updated"] == 1
+
+
+def test_small_files_are_whole_or_absent(spark, tmp_path):
+    from quillgraph.sources import files
+
+    at = f"file://{tmp_path}/d/x.json"
+    assert files.read_text(spark, at) is None
+    files.write_text(spark, at, "one é")
+    files.write_text(spark, at, "two")
+    assert files.read_text(spark, at) == "two"
+    with pytest.raises(files.Taken):
+        files.write_text(spark, at, "three", replace=False)
+    assert files.read_text(spark, at) == "two" and [p.name for p in (tmp_path / "d").iterdir() if not p.name.startswith(".")] == ["x.json"]
+
+
+def test_relations_without_an_end_are_not_returned(spark, graph, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/g")
+    store.write(*graph, META)
+    version = store._pointer()
+    store._read(version, "relation", store.graph().relations.schema).withColumn("to_id", F.lit("ghost")).write.mode("append").parquet(f"{store.base}/{version}/relation")
+    assert [r["to_id"] for r in store.graph().relations.collect()] == ["component:authentication"]
+
+
+def test_snapshot_checks_both_counts(spark, graph, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/g")
+    row = store.write(*graph, META)["revision"]
+    assert store.snapshot(row["id"]).relations.count() == 1
+    store._read(row["id"][4:], "relation", store.graph().relations.schema).withColumn("kind", F.lit("MORE")).write.mode("append").parquet(f"{store.base}/{row['id'][4:]}/relation")
+    with pytest.raises(StoreError) as e:
+        store.snapshot(row["id"])
+    assert e.value.code == "revision_snapshot_unavailable"
