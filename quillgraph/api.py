@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .operators import attribution, context, evaluation, finish, health, lab, retrieval, workflow
 from .sources import ledger, workspace
 from .sources.files import staged
+from .sources.index import TextIndex
 from .sources.payload import EDGE, NODE, parse_edge, parse_node, read_payload
 from .sources.store import Graph, Store, StoreError
 
@@ -54,6 +55,7 @@ class Engine:
     def __post_init__(self) -> None:
         self.store = Store(self.spark, f"{self.base}/graph")
         self.files = workspace.Files(self.spark, self.base)
+        self.index = TextIndex(self.spark, f"{self.base}/index")
 
     @command("init")
     def init(self) -> dict:
@@ -65,29 +67,38 @@ class Engine:
 
     # ---------------------------------------------------------------- queries
 
-    def _ranked(self, graph: Graph, task: str) -> DataFrame:
+    def _ranked(self, graph: Graph, task: str, hits: DataFrame | None = None) -> DataFrame:
         if not task.strip():
             raise ValueError("a task is required")
-        found = retrieval.hybrid(graph.entities, graph.relations, task)
+        found = retrieval.hybrid(graph.entities, graph.relations, task, hits=hits)
         return retrieval.ranked(found.join(graph.entities, "id"))
 
+    def _indexed(self, task: str) -> tuple[DataFrame, str]:
+        """Ranked results of the current graph by its stored index, and the index's status."""
+        if not task.strip():
+            raise ValueError("a task is required")
+        graph, version = self.store.current()
+        meta, status = self.index.ensure(graph.entities, version)
+        return self._ranked(graph, task, self.index.search(meta, task)), status
+
     def _scored(self, results: DataFrame, task: str, now: str) -> DataFrame:
         return evaluation.evaluate(results, task, now, self.config)
 
     @command("query")
     def query(self, task: str) -> dict:
-        return {"query": task, "results": _plain(self._ranked(self.store.graph(), task).orderBy("rank"))}
+        results, status = self._indexed(task)
+        return {"query": task, "index": {"status": status}, "results": _plain(results.orderBy("rank"))}
 
     @command("explain")
     def explain(self, task: str) -> dict:
-        results = self._ranked(self.store.graph(), task)
-        return {"query": task, "reasons": _plain(retrieval.explanation(results).join(results.select("id", "rank"), "id").orderBy("rank", "position", "role"))}
+        results, status = self._indexed(task)
+        return {"query": task, "index": {"status": status}, "reasons": _plain(retrieval.explanation(results).join(results.select("id", "rank"), "id").orderBy("rank", "position", "role"))}
 
     @command("context")
     def context(self, task: str, now: str, max_tokens: int = 1200) -> dict:
         if max_tokens <= 0:
             raise ValueError("max_tokens must be positive")
-        results = self._ranked(self.store.graph(), task)
+        results, _ = self._indexed(task)
         scored = self._scored(results, task, now)
         confidence = scored.agg(evaluation.aggregate_confidence().alias("c")).head()["c"]
         decided = self.spark.range(1).select(evaluation.outcome(F.lit(confidence), F.lit(None).cast("double"), self.thresholds).alias("o")).head()["o"]

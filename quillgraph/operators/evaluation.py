@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, ratio, rounded
@@ -184,14 +184,17 @@ def outcome(confidence: Column, prior: Column, t: Thresholds = Thresholds()) ->
 
 
 def bundle(scored: DataFrame, decided: Column | str) -> DataFrame:
-    """Candidates that a decision delivers: the survivors (all if none) to continue, the best one at minimal."""
+    """Candidates that a decision delivers: the survivors (all if none) to continue, the best one at minimal.
+
+    Whether any survived and which one is best are aggregated to one row, so candidates
+    are neither sorted nor gathered in one task.
+    """
     decided = F.lit(decided) if isinstance(decided, str) else decided
-    every = Window.partitionBy(F.lit(1))
-    alive = F.max((F.col("fate") == "survived").cast("int")).over(every)
-    first = F.row_number().over(Window.orderBy(F.desc((F.col("fate") == "survived") & (alive == 1)), F.desc("composite"), "id"))
-    marked = scored.select("*", alive.alias("alive"), first.alias("place"))
-    keep = F.when(decided == "continue", (F.col("alive") == 0) | (F.col("fate") == "survived")).when(decided == "minimal", F.col("place") == 1).otherwise(F.lit(False))
-    return marked.where(keep).drop("alive", "place")
+    lives = F.col("fate") == "survived"
+    best = F.min_by("id", F.struct((~lives).alias("late"), (-F.col("composite")).alias("c"), F.col("id").alias("i")))
+    known = scored.agg(F.coalesce(F.max(lives), F.lit(False)).alias("__alive"), best.alias("__best"))
+    keep = F.when(decided == "continue", ~F.col("__alive") | lives).when(decided == "minimal", F.col("id") == F.col("__best")).otherwise(F.lit(False))
+    return scored.crossJoin(F.broadcast(known)).where(keep).drop("__alive", "__best")
 
 
 def write_gate(value: Column, t: Thresholds = Thresholds()) -> list[Column]:

@@ -58,9 +58,13 @@ def structural(expanded: DataFrame, refs: bool = True) -> DataFrame:
     return expanded.groupBy("id").agg(F.sum(boost(F.col("direction"))).alias("structural"), F.count(F.lit(1)).alias("n_refs"), *more)
 
 
-def hybrid(entities: DataFrame, relations: DataFrame, task: str, refs: bool = True) -> DataFrame:
-    """Candidates with score, text, structural, matched_terms, n_refs (and graph_refs): seeds and their neighbours that are entities."""
-    found = search_entities(entities, task).select(F.col("doc_id").alias("id"), F.col("score").alias("text"), "matched_terms")
+def hybrid(entities: DataFrame, relations: DataFrame, task: str, refs: bool = True, hits: DataFrame | None = None) -> DataFrame:
+    """Candidates with score, text, structural, matched_terms, n_refs (and graph_refs): seeds and their neighbours that are entities.
+
+    hits: what a stored index found for the task; without it all entities are searched.
+    """
+    hits = search_entities(entities, task) if hits is None else hits
+    found = hits.select(F.col("doc_id").alias("id"), F.col("score").alias("text"), "matched_terms")
     near = structural(expand(relations, found.select("id"), intent(task)), refs)
     near = near.join(entities.select("id"), "id", "left_semi")
     fused = found.join(near, "id", "full_outer")

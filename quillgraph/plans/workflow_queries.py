@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +150,11 @@ def decision_bundle(spark: SparkSession, d: str) -> DataFrame:
     return E.bundle(_scored(spark, d), "continue").select("id", "composite")
 
 
+@query(_SCORES + "SELECT id, composite FROM scored ORDER BY (fate = 'survived') DESC, composite DESC, id LIMIT 1")
+def decision_bundle_minimal(spark: SparkSession, d: str) -> DataFrame:
+    return E.bundle(_scored(spark, d), "minimal").select("id", "composite")
+
+
 @query(
     "WITH a AS (SELECT o_orderkey AS k, (o_orderkey % 997) / 1000.0 AS c, (o_orderkey % 89) / 100.0 AS rel, (o_orderkey % 97) / 100.0 AS u, (o_orderkey % 991) / 1000.0 AS pc, (o_orderkey % 83) / 100.0 AS pr, (o_orderkey % 79) / 100.0 AS pu FROM orders)"
     f" SELECT k AS id, {r('(c - pc)', 3)} AS composite_delta, ({r('(c - pc)', 3)} < -0.05) OR (rel + 0.05 < pr) OR (u + 0.05 < pu) AS regressed FROM a"
@@ -194,9 +201,30 @@ def policy_join(spark: SparkSession, d: str) -> DataFrame:
     return W.with_policy(W.classify(_tasks(spark, d))).select("o_orderkey", "family", "subprofile", "default_mode", "inject_at", "minimal_at", "inject_budget", "minimal_budget", "low_mode")
 
 
-@query(with_(ENTITY) + "SELECT id FROM entity WHERE NOT (lower(kind) NOT IN ('document', 'decision', 'story', 'coderef', 'file') OR contains(lower(coalesce(title, '')), 'workflow_') OR contains(lower(coalesce(title, '')), 'workflow-finish:'))")
+def _off_sql(policy: tuple) -> str:
+    """A policy's filter in SQL: kinds that are not allowed, suppressed patterns in any text, and workflow traces."""
+    family, subprofile, kinds, patterns = policy[:4]
+    if family == "workflow_context":
+        return "false"
+    texts = [f"lower(trim(coalesce({c}, '')))" for c in ("kind", "id", "title", "summary")]
+    off = [f"lower(kind) NOT IN ({', '.join(repr(k) for k in kinds)})"] if kinds else []
+    off += [f"contains({t}, '{p.strip()}')" for t in texts for p in patterns]
+    if (family, subprofile) != ("verification_audit", "workflow_verification"):
+        off += [f"starts_with({texts[0]}, 'workflow_')", f"starts_with({texts[1]}, 'workflow-finish:')"]
+    return " OR ".join(off) or "false"
+
+
+_SUPPRESSED = " UNION ALL ".join(f"SELECT '{p[0]}' AS family, '{p[1]}' AS subprofile, kind, count(*) AS n FROM e WHERE NOT ({_off_sql(p)}) GROUP BY kind" for p in W.POLICIES)
+
+
+@query(with_(ENTITY) + f", e AS (SELECT id, kind, title, summary FROM entity UNION ALL SELECT 'workflow-finish:' || id, 'Workflow_Trace', title, 'Stats  ' || summary FROM entity WHERE kind IN ('Part', 'Region')) {_SUPPRESSED}")
 def suppress_filter(spark: SparkSession, d: str) -> DataFrame:
-    return entities(spark, d).where(~W.suppressed("ambiguous_task")).select("id")
+    """What every family's profile leaves of the entities and of traces made from some of them."""
+    e = entities(spark, d).select("id", "kind", "title", "summary")
+    traces = e.where("kind in ('Part', 'Region')").select(F.concat(F.lit("workflow-finish:"), "id").alias("id"), F.lit("Workflow_Trace").alias("kind"), "title", F.concat(F.lit("Stats  "), "summary").alias("summary"))
+    rows = e.unionByName(traces)
+    left = [rows.where(~W.suppressed(p[0], p[1])).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(p[0]).alias("family"), F.lit(p[1]).alias("subprofile"), "kind", "n") for p in W.POLICIES]
+    return reduce(DataFrame.unionByName, left)
 
 
 @query(

@@ -67,9 +67,14 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "quillgraph-staged")
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """The path goes when the driver's JVM ends, whether it exists by now or not."""
+    file_system(spark, path).deleteOnExit(_path(spark, path))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back, for several uses; it goes when the driver's JVM ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    file_system(df.sparkSession, path).deleteOnExit(_path(df.sparkSession, path))
+    delete_on_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -82,6 +82,11 @@ class Store:
         """The current graph; empty if nothing has been written. Relations with an end that is no entity are left out."""
         return self._at(self._pointer())
 
+    def current(self) -> tuple[Graph, str | None]:
+        """The current graph and the name of its version, which never changes once it is written."""
+        version = self._pointer()
+        return self._at(version), version
+
     def revisions(self) -> DataFrame:
         return self._read(self._pointer(), "revision", REVISION)
 
