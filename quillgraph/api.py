@@ -10,7 +10,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import attribution, context, evaluation, finish, health, lab, retrieval, workflow
+from .operators import attribution, briefs, context, diff, evaluation, finish, health, lab, retrieval, seed, workflow
 from .sources import ledger, workspace
 from .sources.files import staged
 from .sources.index import TextIndex
@@ -18,6 +18,8 @@ from .sources.payload import EDGE, NODE, parse_edge, parse_node, read_payload
 from .sources.store import Graph, Store, StoreError
 
 VERSION = "v1"
+#: Fates that a stored decision lists, best first; its count is of all candidates.
+MOST_FATES = 1_000
 #: Rows of a plan's targets up to which they are broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -102,10 +104,12 @@ class Engine:
         scored = self._scored(results, task, now)
         confidence = scored.agg(evaluation.aggregate_confidence().alias("c")).head()["c"]
         decided = self.spark.range(1).select(evaluation.outcome(F.lit(confidence), F.lit(None).cast("double"), self.thresholds).alias("o")).head()["o"]
-        kept = results.join(evaluation.bundle(scored, decided).select("id"), "id", "left_semi")
-        head = kept.orderBy("rank").limit(max_tokens)
+        delivered = results.join(evaluation.bundle(scored, decided).select("id"), "id", "left_semi")
+        head = delivered.orderBy("rank").limit(max_tokens)
         record = attribution.recorded(scored, task, decided, confidence, now)
-        return {"decision": decided, "confidence": confidence, "context": context.pack(_plain(head), max_tokens, kept.count()), "attribution": _plain(record)[0]}
+        kept = attribution.written(task, decided, float(confidence), now, None, None, [(r["id"], r["fate"]) for r in scored.orderBy(F.desc("composite"), "id").select("id", "fate").limit(MOST_FATES).collect()], scored.count())
+        attribution.store(self.spark, f"{self.base}/attribution", kept)
+        return {"decision": decided, "confidence": confidence, "attribution_id": kept["id"], "context": context.pack(_plain(head), max_tokens, delivered.count()), "attribution": _plain(record)[0]}
 
     # ---------------------------------------------------------------- versions and health
 
@@ -184,20 +188,38 @@ class Engine:
         stats = health.indicators(graph.entities, graph.relations)
         ready = _plain(workflow.readiness(stats))[0]
         kind = _plain(workflow.with_policy(workflow.classify(self.spark.createDataFrame([(task,)], "task string"))))[0]
-        results = self._ranked(graph, task)
+        results, _ = self._indexed(task)
         scored = self._scored(results, task, now)
         weighed = retrieval.down_ranked(results, scored.select("id", "composite", "fate", "stale"))
         kept = retrieval.ranked(weighed.drop("rank").where(~workflow.suppressed(kind["family"], kind["subprofile"] or "")))
+        kept = kept.withColumn("inclusion_reason", workflow.inclusion_reason(F.lit(kind["family"]), F.lit(kind["subprofile"] or "")))
         n_all, rows = results.count(), _plain(kept.orderBy("rank").limit(max_tokens))
         n_kept, n_high = kept.count(), kept.where(workflow.high_signal()).count()
         packed = context.pack(rows, max_tokens, n_kept)
-        counts = self.spark.createDataFrame([(n_kept, len(packed["results"]), n_high, n_all - n_kept, ready["nodes"], ready["edges"], kickoff_mode)], "n_results long, n_projected long, n_high_signal long, n_suppressed long, nodes long, edges long, requested_mode string")
+        counted = [(n_kept, len(packed["results"]), n_high, n_all - n_kept, ready["nodes"], ready["edges"], kickoff_mode)]
+        counts = self.spark.createDataFrame(counted, "n_results long, n_projected long, n_high_signal long, n_suppressed long, nodes long, edges long, requested_mode string")
         for name in ("family", "subprofile", "default_mode", "inject_at", "minimal_at", "inject_budget", "minimal_budget", "low_mode"):
             counts = counts.withColumn(name, F.lit(kind[name]))
         advice = _plain(workflow.advisory(workflow.kickoff_confidence(counts), max_tokens))[0]
         mode = advice["effective_mode"]
-        shown = {"max_tokens": 0, "results": []} if mode == "abstain" else context.pack(rows, advice["budget"], n_kept)
-        return {"readiness": ready, "task": {k: kind[k] for k in ("family", "subprofile", "basis")}, "advisory": {k: advice[k] for k in ("confidence", "level", "effective_mode", "threshold", "budget", "next_step", "confidence_reasons")}, "context": shown}
+        shown = {"max_tokens": 0, "truncated": False, "omitted_results": 0, "results": []} if mode == "abstain" else context.pack(rows, advice["budget"], n_kept)
+        reasons = {r["id"]: r["inclusion_reason"] for r in rows}
+        for r in shown["results"]:
+            r["inclusion_reason"] = reasons[r["entity"]["id"]]
+        state = briefs.coverage(mode, n_high, shown)
+        codes = briefs.reason_codes(kind, advice, kickoff_mode)
+        what, why = briefs.recommended(kind, ready, bool(n_high and shown["results"]))
+        told = briefs.kickoff_context(task, kind, ready, what, codes, state, n_kept, shown)
+        revision = (self.store.current_revision() or {}).get("id")
+        prompt = briefs.delegation_brief(task, kind, kickoff_mode or "auto", advice, ready, (ready["status"], what), revision, told, shown)
+        return {
+            "readiness": ready,
+            "recommendation": {"what": what, "reasons": why},
+            "task": {k: kind[k] for k in ("family", "subprofile", "basis")},
+            "advisory": {k: advice[k] for k in ("confidence", "level", "effective_mode", "threshold", "budget", "next_step", "confidence_reasons")} | {"reason_codes": codes},
+            "context": shown | told,
+            "brief": {"status": state, "prompt": prompt, "guidance": told["guidance"]},
+        }
 
     @command("workflow.finish")
     def finish(self, payload: str, confidence: float | None = None) -> dict:
@@ -208,11 +230,39 @@ class Engine:
             return {"written": False, "reason": "no_items", "telemetry": usage}
         if confidence is not None:
             gate = _plain(self.spark.range(1).select(*evaluation.write_gate(F.lit(float(confidence)), self.thresholds)))[0]
+            kept = attribution.written(outcome["task"], gate["outcome"], float(confidence), outcome["metadata"]["timestamp"], gate["write_status"], gate["reason"])
+            attribution.store(self.spark, f"{self.base}/attribution", kept)
             if gate["outcome"] != "write":
-                return {"written": False, "gate": gate, "telemetry": usage}
+                return {"written": False, "gate": gate, "attribution": kept["id"], "telemetry": usage}
+        before = self.store.current_revision()
         nodes, edges = finish.objects(outcome, self.repository)
         summary = self.store.write(self.spark.createDataFrame([parse_node(n) for n in nodes], NODE), self.spark.createDataFrame([parse_edge(e) for e in edges], EDGE), outcome["metadata"])
-        return {"written": True, "root": finish.root_id(outcome, self.repository), "summary": summary, "telemetry": usage}
+        brief = briefs.handoff_brief(outcome, before, summary["revision"], summary)
+        return {"written": True, "root": finish.root_id(outcome, self.repository), "summary": summary, "brief": brief, "telemetry": usage}
+
+    @command("workflow.seed")
+    def seed(self, documents: DataFrame, metadata: dict) -> dict:
+        """Write the repository's documents (path, text) as baseline knowledge, if the graph lacks any of it."""
+        nodes, edges = seed.seed_rows(self.spark, self.repository, documents)
+        graph = self.store.graph()
+        new, linked = diff.contains_all(nodes, graph.entities), diff.contains_all(edges, graph.relations)
+        if new.isEmpty() and linked.isEmpty():
+            return {"written": False, "nodes": 0, "relationships": 0}
+        whole = lambda df, like: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns])
+        return {"written": True} | self.store.write(whole(nodes, graph.entities), whole(edges, graph.relations), metadata)
+
+    @command("attribution.list")
+    def attributions(self, outcome: str | None = None, after: str | None = None, before: str | None = None) -> dict:
+        """Stored decisions strictly between two times, oldest first."""
+        found = attribution.filter_written(attribution.stored(self.spark, f"{self.base}/attribution"), outcome, after, before)
+        return {"records": _plain(found.orderBy("timestamp", "id"))}
+
+    @command("attribution.show")
+    def attribution(self, record_id: str) -> dict:
+        row = attribution.stored(self.spark, f"{self.base}/attribution").where(F.col("id") == record_id).head()
+        if row is None:
+            raise StoreError("attribution_not_found", f"there is no record {record_id!r}")
+        return row.asDict(recursive=True)
 
     @command("workflow.benchmark")
     def benchmark(self, scenario: str) -> dict:
@@ -274,26 +324,31 @@ class Engine:
         return workspace.present(self.files, run_id, blind)
 
     @command("lab.report")
-    def report(self) -> dict:
+    def report(self, generated_at: str | None = None, run_ids: list[str] | None = None) -> dict:
+        """Statistics of all runs or of the named ones; with a time the report is kept under lab/reports."""
         at = f"{self.base}/lab"
         raw = ledger.runs(self.spark, at).select("run_id", "task_id", "condition_id", "model", F.col("session_topology").alias("topology"), "seed", "started_at", "telemetry.measurement_status", "telemetry.total_tokens", "telemetry.wall_clock_seconds")
-        runs = lab.join_ledger(raw, ledger.tasks(self.spark, at), ledger.conditions(self.spark, at), ledger.evaluations(self.spark, at)).cache()
+        everything = lab.join_ledger(raw, ledger.tasks(self.spark, at), ledger.conditions(self.spark, at), ledger.evaluations(self.spark, at))
+        runs = (everything if run_ids is None else lab.selected(everything, run_ids)).cache()
         try:
-            pairs = lab.paired(runs)
-            rows, means = lab.deltas(pairs), lab.token_means(runs)
-            groups = lab.grouped(rows)
-            warnings = ["missing_evaluations"] if not runs.where("not scored").isEmpty() else []
-            return {
-                "counters": _plain(lab.report_counters(runs))[0],
-                "comparisons": _plain(lab.pair_counts(runs, pairs).orderBy(*lab.KEY)),
-                "metrics": _plain(lab.full_summary(runs, rows, *lab.KEY).orderBy(*lab.KEY, "metric")),
-                "groups": _plain(groups.orderBy("grouping", "family", "value", "metric")),
-                "notes": [r["note"] for r in lab.variation_notes(groups).collect()],
-                "findings": _plain(lab.findings(lab.summary(rows, *lab.KEY), groups)),
-                "token_decline": _plain(lab.token_comparison(means, lab.HARNESS, lab.NO_HARNESS))[0],
-                "distribution": _plain(lab.task_distribution(means).orderBy("task_id")),
-                "warnings": warnings,
-            }
+            found = lab.report(runs, attribution.by_run(self.spark, at), ledger.tasks(self.spark, at))
+            out = {name: _plain(df) for name, df in found.items()}
+            for one in ("counters", "gate", "over_abstention"):
+                out[one] = out[one][0]
+            without_tokens = out.pop("token_sparse")[0]["n"]
+            sparse = sum(c["scored_pair_count"] < 2 for c in out["comparisons"])
+            out["token_decline"] = out.pop("primary")[0] | {"graph_only": out.pop("secondary")[0]}
+            out["notes"] = [r["note"] for r in out["notes"]]
+            out["unscored_run_ids"] = [r["run_id"] for r in runs.where("not scored").select("run_id").orderBy("run_id").collect()]
+            warned = [("missing_evaluations", out["unscored_run_ids"]), ("no_runs_selected", not out["counters"]["runs"]), ("incomplete_token_telemetry", without_tokens)]
+            out["warnings"] = [w for w, holds in warned if holds]
+            out["limitations"] = lab.limitations(out["counters"], sparse, without_tokens)
+            out |= {"selection": {"mode": "all_runs" if run_ids is None else "run_ids", "run_ids": run_ids or []}, "batch_plans": _plain(ledger.plans(self.spark, at))}
+            if generated_at:
+                name = workspace.free_id(self.files, "report", generated_at, "lab/reports")
+                out |= {"generated_at": generated_at, "report_id": name}
+                self.files.write(f"lab/reports/{name}/report.json", json.dumps(out, default=str, ensure_ascii=False, sort_keys=True))
+            return out
         finally:
             runs.unpersist()
 

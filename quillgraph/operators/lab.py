@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workflow import classify
+
 GRAPH, BASELINE = "graph_backed", "baseline"
 HARNESS, NO_HARNESS, GRAPH_ONLY = "with_harness", "without_harness", "graph_only"
 KEY = ["task_id", "family", "model", "topology"]
@@ -184,14 +186,14 @@ def over_abstention(runs: DataFrame, abstentions: DataFrame) -> DataFrame:
     saved = lower(F.col("total_tokens"), (F.col("measurement_status") == "complete") & F.col("total_tokens").isNotNull(), "token_savings")
     lost = lower(F.col("quality_score"), F.col("quality_score").isNotNull(), "quality_regression")
     row = counts.crossJoin(saved).crossJoin(lost)
-    return row.select("runs", "abstentions", (F.col("abstentions") / F.col("runs")).alias("abstention_rate"), "token_savings", "quality_regression", (F.col("token_savings") & F.col("quality_regression")).alias("warning"))
+    return row.select("runs", "abstentions", F.coalesce(F.try_divide("abstentions", "runs"), F.lit(0.0)).alias("abstention_rate"), "token_savings", "quality_regression", (F.col("token_savings") & F.col("quality_regression")).alias("warning"))
 
 
 def outcome_distribution(outcomes: DataFrame) -> DataFrame:
     """scope (overall or a family), outcome, n, percentage. outcomes: family, outcome, n."""
     sets = outcomes.groupingSets([["family", "outcome"], ["outcome"]], "family", "outcome").agg(F.grouping("family").alias("g"), F.sum("n").alias("n"))
     named = sets.select(F.when(F.col("g") == 1, "overall").otherwise(F.col("family")).alias("scope"), "outcome", "n")
-    return named.withColumn("percentage", F.col("n") / F.sum("n").over(Window.partitionBy("scope")) * 100)
+    return named.withColumn("percentage", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("scope"))) * 100)
 
 
 def report_counters(runs: DataFrame) -> DataFrame:
@@ -199,6 +201,58 @@ def report_counters(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count(F.lit(1)).alias("runs"), F.count_if("scored").alias("scored"), F.count_if(~F.col("scored")).alias("unscored"))
 
 
+def token_sparse(pairs: DataFrame) -> DataFrame:
+    """One row: comparisons with a scored pair of which a side lacks complete token counts."""
+    lacks = F.col("g.total_tokens").isNull() | F.col("b.total_tokens").isNull()
+    return pairs.where(F.col("scored") & lacks).select(*KEY).distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+def selected(runs: DataFrame, run_ids: list[str]) -> DataFrame:
+    """The named runs, each once; a name that is no run is an error."""
+    wanted = runs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(run_ids)], "run_id string")
+    if (lost := wanted.join(runs, "run_id", "left_anti").orderBy("run_id").head()) is not None:
+        raise ValueError(f"run_ids: {lost['run_id']} is not in the ledger")
+    return runs.join(wanted, "run_id", "left_semi")
+
+
+def report(runs: DataFrame, outcomes: DataFrame, tasks: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a report by name. outcomes: run_id, outcome, n; tasks: task_id and its description, from which audits get their profile."""
+    pairs = paired(runs)
+    rows, means = deltas(pairs), token_means(runs)
+    groups = grouped(rows)
+    described = tasks.select("task_id", F.coalesce("description", F.lit("")).alias("task"))
+    profile = classify(described).select("task_id", F.col("subprofile").alias("profile"))
+    profiles = verification(pairs.where("family = 'verification_audit'").join(profile, "task_id", "left").withColumn("profile", F.coalesce(F.nullif("profile", F.lit("")), F.lit("general_verification"))))
+    harness = runs.where(F.col("mode") == HARNESS).select("run_id", "family").join(outcomes, "run_id")
+    return {
+        "counters": report_counters(runs),
+        "token_sparse": token_sparse(pairs),
+        "comparisons": pair_counts(runs, pairs).orderBy(*KEY),
+        "metrics": full_summary(runs, rows, *KEY).orderBy(*KEY, "metric"),
+        "groups": groups.orderBy("grouping", "family", "value", "metric"),
+        "notes": variation_notes(groups),
+        "findings": findings(summary(rows, *KEY), groups),
+        "verification": profiles.orderBy("profile"),
+        "gate": gate(profiles),
+        "primary": token_comparison(means, HARNESS, NO_HARNESS),
+        "secondary": token_comparison(means, HARNESS, GRAPH_ONLY),
+        "distribution": task_distribution(means).orderBy("task_id"),
+        "over_abstention": over_abstention(runs, outcomes.where("outcome = 'abstain'").groupBy("run_id").agg(F.sum("n").alias("n"))),
+        "outcomes": outcome_distribution(harness.groupBy("family", "outcome").agg(F.sum("n").alias("n"))).orderBy("scope", "outcome"),
+    }
+
+
+def limitations(counts: dict, sparse: int, without_tokens: int) -> list[str]:
+    """What a report cannot say (fixed texts)."""
+    told = [
+        (counts["unscored"], "{} selected runs are unscored; quality, success, and resumability metrics only reflect scored runs."),
+        (sparse, "{} paired comparisons have fewer than two scored pairs, so interval estimates are missing or highly uncertain."),
+        (not counts["runs"], "No run records matched the report selection."),
+        (without_tokens, "{} paired comparisons lack complete token telemetry for at least one scored pair, so token metrics exclude incomplete measurements."),
+    ]
+    return [text.format(n) for n, text in told if n]
+
+
 def batch_plan(tasks: DataFrame, conditions: DataFrame, seed: int) -> DataFrame:
     """Every task with every condition of the two small manifests, in an order that the seed fixes: entry, task_id, condition_id."""
     every = tasks.select("task_id").crossJoin(conditions.select("condition_id"))
@@ -206,14 +260,6 @@ def batch_plan(tasks: DataFrame, conditions: DataFrame, seed: int) -> DataFrame:
     return every.select(F.row_number().over(order).alias("entry"), "task_id", "condition_id")
 
 
-def telemetry_status(runs: DataFrame) -> DataFrame:
-    """measurement_status and incomplete_reasons from token counts, and a total from its parts."""
-    total = F.coalesce("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
-    lost = F.array_compact(F.array(*[F.when(F.col(c).isNull(), f"{c} missing") for c in ("input_tokens", "output_tokens")], F.when(total.isNull(), "total_tokens missing")))
-    status = F.when(total.isNotNull() & (F.size(lost) == 0), "complete").when(F.coalesce("input_tokens", "output_tokens", total).isNull(), "unavailable").otherwise("partial")
-    return runs.select("*", total.alias("derived_total"), status.alias("derived_status"), lost.alias("incomplete_reasons"))
-
-
 def benchmark(runs: DataFrame, values: list[str]) -> DataFrame:
     """scenario_id, status, issues and the deltas with - without of the given metrics. Exactly one run of each mode is comparable.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_rfc3339, is_safe_id, rounded, violations
+from ..functions.scalars import rounded
 from ..operators import lab as L
 from ..operators.attribution import filter_recorded, filter_written, latest_by_session, outcome_counts
 from ..sources.adapter import decisions, runs, table
+from ..sources.ledger import run_violations
 from ..streaming.streams import decision_counts
 from .sqlbase import RUNS, r, with_
 
@@ -260,16 +261,48 @@ def batch_plan_cross(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_(RUNS)
-    + """SELECT run_id, concat_ws(',', CASE WHEN NOT regexp_matches(started_at, '^2024') THEN 'started_at' END, CASE WHEN NOT (seed % 5 <> 0) THEN 'seed' END, CASE WHEN NOT coalesce(quality_score <= 0.9, true) THEN 'quality_score' END) AS fields FROM runs"""
+    + """, k AS (SELECT *, CAST(substr(run_id, 5) AS BIGINT) AS k FROM runs)
+SELECT run_id, concat_ws(',', CASE WHEN k % 23 = 0 THEN 'schema_version' END, CASE WHEN k % 17 = 0 THEN 'run_id' END, CASE WHEN CAST(substr(task_id, 6) AS BIGINT) >= 35 THEN 'task_id' END, CASE WHEN mode = 'graph_only' THEN 'condition_id' END,
+  CASE WHEN k % 29 = 0 THEN 'model' END, CASE WHEN k % 31 = 0 THEN 'seed' END, CASE WHEN k % 19 = 0 THEN 'finished_at' END, CASE WHEN measurement_status = 'complete' AND k % 9 = 0 THEN 'telemetry.total_tokens' END,
+  CASE WHEN k % 13 = 0 THEN 'telemetry.wall_clock_seconds' END, CASE WHEN measurement_status <> 'complete' AND k % 2 = 0 THEN 'telemetry.incomplete_reasons' END, CASE WHEN k % 37 = 0 THEN 'kickoff_inputs_ref' END) AS fields FROM k"""
 )
 def validation_violations(spark: SparkSession, d: str) -> DataFrame:
-    found = violations(
-        (is_safe_id(F.col("run_id")), "run_id", "must be a safe identifier"),
-        (is_rfc3339(F.col("started_at")) & F.col("started_at").startswith("2024"), "started_at", "must be a time stamp of 2024"),
-        (F.col("seed") % 5 != 0, "seed", "must not be a multiple of five"),
-        (F.coalesce(F.col("quality_score") <= 0.9, F.lit(True)), "quality_score", "must not exceed 0.9"),
+    """The ledger's own rules over run records, some of which break one or more of them."""
+    k = F.col("k")
+    known = runs(spark, d).withColumn("k", F.substring("run_id", 5, 20).cast("long")).withColumnRenamed("run_id", "name")
+    complete = F.col("measurement_status") == "complete"
+    telemetry = F.struct(
+        F.col("measurement_status"),
+        F.lit("lab").alias("source"),
+        F.lit("p").alias("provider"),
+        F.when(k % 9 != 0, F.col("total_tokens") + 1).otherwise(0).cast("int").alias("total_tokens"),
+        F.lit(1).alias("input_tokens"),
+        F.lit(1).alias("output_tokens"),
+        F.when(k % 13 != 0, F.col("wall_clock_seconds")).otherwise(0).cast("int").alias("wall_clock_seconds"),
+        F.lit(0).alias("retry_count"),
+        F.lit(0).alias("delegated_sessions"),
+        F.when(~complete & (k % 2 != 0), F.array(F.lit("lost"))).otherwise(F.array().cast("array<string>")).alias("incomplete_reasons"),
     )
-    return runs(spark, d).select("run_id", F.array_join(F.transform(found, lambda v: v["field"]), ",").alias("fields"))
+    records = known.select(
+        "name",
+        F.when(k % 23 != 0, "v1").otherwise("v9").alias("schema_version"),
+        F.when(k % 17 != 0, F.col("name")).otherwise(F.concat(F.lit("../"), "name")).alias("run_id"),
+        "task_id",
+        F.col("mode").alias("condition_id"),
+        F.when(k % 29 != 0, F.col("model")).otherwise(" ").alias("model"),
+        F.col("topology").alias("session_topology"),
+        F.when(k % 31 != 0, F.col("seed")).alias("seed"),
+        F.lit("default").alias("prompt_variant"),
+        "started_at",
+        F.when(k % 19 != 0, F.col("started_at")).otherwise("1970-01-01T00:00:00Z").alias("finished_at"),
+        telemetry.alias("telemetry"),
+        F.when(k % 37 != 0, "a.json").otherwise("/etc/a.json").alias("kickoff_inputs_ref"),
+        *[F.lit("b.json").alias(c) for c in ("session_structure_ref", "writeback_outputs_ref", "outcome_artifacts_ref")],
+    )
+    tasks = spark.createDataFrame([(f"task-{i}",) for i in range(35)], "task_id string")
+    conditions = spark.createDataFrame([(m,) for m in ("graph_backed", "baseline", "with_harness", "without_harness")], "condition_id string")
+    found = run_violations(records, tasks, conditions)
+    return found.select(F.col("name").alias("run_id"), F.array_join(F.transform("violations", lambda v: v["field"]), ",").alias("fields"))
 
 
 @query(
