@@ -65,9 +65,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame) -> DataFrame:
     """Documents without exact copies: the row of each group that stays, with all its columns; of rows with equal doc_id in a group one."""
     stay = exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    keyed = docs.withColumn("__digest", F.lower(F.sha2(without_white(F.col("text")), 256)))
-    kept = keyed.join(stay, F.col("__digest").eqNullSafe(stay["text_sha256"]) & keyed["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.drop("__digest")
+    digest = F.lower(F.sha2(without_white(docs["text"]), 256))
+    return docs.join(stay, (digest == stay["text_sha256"]) & docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,13 +108,15 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Documents as the mix takes them: each row as often as its copies say, each copy at its own position, in the order of positions; rows that are not taken go."""
-    plan = curriculum(docs).select(F.col("doc_id").alias("__id"), "size", "positions").where("copies > 0")
-    plan = plan.groupBy("__id", "size").agg(F.max(F.struct(F.size("positions").alias("copies"), "positions")).alias("most")).select("__id", "size", "most.positions")
-    rows = docs.withColumn("__size", word_count(F.col("text")))
-    taken = rows.join(plan, rows["doc_id"].eqNullSafe(plan["__id"]) & (rows["__size"] == plan["size"]))
-    taken = taken.select(*[docs[c].alias(f"__c{k}") for k, c in enumerate(docs.columns)], "__id", F.posexplode("positions").alias("__copy", "__at"))
+    plan = curriculum(docs).select(F.col("doc_id").alias("__id"), F.col("size").alias("__n"), "positions").where(F.size("positions") > 0)
+    plan = plan.groupBy("__id", "__n").agg(F.max(F.struct(F.size("positions").alias("copies"), "positions")).alias("most")).select("__id", "__n", F.col("most.positions").alias("__places"))
+    own = [f"__c{k}" for k in range(len(docs.columns))]  # the columns have other names for a while, so that none can clash
+    at = {c: own[k] for k, c in enumerate(docs.columns)}
+    rows = docs.toDF(*own)
+    taken = rows.join(plan, rows[at["doc_id"]].eqNullSafe(plan["__id"]) & (word_count(rows[at["text"]]) == plan["__n"]))
+    taken = taken.select(*own, "__id", F.posexplode("__places").alias("__copy", "__at"))
     dealt = taken.repartitionByRange(F.col("__at"), F.col("__id"), F.col("__copy")).sortWithinPartitions("__at", "__id", "__copy")
-    return dealt.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return dealt.select(*own).toDF(*docs.columns)
 
 
 #: Positions are reported in billionths of the training run, as whole numbers.
