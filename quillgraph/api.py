@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import attribution, briefs, context, diff, evaluation, finish, health, lab, retrieval, seed, workflow
-from .sources import ledger, workspace
+from .sources import bench_files, ledger, workspace
 from .sources.files import staged
 from .sources.index import TextIndex
 from .sources.payload import EDGE, NODE, parse_edge, parse_node, read_payload
@@ -264,6 +264,27 @@ class Engine:
             raise StoreError("attribution_not_found", f"there is no record {record_id!r}")
         return row.asDict(recursive=True)
 
+    @command("workflow.benchmark.scenario")
+    def write_scenario(self, document: dict, now: str) -> dict:
+        """Check and keep a benchmark scenario; one with the same id gives way."""
+        kept = bench_files.scenario(document, now)
+        self.files.write_json(f"benchmarks/scenarios/{kept['scenario_id']}.json", kept)
+        return kept
+
+    @command("workflow.benchmark.run")
+    def write_benchmark_run(self, scenario: str, document: dict, now: str) -> dict:
+        """Check and keep a run of a stored scenario."""
+        of = self.files.read_json(f"benchmarks/scenarios/{scenario}.json")
+        if of is None:
+            raise StoreError("benchmark_scenario_not_found", f"there is no scenario {scenario!r}")
+        kept = bench_files.run(document, of, now)
+        self.files.write_json(f"benchmarks/runs/{scenario}/{kept['mode']}-{kept['run_id']}.json", kept)
+        return kept
+
+    @command("workflow.benchmark.list")
+    def scenarios(self) -> dict:
+        return {"scenarios": _plain(ledger.scenarios(self.spark, f"{self.base}/benchmarks"))}
+
     @command("workflow.benchmark")
     def benchmark(self, scenario: str) -> dict:
         found = ledger.benchmark_runs(self.spark, f"{self.base}/benchmarks", scenario)

@@ -53,7 +53,3 @@ def is_safe_path(path: Column) -> Column:
 def violations(*checks: tuple[Column, str, str]) -> Column:
     """Array of (field, message) of the checks that fail."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"))) for ok, field, message in checks]))
-
-
-def row_hash(*columns: str) -> Column:
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

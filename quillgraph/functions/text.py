@@ -51,15 +51,6 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(trimmed(text), F.lit(""))
-
-
-def first_of(*texts: Column) -> Column:
-    """The first text that is not blank, trimmed, or null."""
-    return F.coalesce(*map(blank_to_null, texts))
-
-
 def normal(text: Column) -> Column:
     """Lower case, each run of other characters than letters and numbers one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -86,11 +77,6 @@ def excerpt(text: Column, most: int) -> Column:
     return F.when(F.octet_length(plain) <= most, plain).otherwise(F.concat(F.trim(head), F.lit("...")))
 
 
-def token_estimate(value: Column) -> Column:
-    """Runs of letters, digits and underscores in the compact JSON of a struct."""
-    return F.regexp_count(F.to_json(value), F.lit("[A-Za-z0-9_]+"))
-
-
 def polarity(of: Column, words: list[list[str]]) -> Column:
     """For each word group, whether the terms hold one of its words."""
     return F.array(*[F.arrays_overlap(of, strings(group)) for group in words])

@@ -73,10 +73,6 @@ def conditions(spark: SparkSession, base: str) -> DataFrame:
     return _json(spark, CONDITIONS, f"{base}/conditions.json").select(F.inline("conditions"))
 
 
-def default_conditions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_CONDITIONS, "condition_id string, workflow_mode string, description string")
-
-
 def scenarios(spark: SparkSession, base: str) -> DataFrame:
     return _json(spark, SCENARIO, f"{base}/scenarios", recursive=False).orderBy("scenario_id")
 
