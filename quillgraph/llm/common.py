@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -61,6 +63,15 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def give_back() -> None:
+    """Return the driver's freed memory to the system: what training took would else stay with the process beside the JVM's heap."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def python_partitions(spark: SparkSession, units: int, most: int) -> int:
     """Partitions for a stage whose cost is in Python, by its own measure of work: at most ``most`` units each, and none joined by its bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // most))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Spans, arrow_bytes, blocks, mix, table, word_spans, workers_see_us
+from .common import Spans, _LOWER, arrow_bytes, blocks, give_back, mix, table, word_spans, workers_see_us
 from .labelled import held_out, training_rows
 from .tokens import forget
 
@@ -261,7 +261,13 @@ def train_network(texts: list[str], y: np.ndarray, rounds: int = 4, epochs: int
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_ROWS) -> Network:
     """Fit on a bounded sample: at most 2 * most texts of at most LONGEST characters come to the driver."""
     rows = training_rows(docs, labels, label, most, LONGEST).select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"])
-    return train_network(rows["text"].tolist(), rows["y"].to_numpy(float))
+    texts, y = rows["text"].tolist(), rows["y"].to_numpy(float)
+    del rows
+    give_back()
+    net = train_network(texts, y)
+    del texts
+    give_back()
+    return net
 
 
 def _score(held):
