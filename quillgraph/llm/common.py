@@ -51,6 +51,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def cut_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for files that are no tables; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

@@ -13,6 +13,7 @@ from .quality import op7_quality
 from .token_counts import op5_token_counts
 from .topk import OP3_SQL, op3_topk_search
 from .toxicity import op4_toxicity
+from .warc import OP12_SQL, op12_warc
 
 QUERIES = {
     f.__name__: f
@@ -28,6 +29,7 @@ QUERIES = {
         op9_mixing,
         op10_exact_dedup,
         op11_filter_audit,
+        op12_warc,
     )
 }
 ORACLE = {
@@ -37,4 +39,5 @@ ORACLE = {
     "op9_mixing": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_warc": OP12_SQL,
 }
