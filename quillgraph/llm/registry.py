@@ -9,6 +9,7 @@ from .filter_audit import OP11_SQL, op11_filter_audit
 from .mixing import OP9_SQL, op9_mixing
 from .near_dedup import OP1_SQL, op1_near_dedup
 from .packing import op6_packing
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op7_quality
 from .token_counts import op5_token_counts
 from .topk import OP3_SQL, op3_topk_search
@@ -30,6 +31,7 @@ QUERIES = {
         op10_exact_dedup,
         op11_filter_audit,
         op12_warc,
+        op13_prefix_trie,
     )
 }
 ORACLE = {
@@ -40,4 +42,5 @@ ORACLE = {
     "op10_exact_dedup": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
     "op12_warc": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
