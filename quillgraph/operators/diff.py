@@ -33,7 +33,16 @@ def diff_entities(before: DataFrame, after: DataFrame) -> DataFrame:
 
     A change of kind or of the normal form of the tags makes it retagged, whatever else changed.
     """
-    met = _comparable(before, ["id"], "b_").join(_comparable(after, ["id"], "a_"), "id", "full_outer")
+    return entity_changes(_comparable(before, ["id"], "b_").join(_comparable(after, ["id"], "a_"), "id", "full_outer"))
+
+
+def _tags(prefix: str) -> Column:
+    """The tags of one side of a comparison; none where that side is absent."""
+    return F.filter(F.split(F.coalesce(f"{prefix}tags", F.lit("")), "\x1f"), lambda t: t != "")
+
+
+def entity_changes(met: DataFrame, with_tags: bool = False) -> DataFrame:
+    """diff_entities() of both sides' comparable fields (b_*, a_*), met by id; with tags_added and tags_removed if asked for."""
     fields = F.array_compact(F.array(*[F.when(~F.col(f"b_{c}").eqNullSafe(F.col(f"a_{c}")), F.lit(c)) for c in CONTENT]))
     change = (
         F.when(F.col("b_here").isNull(), "added")
@@ -42,7 +51,15 @@ def diff_entities(before: DataFrame, after: DataFrame) -> DataFrame:
         .when(F.size("fields") > 0, "updated")
     )
     listed = F.when(F.col("b_here") & F.col("a_here"), F.array_join("fields", ",")).otherwise("")
-    return met.withColumn("fields", fields).select("id", change.alias("change"), listed.alias("changed_fields")).where("change is not null")
+    more = [F.array_except(_tags(x), _tags(y)).alias(name) for x, y, name in (("a_", "b_", "tags_added"), ("b_", "a_", "tags_removed"))] if with_tags else []
+    return met.withColumn("fields", fields).select("id", change.alias("change"), listed.alias("changed_fields"), *more).where("change is not null")
+
+
+def diff_tags(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, change, tags_added, tags_removed): tags in normal form that one side has and the other has not, of entities where there are any."""
+    met = _comparable(before, ["id"], "b_").join(_comparable(after, ["id"], "a_"), "id", "full_outer")
+    found = entity_changes(met, with_tags=True)
+    return found.where((F.size("tags_added") > 0) | (F.size("tags_removed") > 0)).drop("changed_fields")
 
 
 def diff_relations(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -53,6 +70,11 @@ def diff_relations(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     keys = ["from_id", "kind", "to_id"]
     both = _comparable(before.dropDuplicates(keys), keys, "b_").join(_comparable(after.dropDuplicates(keys), keys, "a_"), keys, "full_outer")
+    return relation_changes(both)
+
+
+def relation_changes(both: DataFrame) -> DataFrame:
+    """diff_relations() of both sides' comparable properties (b_*, a_*), met by key; rows that only one side or neither has may be absent."""
     differ = both.where(F.col("b_here").isNull() | F.col("a_here").isNull() | (F.col("b_props_json") != F.col("a_props_json")))
     state = F.when(F.col("b_here").isNull(), "added").when(F.col("a_here").isNull(), "removed").otherwise("updated")
     marked = differ.withColumn("change", state)
@@ -71,6 +93,31 @@ def diff_relations(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def touched(before: DataFrame, after: DataFrame, keys: list[str], removed: DataFrame | None = None) -> DataFrame:
+    """What a write does to its keys: (keys, change, b_*, a_*), with the comparable fields of both sides.
+
+    after: rows that are written, unique by key; removed: keys that go. Of the current rows
+    only those are read on. change is created, updated (also with equal content) or removed.
+    """
+    named = after.select(*keys) if removed is None else after.select(*keys).unionByName(removed.select(*keys))
+    met = _comparable(before.join(named, keys, "left_semi"), keys, "b_").join(_comparable(after, keys, "a_"), keys, "full_outer")
+    change = F.when(F.col("b_here").isNull(), "created").when(F.col("a_here").isNull(), "removed").otherwise("updated")
+    return met.withColumn("change", change)
+
+
+def folded(changes: DataFrame, keys: list[str], backwards: bool = False) -> DataFrame:
+    """Many versions' touched() rows with their ``number`` as one: each key's first state before and last state after.
+
+    Backwards, the sides change places. Keys that neither side holds are left out.
+    """
+    sides = {p: [c for c in changes.columns if c.startswith(p)] for p in ("b_", "a_")}
+    state = lambda p: F.struct(*[F.col(c).alias(c[2:]) for c in sides[p]])
+    ends = changes.groupBy(*keys).agg(F.min_by(state("b_"), "number").alias("b"), F.max_by(state("a_"), "number").alias("a"))
+    ends = ends.where(F.col("b.here").isNotNull() | F.col("a.here").isNotNull())
+    one, other = ("a", "b") if backwards else ("b", "a")
+    return ends.select(*keys, *[F.col(f"{one}.{c[2:]}").alias(c) for c in sides["b_"]], *[F.col(f"{other}.{c[2:]}").alias(c) for c in sides["a_"]])
+
+
 def diff_summary(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(record, change, n) of both differences."""
     count = lambda df, name: df.groupBy("change").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("record"), "change", "n")

@@ -77,4 +77,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_on_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that staged() wrote, once everything made from them is there."""
+    for df in tables:
+        file_system(df.sparkSession, df._staged_at).delete(_path(df.sparkSession, df._staged_at), True)
