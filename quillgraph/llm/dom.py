@@ -38,19 +38,22 @@ _PROSE = _ENDS + 4 * 4
 _CUED = _PROSE + 8
 _CUED_UNDER = _CUED + len(CUES)
 _TITLED = _CUED_UNDER + len(CUES)
-FEATURES = _TITLED + len(CUES)
+_KINDS_OF_CUE = _TITLED + len(CUES)
+FEATURES = _KINDS_OF_CUE + 8
 _CLASSES = {t: k + 1 for k, group in enumerate("html,body div,span,center section article main aside nav header footer,address form,fieldset ul,ol,menu dl li dt,dd p h1 h2,h3,h4,h5,h6 blockquote,q pre,code table,tbody,thead,tfoot tr td,th figure,figcaption a,b,i,em,strong,font details,summary".split()) for t in group.split(",")}
 _KINDS = max(_CLASSES.values()) + 1
 EDGES = _KINDS * _KINDS
 
-#: Attributes of a tag: a quote opens a value only after an equals sign.
-_INSIDE = r"(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+"
+#: Attributes of a tag: a quote opens a value only after an equals sign. One "<" may stand outside of quotes; a second begins
+#: another tag, so that what a tag without end costs is bounded by the next two and not by the rest of the page.
+_PLAIN = r"(?:[^<>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+"
+_INSIDE = rf"{_PLAIN}(?:<{_PLAIN})?+"
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     rf"|<(script|style|noscript|template|svg(?!{_INSIDE}(?<=/)>)|title|textarea|iframe)(?=[\s/>]){_INSIDE}>.*?(?:</\1\s*+>|\Z)"
-    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_INSIDE})>"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_INSIDE})>"
     r"|</?[a-zA-Z!?][^<>]*+>"
-    r"|<[a-zA-Z/!][^<>]*+\Z",
+    r"|<[a-zA-Z/!][^<>]*+(?=<|\Z)",
     re.S | re.I,
 )
 #: One attribute, its name read whole, so that data-class is not class.
@@ -311,6 +314,7 @@ class Forest:
             _PLACE + edge_of_page * 3 + np.minimum(share, 2),
             _ENDS + np.minimum(ends, 3) * 4 + np.minimum(direct // 3, 3),
             _PROSE + bucket(under_prose, 8),
+            _KINDS_OF_CUE + np.minimum((under_cue > 0).sum(1), 3) * 2 + (under_links > 0),
         ]
         at_own, at_under = np.nonzero(cue), np.nonzero(under_cue)
         titled = np.array(self.titled, np.int64)

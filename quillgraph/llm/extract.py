@@ -67,6 +67,9 @@ def train(pages: list[str] | None = None, steps: int = STEPS) -> tuple[np.ndarra
     t = forest.arrays()
     y = np.array([x or 0 for x in forest.label])
     child = np.flatnonzero(t["parent"] >= 0)
+    rest = np.bincount(t["parent"][child], 1 - y[child], len(y))
+    roots = np.array(forest.roots, np.int64)
+    y[roots] = rest[roots] == 0  # a page is content where all that is in it is
     seen = np.zeros((EDGES, 2, 2))
     np.add.at(seen, (t["edge"][child], y[t["parent"][child]], y[child]), 1)
     wanted = np.bincount(t["feature"], t["value"] * y[t["node"]], FEATURES)

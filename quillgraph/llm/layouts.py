@@ -16,7 +16,11 @@ from collections.abc import Callable
 
 from .dom import CUES
 
-PAGES, SEED = 1600, 11
+PAGES, SEED = 2600, 13
+#: Fragments for each page of a whole layout; shares of wrapped articles and of sparse pages among them, to 7 of other kinds.
+FRAGMENTS, WHOLE, SPARSE = 0.4, 5, 6
+#: Share of whole pages that are made of divs alone.
+SOUP = 0.08
 _LABEL = re.compile(r' y="([01])"')
 
 _CONTENT = "article post entry content story main text body prose page document".split()
@@ -125,7 +129,9 @@ class _Writer:
         if kind == "nav":
             return self.el(tag, 0, (self.links if r.random() < 0.9 or inside else lambda k: self.plain("ul", 0, "".join(self.plain("li", 0, self.words(r.randint(1, 3))) for _ in range(k))))(r.randint(2, 12)), names)
         if kind == "header":
-            parts = [r.choice([self.plain("h1", 0, f'<a href="/">{self.words(2)}</a>'), self.el("div", 0, self.words(r.randint(1, 3)), _NOISE["header"]), f'<a href="/">{self.words(2)}</a>', self.plain("p", 0, self.words(r.randint(2, 8)))])]
+            parts = [r.choice([self.plain("h1", 0, f'<a href="/">{self.words(2)}</a>'), self.el("div", 0, self.words(r.randint(1, 3)), _NOISE["header"]), f'<a href="/">{self.words(2)}</a>', self.plain("p", 0, self.words(r.randint(2, 8))), *[self.plain(r.choice(["h1", "h1", "h2"]), 0, self.words(r.randint(1, 4)))] * 2])]
+            if not said and r.random() < 0.4:
+                parts = [self.plain("div", 0, self.words(r.randint(1, 3)))]
             return self.el(tag, 0, "".join(parts) + r.choice(["", self.noise("nav")]), names or (_NOISE["header"] if tag == "div" else None))
         if kind == "footer":
             legal = r.choice(["&copy; ", "Copyright ", "&copy; 2020 "]) + self.words(r.randint(1, 20)) + r.choice(["", ". All rights reserved."])
@@ -194,25 +200,29 @@ class _Writer:
             return self.plain("details", one, self.plain("summary", one, self.words(r.randint(1, 5))) + r.choice([self.plain("p", one, self.prose(n)), self.prose(n)]))
         if kind == "section":
             return self.el(r.choice(["section", "section", "div"]), one, self.plain("h2", one, self.words(r.randint(1, 6))) + "".join(self.block(r.choice(["p", "p", "p", "list", "code", "quote", "table"]), scale) for _ in range(r.randint(1, 4))))
+        if kind == "spans":  # text of the wrapper's own before a nested block
+            said = [f"<span>{r.choice([self.words, self.sentences])(r.randint(2, 16))}</span>" for _ in range(r.randint(1, 3))]
+            return self.el("div", one, r.choice(["", " ", "<br>"]).join(said) + self.el("div", one, self.prose(n + 4)))
         if kind == "verse":
             lines = "<br>".join(self.words(r.randint(2, 9)) for _ in range(r.randint(2, 12)))
             return r.choice([lines, self.plain("p", one, lines), self.el("div", one, lines)])
         return r.choice(["<br>", "<br><br>"]).join(self.prose(n) for _ in range(r.randint(1, 4)))  # bare text
 
-    def title(self) -> str:
+    def title(self, within: bool = True) -> str:
+        """A heading and perhaps a byline; in a header only where an element of the article stands around it."""
         r = self.r
         head = self.plain(r.choice(["h1", "h1", "h1", "h2"]), 1, self.words(r.randint(1, 10), 0.2))
         if r.random() < 0.45:
             link = f'<a href="/u">{self.words(r.randint(1, 3))}</a>'
             by = r.choice([f"By {self.words(2)}", f"By {link}, {self.words(2)}", f"By {link}", f"{self.words(1)} {link}", f"<time>{self.words(2)}</time>", self.words(r.randint(2, 6))])
             head += self.el(r.choice(["p", "div", "address"]), 1, by, r.choice([_BYLINE, None]))
-        if r.random() < 0.25:
+        if within and r.random() < 0.25:
             head = self.plain(r.choice(["header", "header", "div"]), 1, head)
         return head
 
     def blocks(self) -> list[str]:
         r, scale = self.r, self.r.uniform(1.5, 6)
-        main = r.choice(["p"] * 8 + ["div", "div", "bare", "bare", "section", "verse"])
+        main = r.choice(["p"] * 8 + ["div", "div", "bare", "bare", "section", "verse", "spans"])
         kinds = [main] * 12 + "head head list list dl quote code figure table details bare p section".split()
         out = [self.block(r.choice(kinds), scale) for _ in range(r.choice([1, 1, 2, 3, 4, 5, 8, 12, 20, 30, 80]))]
         if r.random() < 0.8:
@@ -241,7 +251,9 @@ class _Writer:
 
     def page(self) -> str:
         r = self.r
-        layout = r.choice(["named"] * 5 + ["grid", "grid", "bare", "bare", "table"])
+        if r.random() < SOUP:
+            return self.page_of(self.soup())
+        layout = r.choice(["named"] * 5 + ["grid", "grid", "bare", "bare", "bare", "table"])
         self.named = {"named": 0.95, "grid": 0.6, "bare": 0.25, "table": 0.15}[layout]
         before = [self.noise(k) for k in r.sample(["nav", "header", "ad", "cookie", "sign", "nav"], r.randint(0, 4))]
         after = [self.noise(k) for k in r.sample(["footer", "more", "talk", "ad", "share", "cookie", "sign", "nav", "footer"], r.randint(0, 5))]
@@ -253,11 +265,30 @@ class _Writer:
             parts = [middle, *sides]
             r.shuffle(parts)
             middle = self.wrap(0, self.el("div", 0, "".join(self.el("div", 0, x) if x is not middle and r.random() < 0.4 else x for x in parts)))
+        before, after = (self.grouped(x) for x in (before, after))
         inner = "".join([*before, middle, *after])
-        return self.page_of(self.wrap(0, inner) if r.random() < 0.4 and (before or after) else inner)
+        return self.page_of(self.wrap(0, inner) if r.random() < 0.6 and (before or after) else inner)
+
+    def soup(self) -> str:
+        """A page of nothing but divs that say nothing; boilerplate is told by links and cue words alone."""
+        r, div = self.r, lambda y, inner: self.el("div", y, inner)
+        lines = [self.words(r.randint(1, 8))] * (r.random() < 0.7) + [self.prose(self.length(5) + 4) for _ in range(r.randint(1, 6))]
+        text = "".join(div(1, x) for x in lines)
+        text = div(1, text) if r.random() < 0.7 else text
+        name = div(0, self.words(r.randint(1, 3)))
+        top = r.choice([name, ""]) + r.choice([div(0, self.links(r.randint(1, 5))), self.links(r.randint(1, 5))])
+        told = self.sentences(r.randint(2, 9)) + " " + self.cue("cookie") + r.choice(["", f' <a href="/c">{self.cue("cookie")} {self.words(1)}</a>'])
+        legal = r.choice(["&copy; ", "Copyright "]) + self.words(r.randint(1, 4)) + r.choice(["", " 2021", ". All rights reserved."])
+        ends = [div(0, x) for x in r.sample([told, legal, legal, self.links(3)], r.randint(1, 2))]
+        inner = div(0, top) * (r.random() < 0.8) + (div(1, text) if r.random() < 0.6 else text) + (div(0, "".join(ends)) if r.random() < 0.7 else "".join(ends))
+        return div(0, inner) if r.random() < 0.6 else inner
+
+    def grouped(self, regions: list[str]) -> list[str]:
+        """Now and then regions of boilerplate stand in one wrapper."""
+        return [self.el("div", 0, "".join(regions))] if len(regions) > 1 and self.r.random() < 0.4 else regions
 
     def page_of(self, inner: str) -> str:
-        return "<html><head><title>x</title></head>" + self.plain("body", 0, inner) + "</html>"
+        return "<html><head><title>x</title></head>" + self.plain("body", int(' y="0"' not in inner), inner) + "</html>"
 
     def layout_table(self, before: list[str], sides: list[str], after: list[str]) -> str:
         r = self.r
@@ -269,25 +300,52 @@ class _Writer:
         cells.insert(r.randint(0, len(cells)), text)
         rows = [self.plain("tr", 0, self.plain("td", 0, x)) for x in before] + [self.plain("tr", 0, "".join(cells))] + [self.plain("tr", 0, self.plain("td", 0, x)) for x in after]
         table = self.plain("table", 0, "".join(rows))
-        return self.plain("center", 0, table) if r.random() < 0.2 else table
+        if r.random() < 0.6:
+            return table
+        legal = f"<hr><font size=\"1\">{r.choice(['&copy; ', 'Copyright '])}{self.words(r.randint(1, 6))}. {r.choice(['', 'All rights reserved.'])}</font>"
+        return self.plain("center", 0, table + r.choice(["", legal, legal]))
+
+    def lone(self) -> str:
+        """An article of one to three blocks, in up to four wrappers that say nothing."""
+        r, scale = self.r, self.r.uniform(1.5, 5)
+        kinds = ["p"] * 6 + ["div", "div", "bare", "spans", "list", "quote", "verse"]
+        inner = "".join(self.block(r.choice(kinds), scale) for _ in range(r.randint(1, 3)))
+        if r.random() < 0.4:
+            inner = self.title(False) + inner
+        for _ in range(r.randint(0, 4)):
+            inner = r.choice([self.plain, self.el])(r.choice(["div", "div", "div", "section"]), 1, inner)
+        return inner
+
+    def sparse(self) -> str:
+        """Such an article between one or two regions of boilerplate that say what they are."""
+        r = self.r
+        self.named = 0.95
+        before = [self.noise(r.choice(["nav", "header", "header"])) for _ in range(r.choice([0, 1, 1]))]
+        after = [self.noise(r.choice(["footer", "footer", "cookie", "nav"])) for _ in range(1 - len(before) if r.random() < 0.5 else 1)]
+        return self.page_of("".join([*before, self.lone(), *after]))
+
+    def whole(self) -> str:
+        return self.page_of(self.lone()) if self.r.random() < 0.8 else self.lone()
 
     def fragment(self) -> str:
         """Pages without boilerplate: an article, its blocks or plain text alone."""
         r = self.r
         whole = lambda inner: f'<body y="1">{inner}</body>'
         makers: list[Callable[[], str]] = [
+            *[self.whole] * WHOLE,
+            *[self.sparse] * SPARSE,
             lambda: self.article(0.3),
             lambda: "".join(self.block(r.choice(["p", "p", "list", "head", "dl"]), 4) for _ in range(r.randint(1, 6))),
             lambda: self.plain("article", 1, self.plain("p", 1, self.prose(self.length(4)))),
             lambda: whole(self.prose(self.length(5))),
             lambda: whole(f"{self.words(self.length(4))}<br>{self.prose(self.length(5))}"),
             lambda: whole(self.words(self.length(4)) + self.plain("p", 1, self.prose(self.length(5)))),
-            lambda: whole(self.title() + self.wrap(1, "".join(self.block("p", 4) for _ in range(3)))),
+            lambda: whole(self.title(False) + self.wrap(1, "".join(self.block("p", 4) for _ in range(3)))),
         ]
         return r.choice(makers)()
 
 
 def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
-    """n pages of whole layouts after n // 6 fragments, the same for the same seed."""
+    """n pages of whole layouts after n * FRAGMENTS fragments, the same for the same seed."""
     w = _Writer(seed)
-    return [w.fragment() for _ in range(n // 6)] + [w.page() for _ in range(n)]
+    return [w.fragment() for _ in range(int(n * FRAGMENTS))] + [w.page() for _ in range(n)]

@@ -1,6 +1,7 @@
 """Pages written by hand, of layouts that the training grammar never saw, and pages that are broken in many ways."""
 
 import random
+import time
 
 import pytest
 
@@ -55,6 +56,29 @@ case("blog", f'''<html><body><div id="header"><h1><a href="/">My garden</a></h1>
 case("bare_table_data", f'''<html><body><article><h1>Costs</h1><p>{S(1)}</p><table><tr><td>Stone</td><td>12</td></tr><tr><td>Wood</td><td>7</td></tr></table></article></body></html>''',["Costs",S(1),"Stone","12","Wood","7"])
 case("div_soup", f'''<html><body><div><div><div>Acme</div><div><a href="/">Shop</a></div></div><div><div><div>How we mend bridges</div><div>{S(2)}</div><div>{S(3,1)}</div><div>{S(3,2)}</div></div></div><div><div>We use cookies to make this site work. <a href="/c">Cookie policy</a></div><div>© Acme 2022</div></div></div></body></html>''',["How we mend bridges",S(2),S(3,1),S(3,2)])
 case("essay_table", f'''<html><body><table><tr><td><a href="/i">Index</a> <a href="/n">Notes</a></td></tr><tr><td><p>{S(3)}</p><p>{S(3,1)}</p></td></tr></table></body></html>''',[S(3),S(3,1)])
+# An article and nothing else, in wrappers that say nothing, and pages with little around it.
+case("plain_div", f"<html><body><div><p>{S(2)}</p></div></body></html>", [S(2)])
+case("fragment_div", "<div><p>Para one is a full sentence, with words enough.</p></div>", ["Para one is a full sentence, with words enough."])
+case("one_sentence", f"<html><body><div><p>{S(1)}</p></div></body></html>", [S(1)])
+case("three_words", "<html><body><div><p>Closed today.</p></div></body></html>", ["Closed today."])
+case("one_word", "<html><body><div><div>word</div></div></body></html>", ["word"])
+case("wrapped_thrice", f"<html><body><div><div><div class='x'><p>{S(3)}</p></div></div></div></body></html>", [S(3)])
+case("long_paragraph", f"<html><body><div class='a'><div class='b'><p>{S(12)}</p></div></div></body></html>", [S(12)])
+case("two_divs", f"<html><body><div><p>{S(1)}</p></div><div><p>{S(1,1)}</p></div></body></html>", [S(1), S(1,1)])
+case("text_in_div", f"<html><body><div>{S(2)}</div></body></html>", [S(2)])
+case("in_section", f"<html><body><section><p>{S(2)}</p></section></body></html>", [S(2)])
+case("title_in_div", f"<html><body><div><h1>Title here</h1><p>{S(2)}</p></div></body></html>", ["Title here", S(2)])
+case("spans_before_div", f"<html><body><div><span>One short line.</span><br><span>And another one</span><div>{S(2)}</div></div></body></html>", ["One short line. And another one", S(2)])
+case("spans_before_p", f"<html><body><div><span>{S(1)}</span> <span>{S(1,1)}</span><div><p>{S(2,2)}</p></div></div></body></html>", [S(2), S(2,2)])
+case("list_in_div", f"<html><body><div><p>{S(1)}</p><ul><li>one thing</li><li>two things</li></ul></div></body></html>", [S(1), "one thing", "two things"])
+case("table_in_div", "<html><body><div><table><tr><td>a thing</td><td>12</td></tr><tr><td>other</td><td>7</td></tr></table></div></body></html>", ["a thing","12","other","7"])
+case("site_name_main", f"<html><body><header><h1>My Site</h1></header><main><h1>Head</h1><p>{S(2)}</p></main></body></html>", ["Head", S(2)])
+case("site_name_article", f"<html><body><header><h1>My Site</h1></header><article><h1>Head</h1><p>{S(2)}</p></article><footer><p>Copyright</p></footer></body></html>", ["Head", S(2)])
+case("site_name_div", f"<html><body><header><h1>My Site</h1></header><div><h2>Head</h2><p>{S(3)}</p><p>{S(2)}</p></div></body></html>", ["Head", S(3), S(2)])
+case("site_name_nav", f"<html><body><header><h1>Site of mine</h1><nav><a href='/'>Home</a><a href='/a'>About</a></nav></header><main><p>{S(1)}</p><p>{S(2,2)}</p></main><footer><p>All rights reserved</p></footer></body></html>", [S(1), S(2,2)])
+case("nav_and_div", f"<html><body><nav><a href='/'>Home</a> <a href='/b'>Blog</a></nav><div><p>{S(2)}</p></div></body></html>", [S(2)])
+case("div_and_footer", f"<html><body><div><p>{S(2)}</p><p>{S(1,1)}</p></div><footer>Copyright 2020</footer></body></html>", [S(2), S(1,1)])
+case("notice", f"<html><body><div class='notice'><p>This site will be down on Monday.</p></div><article><h1>H</h1><p>{S(2)}</p></article></body></html>", ["H", S(2)])
 # fmt: on
 
 
@@ -111,6 +135,39 @@ def test_very_deep_and_very_wide_pages(kept):
     assert extract.extract_texts(["</div>" * 20_000 + "<b>" * 20_000], kept) == [""]
 
 
+_UNCLOSED = ["<p ", '<a b="', "<a b='", "<svg ", "<script ", "<!--", "<", "<x><li>", "<p a=\"'", "</p ", "<p =\"", "&amp", "<b class=x>"]
+
+
+@pytest.mark.parametrize("bit", _UNCLOSED)
+@pytest.mark.parametrize("end", ["", '=">"', ">", "-->", "</script>"])
+def test_reading_takes_time_in_proportion(bit, end):
+    """Eight times as much of what is never closed takes about eight times as long, however it ends."""
+
+    def seconds(n):
+        page = bit * (n // len(bit)) + end
+        best = float("inf")
+        for _ in range(3):
+            began = time.perf_counter()
+            dom.Forest().add(page)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(320_000) < 30 * seconds(40_000) + 0.05
+
+
+def test_a_tag_without_end_is_dropped_and_no_more():
+    text = lambda page: ["".join(s for _, s in b) for b in _read(page).pages[0]]
+    assert text("one <b two <i>three</i> four") == ["one three four"]
+    assert text("a < b and 3 <4") == ["a < b and 3 <4"]
+    assert text('<p title="a<b">x</p><p onclick=a<b>y</p>') == ["x", "y"]
+
+
+def _read(page):
+    forest = dom.Forest()
+    forest.add(page)
+    return forest
+
+
 def test_training_finds_the_way_from_few_pages():
     model = extract.train(layouts.labelled_pages(240, seed=3), steps=100)
     forest = dom.Forest(layouts.label_of)
