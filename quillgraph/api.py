@@ -80,7 +80,7 @@ class Engine:
         if not task.strip():
             raise ValueError("a task is required")
         graph, version = self.store.current()
-        meta, status = self.index.ensure(graph.entities, version)
+        meta, status = self.index.ensure(graph.entities, version, self.store.changed_since)
         return self._ranked(graph, task, self.index.search(meta, task)), status
 
     def _scored(self, results: DataFrame, task: str, now: str) -> DataFrame:

@@ -72,6 +72,11 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     file_system(spark, path).deleteOnExit(_path(spark, path))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file, if it is there."""
+    file_system(spark, path).delete(_path(spark, path), True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back, for several uses; it goes when the driver's JVM ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

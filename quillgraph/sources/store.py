@@ -235,6 +235,14 @@ class Store:
             out[record] = D.folded(rows, keys, backwards=before["number"] > after["number"])
         return out
 
+    def changed_since(self, version: str) -> DataFrame | None:
+        """Ids (id) of entities that writes after a version touched; None where that is not known."""
+        revisions = self.revisions()
+        row = revisions.where(F.col("id") == f"rev:{version}").head()
+        last = revisions.where(F.col("id") == f"rev:{self._pointer()}").head()
+        changes = self._changes_between(row.asDict(), last.asDict()) if row and last else None
+        return None if changes is None else changes["entity"].select("id")
+
     def diff(self, before: str, after: str) -> tuple[DataFrame, DataFrame]:
         """Entities and relations that differ between two revisions, by the changes between them; by both snapshots where changes are missing."""
         rows = self.revision(before), self.revision(after)
