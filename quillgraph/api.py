@@ -115,8 +115,14 @@ class Engine:
 
     @command("diff")
     def diff(self, before: str, after: str) -> dict:
+        """What differs between two revisions: entities with the tags that they gained and lost, relations, and counts by change."""
         nodes, links = self.store.diff(before, after)
-        return {"entities": _plain(nodes.orderBy("change", "id")), "relationships": _plain(links.orderBy("change", "from_id", "to_id"))}
+        told = nodes.join(self.store.diff_tags(before, after).drop("change"), "id", "left")
+        summary: dict = {}
+        for r in _plain(diff.diff_summary(nodes, links).orderBy("record", "change")):
+            summary.setdefault(r["record"], {})[r["change"]] = r["n"]
+        listed = _plain(told.orderBy("change", "id"))
+        return {"summary": summary, "entities": listed, "relationships": _plain(links.orderBy("change", "from_id", "to_id"))}
 
     @command("stats")
     def stats(self) -> dict:

@@ -16,6 +16,8 @@ from ..operators import search as S
 from ..sources.adapter import entities, relations, revised_entities, revised_relations, table
 from ..sources.files import delete_on_exit, shared_dir
 from ..sources.index import TextIndex
+from ..sources.store import RELATION as STORED_RELATION
+from ..sources.store import Graph, Store
 from .sqlbase import ENTITY, ENTITY_B, FUSED, POSTED, RELATION, RELATION_B, expand_sql, norm, r, search_sql, with_
 
 QUERIES: dict = {}
@@ -23,6 +25,7 @@ ORACLE: dict = {}
 TASK = "what depends on red widget?"
 TASK_TERMS = ["depends", "red", "widget"]
 PLAIN_TASK = "blue gear supplier overview"
+RELATION_COLUMNS = [c.split()[0] for c in STORED_RELATION.split(", ")]
 PLAIN_TERMS = ["blue", "gear", "overview", "supplier"]
 
 
@@ -70,6 +73,27 @@ def indexed_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", rounded(F.col("score"), 6).alias("score"), F.array_join("matched_terms", ",").alias("matched_terms"), F.lit(status).alias("status"))
 
 
+_POSTED_B = POSTED.replace("FROM entity", "FROM entity_b")
+_SEARCH_B = search_sql(PLAIN_TERMS).replace("FROM entity", "FROM entity_b")
+_RENEWED = """
+renewed AS (SELECT count(*) AS n FROM entity_b b LEFT JOIN entity a ON a.id = b.id
+            WHERE a.id IS NULL OR a.kind <> b.kind OR a.title IS DISTINCT FROM b.title)"""
+
+
+@query(
+    with_(ENTITY, ENTITY_B, _POSTED_B, _SEARCH_B, _RENEWED)
+    + f"SELECT id AS doc_id, {r('text')} AS score, {joined('matched')} AS matched_terms, 'rebuilt' AS status, n AS tokenised FROM found, renewed"
+)
+def refreshed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The index of revision A is brought to revision B; only the documents that differ are tokenised."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+    delete_on_exit(spark, index.base)
+    index.ensure(entities(spark, d))
+    meta, status = index.ensure(revised_entities(spark, d))
+    found = index.search(meta, PLAIN_TASK).select("doc_id", rounded(F.col("score"), 6).alias("score"), F.array_join("matched_terms", ",").alias("matched_terms"))
+    return found.withColumns({"status": F.lit(status), "tokenised": F.lit(meta["tokenised"]).cast("long")})
+
+
 def _results(df: DataFrame) -> DataFrame:
     out = df.select("id", *[rounded(F.col(c), 6).alias(c) for c in ("score", "text", "structural")], F.array_join("matched_terms", ",").alias("matched_terms"), F.col("n_refs").cast("long").alias("n_refs"))
     return R.ranked(out)
@@ -318,6 +342,57 @@ def diff_summary(spark: SparkSession, d: str) -> DataFrame:
     return D.diff_summary(D.diff_entities(entities(spark, d), revised_entities(spark, d)), D.diff_relations(relations(spark, d), revised_relations(spark, d)))
 
 
+_TAGS = """
+tagged AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' ELSE 'removed' END AS change,
+                  CASE WHEN a.id IS NULL THEN coalesce(b.tag, '') ELSE '' END AS tags_added, CASE WHEN b.id IS NULL THEN coalesce(a.tag, '') ELSE '' END AS tags_removed
+           FROM entity a FULL JOIN entity_b b ON a.id = b.id WHERE (a.id IS NULL OR b.id IS NULL) AND coalesce(a.tag, b.tag, '') <> '')"""
+
+
+@query(with_(ENTITY, ENTITY_B, _TAGS) + "SELECT * FROM tagged")
+def diff_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags gained and lost; in the data only with whole documents."""
+    found = D.diff_tags(entities(spark, d), revised_entities(spark, d))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("tags_added", "tags_removed")})
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[Store, str, str]:
+    """A store that holds revision A and then B, and their ids."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    delete_on_exit(spark, store.base)
+    said = {"agent_id": "loader", "session_id": "session-1", "timestamp": "2024-01-01T00:00:00Z"}
+    whole = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in RELATION_COLUMNS])
+    first = store.write(entities(spark, d), whole(relations(spark, d)), said)
+    second = store.replace(Graph(revised_entities(spark, d), whole(revised_relations(spark, d))), said)
+    return store, first["revision"]["id"], second["revision"]["id"]
+
+
+@query(
+    with_(ENTITY, ENTITY_B, RELATION, RELATION_B, _DIFF, _EDIFF)
+    + """SELECT 'entity' AS record, id AS key, change, changed_fields AS detail FROM changed WHERE change IS NOT NULL
+UNION ALL SELECT 'relation', from_id || ' ' || to_id, change, coalesce(kind_before, '') || '>' || coalesce(kind_after, '') FROM echanged"""
+)
+def stored_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Both revisions are stored; what differs comes from the change table of the second, no snapshot is read."""
+    nodes, edges = (lambda store, a, b: store.diff(a, b))(*_stored(spark, d))
+    kinds = F.concat(F.coalesce("kind_before", F.lit("")), F.lit(">"), F.coalesce("kind_after", F.lit("")))
+    links = edges.select(F.lit("relation").alias("record"), F.concat_ws(" ", "from_id", "to_id").alias("key"), "change", kinds.alias("detail"))
+    return nodes.select(F.lit("entity").alias("record"), F.col("id").alias("key"), "change", F.col("changed_fields").alias("detail")).unionByName(links)
+
+
+@query(
+    with_(ENTITY, ENTITY_B, RELATION, RELATION_B, _DIFF)
+    + """, gone AS (SELECT * FROM relation EXCEPT SELECT * FROM relation_b), come AS (SELECT * FROM relation_b EXCEPT SELECT * FROM relation)
+SELECT 'entity' AS record, id AS key, CASE change WHEN 'added' THEN 'created' WHEN 'removed' THEN 'removed' ELSE 'updated' END AS change FROM changed WHERE change IS NOT NULL
+UNION ALL SELECT 'relation', from_id || ' ' || kind || ' ' || to_id, 'removed' FROM gone UNION ALL SELECT 'relation', from_id || ' ' || kind || ' ' || to_id, 'created' FROM come"""
+)
+def revision_touched(spark: SparkSession, d: str) -> DataFrame:
+    """All that the second revision touched, from its change tables."""
+    store, _, second = _stored(spark, d)
+    nodes, edges = store.touched(second)
+    keyed = edges.select(F.lit("relation").alias("record"), F.concat_ws(" ", "from_id", "kind", "to_id").alias("key"), "change")
+    return nodes.select(F.lit("entity").alias("record"), F.col("id").alias("key"), "change").unionByName(keyed)
+
+
 @query(with_(ENTITY, ENTITY_B, _DIFF) + "SELECT id, CASE change WHEN 'added' THEN 'created' WHEN 'removed' THEN 'removed' ELSE 'updated' END AS change FROM changed WHERE change IS NOT NULL")
 def sync_diff(spark: SparkSession, d: str) -> DataFrame:
     return D.sync_diff(entities(spark, d), revised_entities(spark, d), ["id"])

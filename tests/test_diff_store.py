@@ -151,3 +151,114 @@ def test_snapshot_checks_both_counts(spark, graph, tmp_path):
     with pytest.raises(StoreError) as e:
         store.snapshot(row["id"])
     assert e.value.code == "revision_snapshot_unavailable"
+
+
+# ---------------------------------------------------------------- layout and change tables
+
+
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+@pytest.fixture(scope="module")
+def history(spark, graph, tmp_path_factory):
+    """Five revisions: written, retitled and linked anew, one removed, one back with another tag, everything written again."""
+    store = Store(spark, f"file://{tmp_path_factory.mktemp('history')}/h")
+    at = lambda day: META | {"timestamp": f"2026-01-0{day}T00:00:00Z"}
+    ids = [store.write(*graph, at(1))["revision"]["id"]]
+    more = edges(spark, [("service:billing", "DEPENDS_ON", "component:authentication"), ("service:login-api", "RELATES_TO", "service:billing")])
+    ids.append(store.write(graph[0].where("id = 'service:billing'").withColumn("title", F.lit("Billing")), more, at(2))["revision"]["id"])
+    now = store.graph()
+    ids.append(store.replace(Graph(now.entities.where("id <> 'service:billing'"), now.relations), at(3))["revision"]["id"])
+    back = graph[0].where("id = 'service:billing'").withColumn("tags", F.array(F.lit("money"), F.lit("payments ")))
+    moved = edges(spark, [("service:login-api", "PART_OF", "component:authentication")])
+    ids.append(store.write(back, moved, at(4))["revision"]["id"])
+    ids.append(store.write(*graph, at(5))["revision"]["id"])
+    return store, ids
+
+
+def test_differences_from_changes_equal_those_of_snapshots(history, monkeypatch):
+    store, ids = history
+    rows = lambda dfs: [sorted(tuple(r) for r in df.collect()) for df in dfs]
+    pairs = [(ids[a], ids[b]) for a, b in ((0, 4), (4, 0), (1, 3), (2, 2), (3, 4), (2, 1))]
+    by_changes = [rows([*store.diff(a, b), store.diff_tags(a, b).selectExpr("id", "change", "array_join(tags_added, ',')", "array_join(tags_removed, ',')")]) for a, b in pairs]
+    monkeypatch.setattr(Store, "_changes_between", lambda *_: None)
+    by_snapshots = [rows([*store.diff(a, b), store.diff_tags(a, b).selectExpr("id", "change", "array_join(tags_added, ',')", "array_join(tags_removed, ',')")]) for a, b in pairs]
+    assert by_changes == by_snapshots
+    assert any(x[2] and x[2][0][2] == "money" for x in by_changes)
+
+
+def test_a_difference_reads_no_snapshot(history):
+    store, ids = history
+    for df in store.diff(ids[0], ids[4]):
+        plan = _plan(df)
+        assert "/changes/" in plan and "/entity]" not in plan.replace("/changes/entity", "") and "Bucketed" not in plan
+    kept, moved = (store._path(f"{store.base}/{ids[2][4:]}/{name}") for name in ("changes", "elsewhere"))
+    store._fs.rename(kept, moved)
+    try:
+        assert "/changes/" not in _plan(store.diff(ids[0], ids[4])[0]) and store.diff(ids[3], ids[4])[0].count() == 1
+    finally:
+        store._fs.rename(moved, kept)
+
+
+def test_a_revision_names_what_it_touched(history):
+    store, ids = history
+    third = store.revision(ids[2])
+    assert third["touched_nodes"]["removed"] == ["service:billing"] and third["touched_nodes"]["n_updated"] == 0
+    assert third["touched_edges"]["removed"] == ["service:billing DEPENDS_ON component:authentication", "service:login-api RELATES_TO service:billing"]
+    assert (third["node_count"], third["edge_count"], third["number"]) == (2, 1, 3)
+    second = store.revision(ids[1])
+    assert second["touched_nodes"]["updated"] == ["service:billing"] and second["touched_edges"]["n_created"] == 2
+    nodes, links = store.touched(ids[4])
+    assert {r["change"] for r in nodes.collect()} == {"updated"} and nodes.count() == 3 and links.count() == 1
+    assert sorted(r["id"] for r in store.changed_since(ids[2][4:]).collect()) == ["component:authentication", "service:billing", "service:login-api"]
+    assert store.changed_since(ids[4][4:]).isEmpty() and store.changed_since("unknown") is None
+
+
+def test_many_touched_ids_are_counted_and_listed_in_part(spark, graph, tmp_path, monkeypatch):
+    from quillgraph.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_TOUCHED", 2)
+    store = Store(spark, f"file://{tmp_path}/g")
+    row = store.write(*graph, META)["revision"]
+    assert row["touched_nodes"]["created"] == ["component:authentication", "service:billing"] and row["touched_nodes"]["n_created"] == 3
+    assert store.touched(row["id"])[0].count() == 3
+
+
+def test_stored_tables_are_joined_where_they_lie(spark, graph, history):
+    store, _ = history
+    now = store.graph()
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in _plan(now.relations) and "Bucketed: true" in _plan(now.relations.join(now.entities.withColumnRenamed("id", "from_id"), "from_id"))
+        for side, key in ((now.relations, "from_id"), (now.incoming, "to_id")):
+            assert "Exchange" not in _plan(side.join(now.entities.withColumnRenamed("id", key), key, "left_semi"))
+        plan = _plan(D.upsert(now.entities, graph[0].where("title <> 'x'").select(*now.entities.columns), ["id"]))
+        assert "hashpartitioning(n_id" in plan and "hashpartitioning(o_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sorted(map(tuple, now.incoming.select("from_id", "kind", "to_id").collect())) == sorted(map(tuple, now.relations.select("from_id", "kind", "to_id").collect()))
+
+
+def test_replace_takes_relations_once_and_with_both_ends(spark, graph, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/g")
+    store.write(*graph, META)
+    now = store.graph()
+    lost = now.relations.withColumn("to_id", F.lit("ghost"))
+    more = now.relations.withColumn("kind", F.lit("PART_OF"))
+    done = store.replace(Graph(now.entities, now.relations.unionByName(lost).unionByName(more).unionByName(more)), META)
+    assert done["relationships"] == {"created": 1} and done["revision"]["edge_count"] == 2 and store.graph().relations.count() == 2
+
+
+def test_buckets_grow_with_the_rows(spark, graph, tmp_path, monkeypatch):
+    from quillgraph.sources import store as module
+
+    store = Store(spark, f"file://{tmp_path}/g")
+    store.write(*graph, META)
+    assert store._layout(store._pointer())["buckets"] == module.LEAST_BUCKETS
+    monkeypatch.setattr(module, "BUCKET_ROWS", 1)
+    many = graph[0].limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(40))).cast("string").alias("n"), *[c for c in graph[0].columns if c != "id"])
+    store.write(many.withColumn("id", F.concat(F.lit("x:"), "n")).select(*graph[0].columns), graph[1].limit(0), META)
+    assert store._layout(store._pointer())["buckets"] == 43 and store.graph().entities.count() == 43
+    assert store.graph().incoming.count() == 1 and store.graph().relations.count() == 1
