@@ -53,6 +53,8 @@ class Engine:
     repository: str = "local"
     config: evaluation.Config = field(default_factory=evaluation.Config)
     thresholds: evaluation.Thresholds = field(default_factory=evaluation.Thresholds)
+    #: Whether finish() scores an outcome against the graph before it is written.
+    gate_writes: bool = True
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, f"{self.base}/graph")
@@ -227,24 +229,49 @@ class Engine:
             "brief": {"status": state, "prompt": prompt, "guidance": told["guidance"]},
         }
 
+    def _output_score(self, outcome: dict) -> dict | None:
+        """The scores of an outcome as a task output against the stored texts; None if they cannot be had."""
+        row = (finish.root_id(outcome, self.repository), outcome["summary"], finish.content(outcome))
+        output = self.spark.createDataFrame([row], "id string, summary string, content string")
+        try:
+            stored = self.store.graph().entities
+        except StoreError:  # scored without the graph, as an unreadable one is
+            stored = None
+        try:
+            scored = evaluation.evaluate_output(output, outcome["task"] or outcome["summary"], outcome["metadata"]["timestamp"], stored, self.config)
+            return _plain(scored)[0]
+        except Exception:  # a failure of the scoring never holds a write back
+            return None
+
     @command("workflow.finish")
     def finish(self, payload: str, confidence: float | None = None) -> dict:
-        """Write an outcome's objects if it has any and the write gate lets them pass; without a confidence the gate is open."""
+        """Write an outcome's objects if it has any and the write gate lets them pass.
+
+        The gate's confidence is the composite of the outcome's own text, scored against the
+        stored graph, unless one is given. Without ``gate_writes``, or if scoring fails, the
+        gate is open.
+        """
         outcome = finish.parse(payload)
         usage = finish.telemetry(outcome)
         if finish.is_noop(outcome):
             return {"written": False, "reason": "no_items", "telemetry": usage}
+        scores = self._output_score(outcome) if confidence is None and self.gate_writes else None
+        confidence = scores["composite"] if scores else confidence
+        gated: dict = {}
         if confidence is not None:
             gate = _plain(self.spark.range(1).select(*evaluation.write_gate(F.lit(float(confidence)), self.thresholds)))[0]
             kept = attribution.written(outcome["task"], gate["outcome"], float(confidence), outcome["metadata"]["timestamp"], gate["write_status"], gate["reason"])
             attribution.store(self.spark, f"{self.base}/attribution", kept)
+            told = {"confidence": float(confidence), "write_threshold": self.thresholds.write, "defer_threshold": self.thresholds.defer}
+            gated = {"gate": gate | told | ({"scores": scores} if scores else {}), "attribution": kept["id"]}
             if gate["outcome"] != "write":
-                return {"written": False, "gate": gate, "attribution": kept["id"], "telemetry": usage}
+                return {"written": False, **gated, "telemetry": usage}
         before = self.store.current_revision()
         nodes, edges = finish.objects(outcome, self.repository)
-        summary = self.store.write(self.spark.createDataFrame([parse_node(n) for n in nodes], NODE), self.spark.createDataFrame([parse_edge(e) for e in edges], EDGE), outcome["metadata"])
+        rows = self.spark.createDataFrame([parse_node(n) for n in nodes], NODE), self.spark.createDataFrame([parse_edge(e) for e in edges], EDGE)
+        summary = self.store.write(*rows, outcome["metadata"])
         brief = briefs.handoff_brief(outcome, before, summary["revision"], summary)
-        return {"written": True, "root": finish.root_id(outcome, self.repository), "summary": summary, "brief": brief, "telemetry": usage}
+        return {"written": True, "root": finish.root_id(outcome, self.repository), "summary": summary, "brief": brief, "telemetry": usage, **gated}
 
     @command("workflow.seed")
     def seed(self, documents: DataFrame, metadata: dict) -> dict:

@@ -92,23 +92,69 @@ def recency(now: str, stale_days: float) -> tuple[Column, Column, Column]:
     return score, F.coalesce(age > stale_days, F.lit(False)), F.coalesce(age, F.lit(0.0))
 
 
-def conflicts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id, other) of pairs that share a term beside the polarity words and take opposite sides in a word group.
+def conflicts(left: DataFrame, right: DataFrame, but_itself: bool = True) -> DataFrame:
+    """(id, other) of all pairs that share a term beside the polarity words and take opposite sides in a word group.
 
     left, right: id, terms. Only texts that hold a polarity word can conflict; they alone are
-    exploded and met on shared terms, so no cross product is formed.
+    exploded and met on shared terms, so no cross product is formed. The result has every
+    pair, so it grows with the square of a term's texts: scores use stances() and opposed_by().
     """
 
     def sides(df: DataFrame, p: str) -> DataFrame:
-        held = df.where(F.size(polar(F.col("terms"), True)) > 0)
-        return held.select(F.col("id").alias(f"{p}id"), polarity(F.col("terms"), POSITIVE).alias(f"{p}pos"), polarity(F.col("terms"), NEGATIVE).alias(f"{p}neg"), F.explode(polar(F.col("terms"), False)).alias("term"))
+        return _sides(df).select("term", *[F.col(c).alias(f"{p}{c}") for c in ("id", "pos", "neg")])
 
-    a, b = sides(left, "l"), sides(right, "r")
-    met = a.join(b, "term").where("lid <> rid")
+    met = sides(left, "l").join(sides(right, "r"), "term")
+    met = met.where("lid <> rid") if but_itself else met
     opposed = F.exists(F.arrays_zip("lpos", "lneg", "rpos", "rneg"), lambda g: (g["lpos"] & g["rneg"]) | (g["lneg"] & g["rpos"]))
     return met.where(opposed).select(F.col("lid").alias("id"), F.col("rid").alias("other")).distinct()
 
 
+def _sides(df: DataFrame) -> DataFrame:
+    """(id, term, pos, neg) of texts that hold a polarity word: their other terms, and the word groups that they hold on either side."""
+    held = df.where(F.size(polar(F.col("terms"), True)) > 0)
+    pos, neg = polarity(F.col("terms"), POSITIVE), polarity(F.col("terms"), NEGATIVE)
+    return held.select("id", pos.alias("pos"), neg.alias("neg"), F.explode(polar(F.col("terms"), False)).alias("term"))
+
+
+def stances(rows: DataFrame) -> DataFrame:
+    """For each term, who takes which side of each word group: one row a term, however many texts hold it.
+
+    rows: id (unique) and terms. Columns ``<side><group>_n`` count the texts, ``_low`` and
+    ``_high`` are the smallest and largest id: enough to tell none, one and several others.
+    All are partial aggregates, so a term that most texts hold is never gathered.
+    """
+    sums = []
+    for side, groups in (("pos", POSITIVE), ("neg", NEGATIVE)):
+        for g in range(len(groups)):
+            there = F.when(F.col(side)[g], F.col("id"))
+            sums += [F.count(there).alias(f"{side}{g}_n"), F.min(there).alias(f"{side}{g}_low"), F.max(there).alias(f"{side}{g}_high")]
+    return _sides(rows).groupBy("term").agg(*sums)
+
+
+def opposed_by(rows: DataFrame, summary: DataFrame, but_itself: bool = True) -> DataFrame:
+    """(id, n_opposed): 1 or 2 (two and more) texts of a stances() summary that conflict with each row; rows without conflict are left out.
+
+    The score's penalty is full at the second conflict, so no more needs to be known. A
+    row meets one summary row for each of its terms: work grows with the terms and not with
+    the pairs of texts. ``but_itself``: the summary holds the rows themselves, and no text
+    conflicts with itself; else a text of the same id counts.
+    """
+    met = _sides(rows).join(summary, "term")
+    several, others = F.lit(False), []
+    for g in range(len(POSITIVE)):
+        for mine, theirs in (("pos", "neg"), ("neg", "pos")):
+            n, low, high = (F.col(f"{theirs}{g}_{x}") for x in ("n", "low", "high"))
+            itself = F.col(theirs)[g].cast("int") if but_itself else F.lit(0)
+            left = F.when(F.col(mine)[g], n - itself).otherwise(0)
+            several = several | (left >= 2)
+            other = F.when((itself == 1) & (low == F.col("id")), high).otherwise(low)
+            others.append(F.when(left == 1, other))
+    known = F.array_compact(F.array(*others))
+    found = met.select("id", several.alias("several"), F.array_min(known).alias("low"), F.array_max(known).alias("high"))
+    found = found.where("several OR low IS NOT NULL").groupBy("id").agg(F.max("several").alias("several"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return found.select("id", F.when(F.col("several") | (F.col("low") != F.col("high")), 2).otherwise(1).cast("long").alias("n_opposed"))
+
+
 def fate(relevance: Column, consistency: Column, usefulness: Column, composite: Column, config: Config) -> tuple[Column, Column]:
     """Fate of a candidate and, if it is rejected, why (fixed texts)."""
     why = (
@@ -125,24 +171,38 @@ def composite(relevance: Column, consistency: Column, usefulness: Column, config
     return rounded(clamp(relevance * a + consistency * b + usefulness * c), 3)
 
 
-def evaluate(candidates: DataFrame, task: str, now: str, config: Config = Config(), graph_state: DataFrame | None = None, among: bool = True) -> DataFrame:
+def evaluate(
+    candidates: DataFrame,
+    task: str,
+    now: str,
+    config: Config = Config(),
+    graph_state: DataFrame | None = None,
+    among: bool = True,
+    exact: bool = False,
+) -> DataFrame:
     """Scores of candidates (id, texts, tags, matched_terms, graph_refs, time stamps) for a task.
 
     One row each: relevance, consistency, usefulness, composite, fate, reason, matched, stale,
-    age_days, n_conflicts. ``now`` is an argument, so results can be repeated.
+    age_days, n_conflicts. ``now`` is an argument, so results can be repeated. ids are unique.
+    graph_state: stored texts (id, texts, tags) that candidates may also conflict with, one of
+    the same id included. n_conflicts counts conflicts with candidates and with stored texts,
+    each up to two, which is all that scores depend on; ``exact`` counts every one, at the
+    price of all pairs that conflict.
     """
     asked = terms_of(task)
     rows = candidates.withColumn("terms", candidate_terms())
     found = F.array_intersect(strings(asked), F.array_union("terms", "matched_terms"))
     score, stale, age = recency(now, config.stale_days)
     lost = []
+    count = lambda pairs: pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_opposed"))
     if among:
-        lost.append(conflicts(rows, rows))
+        lost.append(count(conflicts(rows, rows)) if exact else opposed_by(rows, stances(rows)))
     if graph_state is not None:
-        lost.append(conflicts(rows, graph_state.withColumn("terms", candidate_terms(False))))
+        stored = graph_state.withColumn("terms", candidate_terms(False))
+        lost.append(count(conflicts(rows, stored, but_itself=False)) if exact else opposed_by(rows, stances(stored), but_itself=False))
     if lost:
-        every = lost[0] if len(lost) == 1 else lost[0].unionAll(lost[1])
-        rows = rows.join(every.groupBy("id").agg(F.count(F.lit(1)).alias("n_conflicts")), "id", "left")
+        every = lost[0] if len(lost) == 1 else lost[0].unionByName(lost[1])
+        rows = rows.join(every.groupBy("id").agg(F.sum("n_opposed").alias("n_conflicts")), "id", "left")
     else:
         rows = rows.withColumn("n_conflicts", F.lit(None).cast("long"))
     rows = rows.withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0)).cast("long")).select(
@@ -210,6 +270,61 @@ def write_gate(value: Column, t: Thresholds = Thresholds()) -> list[Column]:
 def regression(now_scores: DataFrame, prior_scores: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """(id, composite_delta, regressed, reasons): outputs against their earlier scores."""
     prior = prior_scores.select("id", *[F.col(c).alias(f"p_{c}") for c in ("relevance", "usefulness", "composite")])
+    delta, reasons = _regressed(tolerance)
+    met = now_scores.join(prior, "id")
+    return met.select("id", delta.alias("composite_delta"), (F.size(reasons) > 0).alias("regressed"), reasons.alias("reasons"))
+
+
+def evaluate_output(outputs: DataFrame, task: str, now: str, graph_state: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """Scores of task outputs against the stored graph and, where there is one, an earlier output.
+
+    outputs: id (unique), summary, content and, for a comparison, prior_summary,
+    prior_content and perhaps prior_id (unique; else the id). One row each: id, relevance, consistency, usefulness, composite, matched,
+    n_conflicts, prior_composite, composite_delta, regressed and reasons (all four null without
+    an earlier output). An output without summary and content scores zeros and is not
+    compared. Outputs and earlier outputs are scored by one plan; they never conflict with each other.
+    """
+    has_prior = "prior_summary" in outputs.columns
+    blank = lambda a, b: trimmed(F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))) == ""
+    text = lambda p, c: trimmed(F.col(p + c)).alias(c) if has_prior or not p else F.lit("").alias(c)
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def side(p: str) -> DataFrame:
+        named = trimmed(F.coalesce("prior_id", "id") if p and "prior_id" in outputs.columns else F.col("id"))
+        rows = outputs.select(trimmed(F.col("id")).alias("of"), named.alias("name"), text(p, "summary"), text(p, "content"), F.lit(bool(p)).alias("prior"))
+        return rows.where(~blank(F.col("summary"), F.col("content")))
+
+    both = side("").unionByName(side("prior_")) if has_prior else side("")
+    refs = "array<struct<kind:string,from_id:string,to_id:string,direction:string>>"
+    empty = {c: F.lit("") for c in ("title", "repo_path")} | {"kind": F.lit("task_output"), "tags": strings([]), "matched_terms": strings([])}
+    rows = both.withColumns(empty | {"graph_refs": F.array().cast(refs), "updated_at": none("string"), "created_at": none("string")})
+    # A mark that is no term keeps outputs and earlier ones apart where they have one id.
+    rows = rows.withColumn("id", F.concat(F.when(F.col("prior"), F.lit("\x02")).otherwise(F.lit("\x01")), "name"))
+    scored = evaluate(rows, task, now, config, graph_state, among=False).join(rows.select("id", "of", "prior"), "id").drop("id").withColumnRenamed("of", "id")
+    pick = ["relevance", "consistency", "usefulness", "composite", "matched", "n_conflicts"]
+    own = scored.where("NOT prior").select("id", *pick)
+    out = outputs.select(trimmed(F.col("id")).alias("id")).join(own, "id", "left")
+    if has_prior:
+        before = scored.where("prior").select("id", *[F.col(c).alias(f"p_{c}") for c in ("relevance", "usefulness", "composite")])
+        out = out.join(before, "id", "left")
+    else:
+        out = out.withColumns({f"p_{c}": none("double") for c in ("relevance", "usefulness", "composite")})
+    delta, why = _regressed(config.tolerance)
+    compared = F.col("composite").isNotNull() & F.col("p_composite").isNotNull()
+    return out.select(
+        "id",
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in pick[:4]],
+        F.coalesce("matched", strings([])).alias("matched"),
+        F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"),
+        F.when(compared, F.col("p_composite")).alias("prior_composite"),
+        F.when(compared, delta).alias("composite_delta"),
+        F.when(compared, F.size(why) > 0).alias("regressed"),
+        F.when(compared, why).alias("reasons"),
+    )
+
+
+def _regressed(tolerance: float) -> tuple[Column, Column]:
+    """The change of the composite, and why an output is worse than its earlier one (fixed texts)."""
     delta = rounded(F.col("composite") - F.col("p_composite"), 3)
     reasons = F.array_compact(
         F.array(
@@ -218,5 +333,4 @@ def regression(now_scores: DataFrame, prior_scores: DataFrame, tolerance: float
             F.when(F.col("usefulness") + tolerance < F.col("p_usefulness"), "usefulness regressed"),
         )
     )
-    met = now_scores.join(prior, "id")
-    return met.select("id", delta.alias("composite_delta"), (F.size(reasons) > 0).alias("regressed"), reasons.alias("reasons"))
+    return delta, reasons

@@ -98,6 +98,78 @@ def aggregate_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).agg(rounded(E.aggregate_confidence(), 6).alias("confidence"))
 
 
+# --------------------------------------------------------------------------- conflicts and outputs
+
+#: What an order's status says, with words of opposite sense.
+_STATED = "CASE status WHEN 'O' THEN 'currently active' WHEN 'F' THEN 'now removed' ELSE 'in doubt' END"
+_AGAINST = "CASE WHEN kind <> 'Order' THEN 0 WHEN status = 'O' THEN n_gone WHEN status = 'F' THEN n_here ELSE 0 END"
+_CONS0_C = _CONS0.replace("- 0.0", "- least(0.75, 0.4 * nc)")
+_CONS_C = f"CASE WHEN cov > 0.6 AND nc = 0 THEN {clamp_sql(_CONS0_C + ' + 0.1')} ELSE {_CONS0_C} END"
+_USE_C = f"CASE WHEN nc > 0 THEN {clamp_sql('(' + _USE + ') - 0.15')} ELSE {_USE} END"
+_SCORES_C = (
+    _SCORES.replace(
+        "cand AS (SELECT e.*,",
+        f"stated AS (SELECT * REPLACE (CASE WHEN kind = 'Order' THEN {_STATED} ELSE content END AS content) FROM entity),\ncand AS (SELECT e.*,",
+    )
+    .replace("FROM fused f JOIN entity e USING (id))", "FROM fused f JOIN stated e USING (id)),\ntold AS (SELECT count(*) FILTER (kind = 'Order' AND status = 'O') AS n_here, count(*) FILTER (kind = 'Order' AND status = 'F') AS n_gone FROM cand)")
+    .replace("part AS (SELECT a.id,", f"part AS (SELECT a.id, {_AGAINST} AS nc,")
+    .replace("FROM ages a LEFT JOIN ref", "FROM told, ages a LEFT JOIN ref")
+    .replace(f"{r(_CONS, 3)} AS consistency", f"{r(_CONS_C, 3)} AS consistency")
+    .replace(f"{r(_USE, 3)} AS usefulness", f"{r(_USE_C, 3)} AS usefulness, least(nc, 2) AS nc")
+)
+
+
+def _stated(df: DataFrame) -> DataFrame:
+    """Orders say their status in words, so that they contradict each other."""
+    status = F.get_json_object("props_json", "$.status")
+    words = F.when(status == "O", "currently active").when(status == "F", "now removed").otherwise("in doubt")
+    return df.withColumn("content", F.when(F.col("kind") == "Order", words).otherwise(F.col("content")))
+
+
+@query(_SCORES_C + "SELECT id, relevance, consistency, usefulness, composite, fate, coalesce(reason, '') AS reason, CAST(nc AS BIGINT) AS n_conflicts FROM scored")
+def conflicting_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that contradict each other, with the penalty; every order has thousands of opponents on one subject."""
+    scored = E.evaluate(_stated(_candidates(spark, d)), TASK, NOW)
+    return scored.select("id", "relevance", "consistency", "usefulness", "composite", "fate", F.coalesce("reason", F.lit("")).alias("reason"), "n_conflicts")
+
+
+_OUT_TASK = "red widget order"
+_WORDS = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda x: x NOT IN ({_STOP})))"
+_OUT_SCORE = f"""
+{{p}}m AS (SELECT *, len(list_intersect(terms, ['order', 'red', 'widget'])) AS m, len(list_intersect({_WORDS('summary')}, ['order', 'red', 'widget'])) AS ms, len(terms) AS nt FROM {{p}}t),
+{{p}}f AS (SELECT *, m / 3.0 AS cov, m / CAST(nt AS DOUBLE) AS focus, least(1.0, (0.25 * mi + 2.5 * ms) / 9.0) AS weighted, (1 + (CASE WHEN content <> '' THEN 1 ELSE 0 END)) / 8.0 AS dense FROM {{p}}m),
+{{p}}r AS (SELECT *, {clamp_sql('0.5 * cov + 0.35 * weighted')} AS rel, {clamp_sql('0.45 * 0.65 + 0.35 * 0.45 + 0.2 * cov - least(0.75, 0.4 * nc)')} AS con FROM {{p}}f),
+{{p}}u AS (SELECT *, {clamp_sql('0.55 * rel + 0.25 * focus + 0.2 * dense')} AS use0 FROM {{p}}r),
+{{p}}d AS (SELECT id, least(nc, 2) AS nc, {r('rel', 3)} AS relevance, {r('CASE WHEN nc = 0 AND cov > 0.6 THEN ' + clamp_sql('con + 0.1') + ' ELSE con END', 3)} AS consistency,
+   {r('CASE WHEN nc > 0 THEN ' + clamp_sql('use0 - 0.15') + ' ELSE use0 END', 3)} AS usefulness FROM {{p}}u),
+{{p}}s AS (SELECT *, {r(clamp_sql('relevance * (1 / 3.0) + consistency * (1 / 3.0) + usefulness * (1 / 3.0)'), 3)} AS composite FROM {{p}}d)"""
+
+
+@query(
+    with_(ENTITY)
+    + f""", o AS (SELECT id, title, summary AS priority, {_STATED} AS said, status FROM entity WHERE kind = 'Order'),
+n AS (SELECT count(*) FILTER (status = 'O') AS n_here, count(*) FILTER (status = 'F') AS n_gone FROM o),
+cur_t AS (SELECT id, title || ' ' || said AS summary, priority AS content, 1 AS mi, CASE status WHEN 'O' THEN n_gone WHEN 'F' THEN n_here ELSE 0 END AS nc,
+       {_WORDS("concat_ws(' ', id, 'task_output', title, said, priority)")} AS terms FROM o, n),
+pri_t AS (SELECT id, 'Red widget order' AS summary, '' AS content, 1 AS mi, 0 AS nc, {_WORDS("concat_ws(' ', id, 'task_output', 'red widget order')")} AS terms FROM o WHERE status <> 'P'),"""
+    + _OUT_SCORE.replace("{p}", "cur_")
+    + ","
+    + _OUT_SCORE.replace("{p}", "pri_")
+    + f""" SELECT a.id, a.relevance, a.consistency, a.usefulness, a.composite, CAST(a.nc AS BIGINT) AS n_conflicts, b.composite AS prior_composite, {r('(a.composite - b.composite)', 3)} AS composite_delta,
+ ({r('(a.composite - b.composite)', 3)} < -0.05) OR (a.relevance + 0.05 < b.relevance) OR (a.usefulness + 0.05 < b.usefulness) AS regressed
+FROM cur_s a LEFT JOIN pri_s b ON a.id = b.id"""
+)
+def output_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """A text about every order, scored against the stored orders, which contradict it, and against an earlier text where there was one."""
+    stored = _stated(entities(spark, d).where("kind = 'Order'"))
+    had = F.get_json_object("props_json", "$.status") != "P"
+    outputs = stored.select(
+        "id", F.concat_ws(" ", "title", "content").alias("summary"), F.col("summary").alias("content"),
+        F.when(had, "Red widget order").alias("prior_summary"), F.lit(None).cast("string").alias("prior_content"),
+    )
+    return E.evaluate_output(outputs, _OUT_TASK, NOW, stored).drop("matched", "reasons")
+
+
 def _lists(name: str, groups: list[list[str]]) -> str:
     return ", ".join(f"list_has_any(terms, [{', '.join(repr(w) for w in g)}]) AS {name}{i}" for i, g in enumerate(groups))
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,95 @@ def test_evaluate(spark, graph):
     old = {r["id"]: r for r in E.evaluate(rows, "what depends on auth?", "2026-06-22T14:00:00Z").collect()}
     assert old["service:login-api"]["stale"] and old["service:login-api"]["consistency"] < got["service:login-api"]["consistency"]
     assert E.evaluate(rows.limit(0), "auth", "2026-03-22T14:00:00Z").isEmpty()
+
+
+# ---------------------------------------------------------------- conflicts by summary, outputs
+
+_PLAIN = ["cache", "queue", "index", "node", "auth"]
+_POLAR = ["enabled", "disabled", "allowed", "blocked", "stable", "deprecated", "active"]
+
+
+def _said(spark, n, seed, prefix=""):
+    r = random.Random(seed)
+    rows = [(f"{prefix}{i:03d}", " ".join(r.sample(_PLAIN, r.randint(0, 3)) + r.sample(_POLAR, r.randint(0, 3)))) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, t string").select("id", terms(F.col("t")).alias("terms"))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12, 40])
+def test_summary_tells_none_one_and_several_conflicts(spark, n):
+    rows, stored = _said(spark, n, n), _said(spark, n, n + 100)
+    for right, itself in ((rows, True), (stored, False)):
+        exact = {r["id"]: min(r["n"], 2) for r in E.conflicts(rows, right, itself).groupBy("id").agg(F.count("*").alias("n")).collect()}
+        assert {r["id"]: r["n_opposed"] for r in E.opposed_by(rows, E.stances(right), itself).collect()} == exact
+
+
+def test_a_common_term_does_not_make_pairs(spark):
+    """Twenty thousand texts on one subject, half of either opinion: the summary has one row a term and every text meets it once."""
+    rows = spark.range(20_000).select(F.format_string("n%06d", "id").alias("id"), F.when(F.col("id") % 2 == 0, F.array(F.lit("cache"), F.lit("enabled"))).otherwise(F.array(F.lit("cache"), F.lit("disabled"))).alias("terms"))
+    summary = E.stances(rows)
+    assert [(r["term"], r["pos0_n"], r["neg0_n"]) for r in summary.collect()] == [("cache", 10_000, 10_000)]
+    found = E.opposed_by(rows, summary)
+    assert found.count() == 20_000 and found.where("n_opposed = 2").count() == 20_000
+
+
+def _candidates(spark, rows):
+    refs = "array<struct<kind:string,from_id:string,to_id:string,direction:string>>"
+    df = spark.createDataFrame(rows, "id string, summary string")
+    texts = {c: F.lit("") for c in ("kind", "title", "content", "repo_path")}
+    return df.withColumns(texts | {"tags": F.array().cast("array<string>"), "matched_terms": F.array().cast("array<string>"), "graph_refs": F.array().cast(refs), "updated_at": F.lit("2026-03-01T00:00:00Z"), "created_at": F.lit(None).cast("string")})
+
+
+def test_scores_of_capped_and_of_exact_conflicts_are_equal(spark):
+    r = random.Random(3)
+    rows = _candidates(spark, [(f"c{i}", " ".join(r.sample(_PLAIN, 2) + r.sample(_POLAR, 1))) for i in range(12)])
+    stored = _candidates(spark, [(f"c{i}" if i % 3 else f"g{i}", " ".join(r.sample(_PLAIN, 1) + r.sample(_POLAR, 1))) for i in range(12)])
+    score = lambda exact: {x["id"]: (x["relevance"], x["consistency"], x["usefulness"], x["composite"], x["fate"]) for x in E.evaluate(rows, "cache index", "2026-03-02T00:00:00Z", graph_state=stored, exact=exact).collect()}
+    assert score(False) == score(True) and len({v[1] for v in score(False).values()}) > 1
+
+
+def test_graph_state_that_contradicts(spark):
+    rows = _candidates(spark, [("svc", "cache layer enabled")])
+    against = _candidates(spark, [("svc", "cache layer disabled")])
+    alone = E.evaluate(rows, "cache layer", "2026-03-02T00:00:00Z").head()
+    held = E.evaluate(rows, "cache layer", "2026-03-02T00:00:00Z", graph_state=against).head()
+    assert (alone["n_conflicts"], held["n_conflicts"]) == (0, 1) and held["consistency"] < alone["consistency"] and held["usefulness"] < alone["usefulness"]
+
+
+def _outputs(spark, rows):
+    return spark.createDataFrame(rows, "id string, summary string, content string, prior_id string, prior_summary string, prior_content string")
+
+
+def test_output_that_got_worse(spark):
+    task = "update the auth middleware and add tests for the login flow"
+    rows = [
+        ("candidate-2", "Updates auth middleware", "Changed auth middleware only.", "candidate-1", "Updates auth middleware and tests", "Changed auth middleware and added login flow tests with coverage for failure cases."),
+        ("same", "Updates auth middleware", "text", "same", "Updates auth middleware", "text"),
+        ("first", "Updates auth middleware", "text", None, None, None),
+        ("empty", " ", None, None, "was something", "auth"),
+    ]
+    got = {r["id"]: r for r in E.evaluate_output(_outputs(spark, rows), task, "2026-01-01T00:00:00Z").collect()}
+    assert got["candidate-2"]["regressed"] and got["candidate-2"]["composite"] < got["candidate-2"]["prior_composite"] and "composite confidence regressed" in got["candidate-2"]["reasons"]
+    assert not got["same"]["regressed"] and got["same"]["composite_delta"] == 0 and got["same"]["reasons"] == []
+    assert got["first"]["regressed"] is None and got["first"]["composite"] > 0
+    assert [got["empty"][c] for c in ("relevance", "consistency", "usefulness", "composite")] == [0, 0, 0, 0] and got["empty"]["regressed"] is None
+    assert E.evaluate_output(_outputs(spark, rows).limit(0), task, "2026-01-01T00:00:00Z").isEmpty()
+
+
+def test_finish_gates_on_its_own_score(spark, graph, tmp_path, monkeypatch):
+    import json
+
+    from quillgraph.api import Engine
+
+    meta = {"agent_id": "a", "session_id": "s", "timestamp": "2026-01-01T00:00:00Z"}
+    e = Engine(spark, f"file://{tmp_path}")
+    e.store.write(*graph, meta)
+    done = {"schema_version": "v1", "metadata": meta, "task": "auth token rotation", "summary": "auth token rotation", "decisions": [{"summary": "auth token rotation"}]}
+    held = e.finish(json.dumps(done | {"task": "something else entirely", "summary": "x"}))["result"]
+    assert not held["written"] and held["gate"]["write_status"] == "skipped" and held["gate"]["confidence"] == held["gate"]["scores"]["composite"] < 0.55
+    assert e.attribution(held["attribution"])["result"]["memory_decision"] == "skipped"
+    low = Engine(spark, e.base, thresholds=E.Thresholds(write=0.3, defer=0.2))
+    passed = low.finish(json.dumps(done))["result"]
+    assert passed["written"] and passed["gate"]["write_status"] == "approved" and passed["gate"]["confidence"] == passed["gate"]["scores"]["composite"]
+    monkeypatch.setattr(E, "evaluate_output", lambda *_: 1 / 0)
+    again = e.finish(json.dumps(done | {"summary": "open when scoring fails"}))["result"]
+    assert again["written"] and "gate" not in again
