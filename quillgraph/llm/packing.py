@@ -7,8 +7,9 @@ where the loss limit lets one bear loss throughout, else into halves) and what i
 each document goes to a bounded pool. The dot-product heuristic then fills one sequence at a time with
 the feasible piece whose demand vector, weighted by the pool's mean demand, points most
 along what the sequence has left. Where no piece fits, the longest is cut to fill it.
-The last pieces of a partition go to sequences of a power of two tokens, which need no
-padding. Nothing is shuffled: each partition streams through one task with a pool of
+A sequence whose loss is spent takes heads of prompts, which bear none, and is padded for
+the rest. The last pieces of a partition go to sequences of a power of two tokens, which
+need no padding. Nothing is shuffled: each partition streams through one task with a pool of
 ``POOL`` pieces, and gives the same result whenever it runs again.
 """
 
@@ -32,6 +33,10 @@ LOSS = 2048
 INSTRUCTION = (TOKENS, SEGMENTS, 1984)
 PROMPT_LINES = 1
 POOL = 512
+#: A sequence that another limit closed is kept, and padded, from this share of its tokens on; a shorter one ends at a power of two.
+FULL = 0.9
+#: Fewest tokens of a prompt that fill up a sequence whose loss is spent.
+LEAST_HEAD = 4
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, closed_by string"
 _ARROW = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in SCHEMA.split(", "))])
@@ -109,7 +114,13 @@ class Packer:
                 else:
                     break
             closed_by = "tokens" if left[0] == 0 and size == self.capacity else "end" if left[0] == 0 else "segments" if left[1] == 0 else "loss"
+            if closed_by == "loss":
+                left_over -= self.fill_with_prompts(chosen, left, free, need)
             used = sum(len(p[2]) for p in chosen) // 4
+            if size == self.capacity and used >= FULL * self.capacity:
+                self.put(chosen, closed_by)
+                waiting -= used
+                continue
             back = used - (1 << (used.bit_length() - 1)) if used < self.capacity else 0
             while back:  # a sequence that another limit closed: end it at a power of two
                 n = len(chosen[-1][2]) // 4
@@ -127,6 +138,27 @@ class Packer:
             waiting -= sum(len(p[2]) for p in chosen) // 4
         self.pool = [p for p, x in zip(pool, free) if x]
 
+    def fill_with_prompts(self, chosen: list[tuple], left: np.ndarray, free: np.ndarray, need: np.ndarray) -> int:
+        """Put heads of prompts, which bear no loss, into a sequence that may bear no more; longest first, none under LEAST_HEAD tokens.
+
+        Returns how many pieces of the pool went in whole.
+        """
+        pool, whole = self.pool, 0
+        prompt = np.array([max(0, min(p[4] - p[1], len(p[2]) // 4)) for p in pool]) * free
+        for k in np.argsort(-prompt, kind="stable").tolist():
+            n = int(min(prompt[k], left[0]))
+            if n < LEAST_HEAD or left[1] < 1:
+                break
+            if n == len(pool[k][2]) // 4:
+                head, free[k] = pool[k], False
+                whole += 1
+            else:
+                head, pool[k] = self.split(pool[k], n)
+                need[k] = self.demand(pool[k])
+            chosen.append(head)
+            left -= self.demand(head)
+        return whole
+
     @staticmethod
     def split(piece: tuple, n: int) -> tuple[tuple, tuple]:
         doc_id, start, ids, *rest = piece
@@ -154,9 +186,9 @@ def _pack(vocabulary: str, limits: tuple[int, int, int], pool: int, prompt_lines
         packer = Packer(TaskContext.get().partitionId() << 40, limits, pool)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            prompts = model.ids([prompt_of(x, prompt_lines) for x in texts]) if prompt_lines else [b""] * len(texts)
-            for doc_id, own, prompt in zip(batch.column(0).to_pylist(), model.ids(texts), prompts):
-                packer.add(doc_id, own + end, len(prompt) // 4)
+            prompts = [prompt_of(x, prompt_lines) if prompt_lines else "" for x in texts]
+            for doc_id, (own, prompt) in zip(batch.column(0).to_pylist(), model.ids_and_heads(texts, prompts)):
+                packer.add(doc_id, own + end, prompt)
             yield from packer.flush()
         packer.fill(0)
         yield from packer.flush()
@@ -172,7 +204,7 @@ def pack(docs: DataFrame, vocabulary: str = WORD_BPE, limits: tuple[int, int, in
     hold the partition and a running number; offsets run from 0 without gaps. loss_tokens
     are those of the piece; closed_by says which limit closed its sequence (tokens, segments
     or loss; end: the partition's last sequences, of a power of two). A sequence that
-    segments or loss closed ends at a power of two, so it needs no padding either.
+    segments or loss closed is padded if it is full to FULL at least, else it ends at a power of two.
     """
     workers_see_us(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))

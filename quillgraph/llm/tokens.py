@@ -99,8 +99,20 @@ class WordBpe:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
+        return [b"".join(parts) for parts in self._encoded(texts)]
+
+    def ids_and_heads(self, texts: list[str], heads: list[str]) -> list[tuple[bytes, int]]:
+        """Ids of each whole text, and how many of them are of words that begin in its head (a prefix that ends in white space)."""
+        out = []
+        for text, head, parts in zip(texts, heads, self._encoded(texts)):
+            k = len(_words(head, like=text)) if head else 0
+            out.append((b"".join(parts), sum(map(len, parts[:k])) // 4))
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[list[bytes]]:
+        """Ids of each word of each whole text."""
         texts = [x if "Σ" in x or "<|" in x else x.lower() for x in texts]  # else the tokenizer would lower-case otherwise
-        split = [[w for w in _WHITE.split(x) if w] if "\x1c" in x or "\x1d" in x or "\x1e" in x or "\x1f" in x else x.split() for x in texts]
+        split = [_words(x, like=x) for x in texts]
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {}
         missing = set().union(*split).difference(self.known)
@@ -108,7 +120,14 @@ class WordBpe:
         self.known.update(zip(again, map(self.old.__getitem__, again)))
         self._new(list(missing.difference(again)))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [list(map(get, words)) for words in split]
+
+
+def _words(text: str, like: str) -> list[str]:
+    """Words between white space of the tokenizer, which differs from Python's in texts that hold the separators U+001C to U+001F."""
+    if "\x1c" in like or "\x1d" in like or "\x1e" in like or "\x1f" in like:
+        return [w for w in _WHITE.split(text) if w]
+    return text.split()
 
 
 def word_bpe(name: str = WORD_BPE) -> WordBpe:
