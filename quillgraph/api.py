@@ -20,6 +20,8 @@ from .sources.store import Graph, Store, StoreError
 VERSION = "v1"
 #: Fates that a stored decision lists, best first; its count is of all candidates.
 MOST_FATES = 1_000
+#: Results that one page of a query holds unless another number is asked for.
+MOST_RESULTS = 1_000
 #: Rows of a plan's targets up to which they are broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -75,7 +77,7 @@ class Engine:
         if not task.strip():
             raise ValueError("a task is required")
         found = retrieval.hybrid(graph.entities, graph.relations, task, hits=hits)
-        return retrieval.ranked(found.join(graph.entities, "id"))
+        return retrieval.ranked(found).join(graph.entities, "id")
 
     def _indexed(self, task: str) -> tuple[DataFrame, str]:
         """Ranked results of the current graph by its stored index, and the index's status."""
@@ -89,14 +91,19 @@ class Engine:
         return evaluation.evaluate(results, task, now, self.config)
 
     @command("query")
-    def query(self, task: str) -> dict:
+    def query(self, task: str, after: int = 0, most: int = MOST_RESULTS) -> dict:
+        """A page of ranked results: at most ``most`` of those after rank ``after``, and the number of all."""
         results, status = self._indexed(task)
-        return {"query": task, "index": {"status": status}, "results": _plain(results.orderBy("rank"))}
+        page = results.where(F.col("rank").between(after + 1, after + most))
+        return {"query": task, "index": {"status": status}, "total": results.count(), "results": _plain(page.orderBy("rank"))}
 
     @command("explain")
-    def explain(self, task: str) -> dict:
+    def explain(self, task: str, after: int = 0, most: int = MOST_RESULTS) -> dict:
+        """The ranking reasons of the same page."""
         results, status = self._indexed(task)
-        return {"query": task, "index": {"status": status}, "reasons": _plain(retrieval.explanation(results).join(results.select("id", "rank"), "id").orderBy("rank", "position", "role"))}
+        page = results.where(F.col("rank").between(after + 1, after + most))
+        reasons = retrieval.explanation(page).join(page.select("id", "rank"), "id")
+        return {"query": task, "index": {"status": status}, "total": results.count(), "reasons": _plain(reasons.orderBy("rank", "position", "role"))}
 
     @command("context")
     def context(self, task: str, now: str, max_tokens: int = 1200) -> dict:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strings
+from ..sources.files import staged
 from .search import search_entities
 
 #: Boost of an entity by the direction of a relation that reaches it.
@@ -75,8 +77,20 @@ def hybrid(entities: DataFrame, relations: DataFrame, task: str, refs: bool = Tr
 
 
 def ranked(results: DataFrame) -> DataFrame:
-    """rank 1..n by score, ties by id: a report for one task."""
-    return results.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    """rank 1..n by score, ties by id.
+
+    Results are dealt by ranges of (score, id), sorted and numbered within each range, and
+    written once in the shared folder; the sizes of the ranges, one row each, then give
+    every range its first rank. No task sees more than a range.
+    """
+    here = F.monotonically_increasing_id()  # the number of the range in the upper bits, the row's place in it in the lower 33
+    dealt = results.repartitionByRange(F.desc("score"), F.asc("id")).sortWithinPartitions(F.desc("score"), F.asc("id"))
+    placed = staged(dealt.withColumn("__at", here), "ranked")
+    part, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = dict(zip([p for p, _ in sizes], [0, *accumulate(n for _, n in sizes)]))
+    offset = F.element_at(F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]), part) if before else F.lit(0)
+    return placed.withColumn("rank", (offset + place + 1).cast("int")).drop("__at")
 
 
 def down_ranked(results: DataFrame, confidence: DataFrame) -> DataFrame:

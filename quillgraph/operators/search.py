@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FIELD_WEIGHTS, SYNONYMS, strings, tags_normal, terms, terms_of, trimmed
+from ..sources.files import staged
 
 _FIELDS = ["id", "kind", "title", "summary", "content", "repo_path"]
 
@@ -56,34 +56,35 @@ def search(index: DataFrame, size: DataFrame, query: str) -> DataFrame:
     return asked.join(F.broadcast(idf), "term").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
 
 
+def _holds(text: Column, asked: list[str]) -> Column:
+    """Whether terms(text) has one of the terms: a term is a whole run of a-z and 0-9, so the text need not be tokenised."""
+    said = sorted({x for t in asked for x in [t, *(s for g in SYNONYMS if t in g for s in g)]})
+    return F.lower(text).rlike(rf"(?<![a-z0-9])(?:{'|'.join(said)})(?![a-z0-9])") if said else F.lit(False)
+
+
 def matches(entities: DataFrame, asked: list[str]) -> DataFrame:
     """(doc_id, weights) of entities that hold a query term; weights are in the order of the terms.
 
-    All of a document's fields are in one row, so nothing is exploded or shuffled. A regular
-    expression turns most rows away before they are tokenised.
+    All of a document's fields are in one row, so nothing is exploded or shuffled. Most rows
+    are turned away by one pass over their texts, before tags and properties are brought to
+    normal form; aliases are text of the properties, which may hold them escaped.
     """
-    pattern = "|".join(sorted({t for t in asked} | {s for g in SYNONYMS if set(g) & set(asked) for s in g})) or "$^"
-    near = F.lower(F.concat_ws(" ", *[F.col(c) for c in _FIELDS], F.array_join(F.coalesce("tags", strings([])), " "), F.coalesce("props_json", F.lit("")))).rlike(pattern)
-    docs = documents(entities.where(near))
-    held = lambda text: F.array_intersect(terms(text), strings(asked))
-    found = docs.select(F.col("id").alias("doc_id"), *[held(F.col(c)).alias(c) for c in _FIELDS], F.transform("tags", held).alias("tags"), F.transform("aliases", held).alias("aliases"))
-
-    def weight(t: Column) -> Column:
-        own = [F.when(F.array_contains(F.col(c), t), FIELD_WEIGHTS[c]).otherwise(0.0) for c in _FIELDS]
-        many = [F.size(F.filter(c, lambda x: F.array_contains(x, t))) * F.lit(FIELD_WEIGHTS[k]) for c, k in (("tags", "tag"), ("aliases", "alias"))]
+    everything = F.concat_ws(" ", *[F.col(c) for c in _FIELDS], F.array_join(F.coalesce("tags", strings([])), " "))
+    docs = documents(entities.where(_holds(everything, asked) | F.contains("props_json", F.lit('"alias'))))
+
+    def weight(t: str) -> Column:
+        own = [F.when(_holds(F.col(c), [t]), FIELD_WEIGHTS[c]).otherwise(0.0) for c in _FIELDS]
+        many = [F.size(F.filter(c, lambda x: _holds(x, [t]))) * F.lit(FIELD_WEIGHTS[k]) for c, k in (("tags", "tag"), ("aliases", "alias"))]
         return sum([*own, *many], F.lit(0.0))
 
-    weighed = found.select("doc_id", F.array(*[weight(F.lit(t)) for t in asked]).cast("array<double>").alias("weights"))
+    weighed = docs.select(F.col("id").alias("doc_id"), F.array(*[weight(t) for t in asked]).cast("array<double>").alias("weights"))
     return weighed.where(F.exists("weights", lambda w: w > 0))
 
 
 def search_entities(entities: DataFrame, query: str) -> DataFrame:
-    """search() without a stored index: two passes over the rows, one for the frequencies and one for the scores.
-
-    The result is kept for the uses that retrieval makes of it, on disk where memory is short.
-    """
+    """search() without a stored index: one pass over the texts, and two over the matches that it wrote, for frequencies and for scores."""
     asked = terms_of(query)
-    held = matches(entities, asked).persist(StorageLevel.MEMORY_AND_DISK)
+    held = staged(matches(entities, asked), "matches")
     idf = [F.log(1 + F.col("n") / (1 + F.count_if(F.col("weights")[i] > 0))) for i in range(len(asked))]
     size = entities.agg(F.count(F.lit(1)).alias("n"))
     known = held.crossJoin(F.broadcast(size)).groupBy("n").agg(F.array(*idf).cast("array<double>").alias("idf"))

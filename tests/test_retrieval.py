@@ -56,3 +56,37 @@ def test_down_rank(spark, graph):
     assert rows["service:login-api"]["score"] == pytest.approx(25.756463 * 0.4, abs=1e-5)
     assert rows["service:login-api"]["down_rank_note"] == "stale entity (composite=0.30, fate=rejected)"
     assert rows["component:authentication"]["down_rank_note"] is None
+
+
+def test_ranks_of_many_ranges_run_on(spark):
+    """Ranks are 1..n by (score, id) over every range, ties included, and no task sorts all rows."""
+    df = spark.range(5000).select(F.format_string("n%05d", (F.col("id") * 7919) % 5000).alias("id"), (F.col("id") % 17).cast("double").alias("score"))
+    got = [(r["rank"], r["id"], r["score"]) for r in R.ranked(df.repartition(6)).orderBy("rank").collect()]
+    want = sorted(((r["id"], r["score"]) for r in df.collect()), key=lambda x: (-x[1], x[0]))
+    assert got == [(k, *x) for k, x in enumerate(want, 1)]
+    assert R.ranked(df.limit(0)).isEmpty()
+    assert "SinglePartition" not in R.ranked(df)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("task", ["auth", "authentication", "log login api2", "red", "the of", "", "io"])
+def test_search_by_pattern_equals_search_by_postings(spark, graph, task):
+    texts = ["Auth-Token", "authentications", "logins & Login", "API2 api", "shared RED_red", "İO io", "éred red2", None, "red"]
+    rows = spark.createDataFrame([(f"d{i}", t, i) for i, t in enumerate(texts)], "id string, t string, i int")
+    e = rows.select(*[F.col("id") if c == "id" else F.col("t").alias(c) if c in ("title", "content") else F.array("t", F.upper("t"), F.lit(" x ")).alias(c) if c == "tags" else F.to_json(F.struct(F.array("t").alias("aliases"))).alias(c) if c == "props_json" else F.lit(None).cast("string").alias(c) for c in graph[0].columns])
+    asked = terms_of(task)
+    want = {}
+    for p in S.postings(S.documents(e)).collect():
+        if p["term"] in asked:
+            want.setdefault(p["doc_id"], [0.0] * len(asked))[asked.index(p["term"])] = p["weight"]
+    assert {r["doc_id"]: r["weights"] for r in S.matches(e, asked).collect()} == want
+
+
+def test_pages_of_a_query(spark, graph, tmp_path):
+    from quillgraph.api import Engine
+
+    e = Engine(spark, f"file://{tmp_path}")
+    e.store.write(*graph, {"agent_id": "a", "session_id": "s", "timestamp": "2026-01-01T00:00:00Z"})
+    whole = e.query("what depends on auth?")["result"]
+    pages = [e.query("what depends on auth?", after=k, most=1)["result"] for k in range(3)]
+    assert [r["id"] for p in pages for r in p["results"]] == [r["id"] for r in whole["results"]] and {p["total"] for p in pages} == {2}
+    assert {r["id"] for r in e.explain("what depends on auth?", after=1, most=1)["result"]["reasons"]} == {whole["results"][1]["id"]}
