@@ -10,7 +10,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import attribution, briefs, context, diff, evaluation, finish, health, lab, retrieval, seed, workflow
+from .operators import attribution, bench_summary, briefs, context, diff, evaluation, finish, health, lab, retrieval, seed, workflow
 from .sources import bench_files, ledger, workspace
 from .sources.files import staged
 from .sources.index import TextIndex
@@ -333,6 +333,19 @@ class Engine:
         rows = _plain(lab.benchmark(flat, values))
         return rows[0] if rows else {"scenario_id": scenario, "status": "incomplete", "issues": ["no runs"]}
 
+    @command("workflow.benchmark.summary")
+    def benchmark_summary(self, scenario: str) -> dict:
+        """A scenario's issues with the worst status, the runs of either mode, and the comparison of every metric where it is comparable."""
+        found, made = ledger.benchmark_tables(self.spark, f"{self.base}/benchmarks", scenario)
+        if found.isEmpty():
+            raise StoreError("benchmark_scenario_not_found", f"there is no scenario {scenario!r}")
+        issues = bench_summary.benchmark_issues(found, made)
+        status = bench_summary.benchmark_status(found, issues)
+        rows = bench_summary.benchmark_comparison(made, status).orderBy("place").drop("place", "scenario_id")
+        modes = bench_summary.mode_runs(found, made).orderBy("mode").drop("of")
+        told = _plain(issues.orderBy(F.desc("severity"), "code", "mode", "run_id").drop("scenario_id", "severity"))
+        return _plain(status)[0] | {"issues": told, "runs": _plain(modes), "comparison": _plain(rows)}
+
     # ---------------------------------------------------------------- lab
 
     @command("workflow.init")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
+from ..operators import bench_summary as B
 from ..operators import lab as L
 from ..operators.attribution import filter_recorded, filter_written, latest_by_session, outcome_counts
 from ..sources.adapter import decisions, runs, table
@@ -305,6 +306,81 @@ def validation_violations(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("name").alias("run_id"), F.array_join(F.transform("violations", lambda v: v["field"]), ",").alias("fields"))
 
 
+#: Orders as benchmark runs: two neighbouring keys share a scenario; some name another one, an unknown mode or schema, or lack a metric.
+_BENCH = """
+run AS (SELECT 's' || (o_orderkey // 2) AS of, 'r' || o_orderkey AS run_id, CASE WHEN o_orderkey % 41 = 0 THEN 'v9' ELSE 'v1' END AS version,
+        CASE WHEN o_orderkey % 43 = 0 THEN '' WHEN o_orderkey % 47 = 0 THEN 'other' ELSE 's' || (o_orderkey // 2) END AS own,
+        CASE WHEN o_orderkey % 53 = 0 THEN 'third' WHEN (o_orderkey + o_custkey % 5 // 4) % 2 = 0 THEN 'with_graph' ELSE 'without_graph' END AS mode,
+        CAST(floor(o_totalprice) AS BIGINT) AS tokens, CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE o_custkey END AS prompts, o_orderpriority AS rating, o_custkey % 4 AS passed FROM orders),
+scen AS (SELECT DISTINCT of FROM run),
+good AS (SELECT * FROM run WHERE own = of AND mode IN ('with_graph', 'without_graph')),
+per AS (SELECT scen.of, m.mode, count(good.run_id) AS n FROM scen CROSS JOIN (VALUES ('with_graph'), ('without_graph')) AS m(mode) LEFT JOIN good ON good.of = scen.of AND good.mode = m.mode GROUP BY ALL),
+first AS (SELECT of, 2 AS severity, 'unsupported_run_schema' AS code, NULL::VARCHAR AS mode, run_id, NULL::BIGINT AS n, '' AS fields FROM run WHERE version <> 'v1'
+  UNION ALL SELECT of, 2, 'run_scenario_id_missing', NULL, run_id, NULL, '' FROM run WHERE own = ''
+  UNION ALL SELECT of, 2, 'run_scenario_mismatch', NULL, run_id, NULL, '' FROM run WHERE own NOT IN ('', of)
+  UNION ALL SELECT of, 2, 'unsupported_run_mode', mode, run_id, NULL, '' FROM run WHERE own = of AND mode = 'third'
+  UNION ALL SELECT of, 1, 'missing_mode_run', mode, NULL, NULL, '' FROM per WHERE n = 0
+  UNION ALL SELECT of, 2, 'multiple_mode_runs', mode, NULL, n, '' FROM per WHERE n > 1),
+issue AS (SELECT * FROM first UNION ALL
+  SELECT of, 1, 'missing_comparison_fields', mode, run_id, NULL, concat_ws(',', CASE WHEN prompts <= 0 THEN 'metrics.volume.prompt_count' END, CASE WHEN passed > 2 THEN 'metrics.outcome.acceptance_checks_passed' END)
+  FROM good WHERE (prompts <= 0 OR passed > 2) AND of NOT IN (SELECT of FROM first)),
+told AS (SELECT scen.of, coalesce(max(severity), 0) AS worst, count(issue.of) AS n_issues FROM scen LEFT JOIN issue ON issue.of = scen.of GROUP BY scen.of)"""
+
+
+def _bench(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    of = F.concat(F.lit("s"), F.floor(k / 2).cast("string"))
+    mode = F.when(k % 53 == 0, "third").when((k + F.floor(c % 5 / 4)) % 2 == 0, " With_Graph").otherwise("without_graph")
+    whole = lambda x: x.cast("int")
+    volume = F.struct(whole(F.floor("o_totalprice")).alias("input_tokens"), F.lit(7).alias("output_tokens"), whole(F.when(c % 7 != 0, c)).alias("prompt_count"), F.lit(9).alias("prompt_characters"))
+    effort = F.struct(F.lit(1).alias("step_count"), F.lit(0).alias("repo_scans"), F.lit(None).cast("int").alias("follow_up_prompts"), F.lit(2).alias("context_reloads"))
+    rated = F.concat(F.lit(" "), F.col("o_orderpriority"))
+    outcome = F.struct(rated.alias("quality_rating"), F.lit("fine").alias("resumability_rating"), whole(c % 4).alias("acceptance_checks_passed"), F.lit(2).alias("acceptance_checks_total"))
+    made = table(spark, d, "orders").select(
+        of.alias("of"),
+        F.when(k % 41 == 0, "v9").otherwise("v1").alias("schema_version"),
+        F.lit(None).cast("string").alias("kind"),
+        F.concat(F.lit("r"), k.cast("string")).alias("run_id"),
+        F.when(k % 43 == 0, F.lit(None)).when(k % 47 == 0, F.lit("other")).otherwise(of).alias("scenario_id"),
+        mode.alias("mode"),
+        F.lit(None).cast("string").alias("recorded_at"),
+        F.lit(None).cast("array<string>").alias("notes"),
+        F.struct(volume.alias("volume"), effort.alias("orientation"), outcome.alias("outcome")).alias("metrics"),
+    )
+    modes = F.transform(F.array(F.lit("without_graph"), F.lit("WITH_GRAPH ")), lambda m: F.struct(m.alias("mode"), F.lit("do").alias("task_prompt"), F.lit(None).cast("array<string>").alias("notes")))
+    kept = made.select("of").distinct().select("of", F.col("of").alias("scenario_id"), modes.alias("modes"), *[F.lit(v).cast("string").alias(n) for n, v in (("schema_version", "v1"), ("kind", None), ("task_family", "f"), ("title", "t"), ("acceptance_criteria_ref", None), ("created_at", None))])
+    return B.loose_scenarios(kept), B.loose_runs(made)
+
+
+@query(with_(_BENCH) + "SELECT of AS scenario_id, severity, code, coalesce(mode, '') AS mode, coalesce(run_id, '') AS run_id, coalesce(n, 0) AS n, fields FROM issue")
+def benchmark_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as runs of scenarios: everything that keeps them from being compared."""
+    found = B.benchmark_issues(*_bench(spark, d))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return found.select("scenario_id", "severity", "code", blank("mode"), blank("run_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join("fields", ","), F.lit("")).alias("fields"))
+
+
+@query(with_(_BENCH) + "SELECT CASE worst WHEN 0 THEN 'comparable' WHEN 1 THEN 'incomplete' ELSE 'non_comparable' END AS status, count(*) AS n, CAST(sum(n_issues) AS BIGINT) AS n_issues FROM told GROUP BY worst")
+def benchmark_status(spark: SparkSession, d: str) -> DataFrame:
+    kept, made = _bench(spark, d)
+    return B.benchmark_status(kept, B.benchmark_issues(kept, made)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_issues").alias("n_issues"))
+
+
+@query(
+    with_(_BENCH)
+    + """, pair AS (SELECT a.of, a.tokens AS ta, b.tokens AS tb, a.prompts AS pa, b.prompts AS pb, a.rating AS ra, b.rating AS rb, a.passed AS ca, b.passed AS cb
+  FROM good a JOIN good b ON a.of = b.of AND a.mode = 'with_graph' AND b.mode = 'without_graph' JOIN told ON told.of = a.of WHERE worst = 0)
+SELECT of AS scenario_id, 'volume.input_tokens' AS metric, CAST(ta AS VARCHAR) AS with_graph, CAST(tb AS VARCHAR) AS without_graph, ta - tb AS delta, NULL::BOOLEAN AS matches FROM pair
+UNION ALL SELECT of, 'volume.prompt_count', CAST(pa AS VARCHAR), CAST(pb AS VARCHAR), pa - pb, NULL FROM pair UNION ALL SELECT of, 'outcome.quality_rating', ra, rb, NULL, ra = rb FROM pair
+UNION ALL SELECT of, 'outcome.acceptance_checks_passed', CAST(ca AS VARCHAR), CAST(cb AS VARCHAR), ca - cb, NULL FROM pair
+UNION ALL SELECT of, m, v, v, CASE WHEN v = 'fine' THEN NULL ELSE 0 END, CASE WHEN v = 'fine' THEN true END FROM pair, (VALUES ('volume.output_tokens', '7'), ('volume.prompt_characters', '9'), ('orientation.step_count', '1'),
+  ('orientation.repo_scans', '0'), ('orientation.follow_up_prompts', '0'), ('orientation.context_reloads', '2'), ('outcome.resumability_rating', 'fine'), ('outcome.acceptance_checks_total', '2')) AS c(m, v)"""
+)
+def benchmark_comparison(spark: SparkSession, d: str) -> DataFrame:
+    kept, made = _bench(spark, d)
+    return B.benchmark_comparison(made, B.benchmark_status(kept, B.benchmark_issues(kept, made))).drop("place")
+
+
 @query(
     """SELECT 'run-' || o_orderkey AS run_id, '{"outcome":{"status":"' || o_orderstatus || '"},"task":"task-' || (o_custkey % 40) || '"}' AS shown FROM orders"""
 )

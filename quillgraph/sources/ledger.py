@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_rfc3339, is_safe_id, is_safe_path, violations
+from ..operators.bench_summary import loose_runs, loose_scenarios
 from . import files
 from .store import StoreError
 
@@ -82,6 +83,18 @@ def benchmark_runs(spark: SparkSession, base: str, scenario_id: str) -> DataFram
     return found.where(F.col("scenario_id") == scenario_id).orderBy("mode", "recorded_at", "run_id", "path")
 
 
+def benchmark_tables(spark: SparkSession, base: str, scenario_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scenarios and runs as they are stored, in loose form, all of them or one scenario's; ``of`` is the scenario that a run is kept under, by its folder."""
+    kept = _json(spark, SCENARIO, f"{base}/scenarios", recursive=False)
+    made = _json(spark, BENCH_RUN, f"{base}/runs" + (f"/{scenario_id}" if scenario_id else ""))
+    named = F.when(F.coalesce("scenario_id", F.lit("")) == "", F.regexp_extract("path", r"([^/]+)\.json$", 1)).otherwise(F.col("scenario_id"))
+    scenarios_ = loose_scenarios(kept).withColumn("of", named)
+    runs_ = loose_runs(made).withColumn("of", F.regexp_extract("path", r"/runs/([^/]+)/", 1))
+    if scenario_id:
+        scenarios_ = scenarios_.where(F.col("of") == scenario_id)
+    return scenarios_, runs_
+
+
 def session_usage(spark: SparkSession, log: str, model: str | None = None) -> dict:
     """Tokens of a session from the last shutdown event of its log of JSON lines: the asked model, else the current one, else the only one."""
     usage = "struct<usage:struct<inputTokens:long,outputTokens:long,cacheReadTokens:long,cacheWriteTokens:long>>"
