@@ -283,7 +283,17 @@ class Engine:
     @command("workflow.seed")
     def seed(self, documents: DataFrame, metadata: dict) -> dict:
         """Write the repository's documents (path, text) as baseline knowledge, if the graph lacks any of it."""
-        nodes, edges = seed.seed_rows(self.spark, self.repository, documents)
+        return self._seeded(*seed.seed_rows(self.spark, self.repository, documents), metadata)
+
+    @command("workflow.seed.repository")
+    def seed_repository(self, root: str, metadata: dict) -> dict:
+        """Find README, architecture folder and backlog below a root and write them as the baseline, if the graph lacks any of it."""
+        nodes, edges = seed.baseline(self.spark, root, self.repository)
+        node = "id string, kind string, title string, summary string, content string, repo_path string, tags array<string>, props_json string"
+        rows = self.spark.createDataFrame(nodes, node), self.spark.createDataFrame(edges, "from_id string, kind string, to_id string, props_json string")
+        return {"found": [n["repo_path"] for n in nodes[1:]]} | self._seeded(*rows, metadata | {"reason": "Seed baseline repository knowledge"})
+
+    def _seeded(self, nodes: DataFrame, edges: DataFrame, metadata: dict) -> dict:
         graph = self.store.graph()
         new, linked = diff.contains_all(nodes, graph.entities), diff.contains_all(edges, graph.relations)
         if new.isEmpty() and linked.isEmpty():

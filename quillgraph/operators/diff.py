@@ -174,8 +174,10 @@ def connected(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def contains_all(desired: DataFrame, current: DataFrame) -> DataFrame:
-    """Desired rows that the current ones lack or hold with other content (none: nothing to write)."""
-    return desired.select(*desired.columns).exceptAll(current.select(*desired.columns))
+    """Keys and comparable content of desired rows that the current ones lack or hold with other content (none: nothing to write)."""
+    keys = ["id"] if "id" in desired.columns else ["from_id", "kind", "to_id"]
+    shown = lambda df: _comparable(df.select(*desired.columns), keys, "").drop("here")
+    return shown(desired).exceptAll(shown(current))
 
 
 def revision_for(revisions: DataFrame, ref: str) -> DataFrame:

@@ -113,6 +113,61 @@ def session_usage(spark: SparkSession, log: str, model: str | None = None) -> di
     return {"model": name, "input_tokens": u["inputTokens"], "output_tokens": u["outputTokens"], "total_tokens": u["inputTokens"] + u["outputTokens"], "cache_read_tokens": u["cacheReadTokens"], "cache_write_tokens": u["cacheWriteTokens"]}
 
 
+_USAGE = "struct<usage:struct<inputTokens:long,outputTokens:long,cacheReadTokens:long,cacheWriteTokens:long>>"
+_EVENT = f"type string, data struct<currentModel:string,modelMetrics:map<string,{_USAGE}>>"
+#: Columns of session_usages().
+USAGE = "session_id string, model string, input_tokens long, output_tokens long, total_tokens long, cache_read_tokens long, cache_write_tokens long, problem string"
+
+
+def session_usages(spark: SparkSession, logs: str, requested: DataFrame | None = None, session: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """USAGE rows, one for each log of JSON lines that a path or pattern names: the tokens of its last shutdown event.
+
+    requested: (session_id, model) that sessions were to use, or null; without it the
+    current model counts, else the only one. ``session`` takes the id out of a log's path.
+    Logs are read line by line and split between tasks; lines that are no JSON are passed
+    over. A log without a usable event has a row with its ``problem`` and no tokens; a
+    requested session without a log has one too. A path that does not exist has no logs.
+    """
+    jvm = spark.sparkContext._jvm
+    fs = files.file_system(spark, logs)
+    if fs.globStatus(jvm.org.apache.hadoop.fs.Path(logs)):
+        lines = spark.read.option("recursiveFileLookup", True).text(logs)
+        at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        told = lines.select(F.regexp_extract(F.col("_metadata.file_path"), session, 1).alias("session_id"), at.alias("at"), F.from_json("value", _EVENT).alias("e"))
+        shut = F.when(F.col("e.type") == "session.shutdown", F.col("e.data"))
+        last = told.groupBy("session_id").agg(F.max_by(shut, F.when(shut.isNotNull(), F.col("at"))).alias("d"))
+    else:
+        last = spark.createDataFrame([], f"session_id string, d {_EVENT.split('data ')[1]}")
+    if requested is None:
+        met = last.withColumn("asked", F.lit(None).cast("string")).withColumn("has_log", F.lit(True))
+    else:
+        asked = requested.select("session_id", F.nullif(F.trim("model"), F.lit("")).alias("asked"))
+        met = last.withColumn("has_log", F.lit(True)).join(asked, "session_id", "full_outer")
+    known = F.map_keys(F.coalesce("d.modelMetrics", F.create_map().cast(f"map<string,{_USAGE}>")))
+    named = F.when(F.array_contains(known, F.col("asked")), F.col("asked"))
+    current = F.when(F.col("asked").isNull() & F.array_contains(known, F.col("d.currentModel")), F.col("d.currentModel"))
+    model = F.coalesce(named, current, F.when(F.size(known) == 1, F.element_at(known, 1)))
+    got = met.withColumn("model", model).withColumn("u", F.element_at("d.modelMetrics", F.col("model"))["usage"])
+    spent = (F.coalesce("u.inputTokens", F.lit(0)) > 0) & (F.coalesce("u.outputTokens", F.lit(0)) > 0)
+    problem = (
+        F.when(F.col("has_log").isNull(), "session_log_not_found")
+        .when(F.size(known) == 0, "session_usage_unavailable")
+        .when(F.col("model").isNull(), "model_metrics_not_found")
+        .when(~spent, "session_usage_incomplete")
+    )
+    there = lambda c: F.when(problem.isNull(), F.col(f"u.{c}"))
+    return got.select(
+        "session_id",
+        F.when(problem.isNull(), F.col("model")).alias("model"),
+        there("inputTokens").alias("input_tokens"),
+        there("outputTokens").alias("output_tokens"),
+        (there("inputTokens") + there("outputTokens")).alias("total_tokens"),
+        there("cacheReadTokens").alias("cache_read_tokens"),
+        there("cacheWriteTokens").alias("cache_write_tokens"),
+        problem.alias("problem"),
+    )
+
+
 # --------------------------------------------------------------------------- validation
 
 

@@ -145,8 +145,8 @@ def test_finish_gates_on_its_own_score(spark, graph, tmp_path, monkeypatch):
     e.store.write(*graph, meta)
     done = {"schema_version": "v1", "metadata": meta, "task": "auth token rotation", "summary": "auth token rotation", "decisions": [{"summary": "auth token rotation"}]}
     held = e.finish(json.dumps(done | {"task": "something else entirely", "summary": "x"}))["result"]
-    assert not held["written"] and held["gate"]["write_status"] == "skipped" and held["gate"]["confidence"] == held["gate"]["scores"]["composite"] < 0.55
-    assert e.attribution(held["attribution"])["result"]["memory_decision"] == "skipped"
+    assert not held["written"] and held["gate"]["write_status"] == "deferred" and 0.55 <= held["gate"]["confidence"] == held["gate"]["scores"]["composite"] < 0.8
+    assert e.attribution(held["attribution"])["result"]["memory_decision"] == "deferred"
     low = Engine(spark, e.base, thresholds=E.Thresholds(write=0.3, defer=0.2))
     passed = low.finish(json.dumps(done))["result"]
     assert passed["written"] and passed["gate"]["write_status"] == "approved" and passed["gate"]["confidence"] == passed["gate"]["scores"]["composite"]
