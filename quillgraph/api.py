@@ -155,7 +155,7 @@ class Engine:
         wanted = list(dict.fromkeys(selected or known))
         if lost := [i for i in wanted if i not in known]:
             raise StoreError("unknown_action", ", ".join(lost))
-        batches = self._disjoint([known[name] for name in wanted])
+        batches = self._levels([known[name] for name in wanted])
         for k, batch in enumerate(batches):
             nodes, edges = self._apply_batch(nodes, edges, batch)
             if k + 1 < len(batches):
@@ -163,17 +163,21 @@ class Engine:
         return self.store.replace(Graph(nodes.select(*graph.entities.columns), edges.select(*graph.relations.columns)), metadata)
 
     @staticmethod
-    def _disjoint(actions: list[dict]) -> list[list[dict]]:
-        """The actions in runs that share no node, so that a run is one merge of all its groups."""
+    def _levels(actions: list[dict]) -> list[list[dict]]:
+        """The actions by level: one above the highest earlier action that shares a node. A level is one merge of all its groups.
+
+        Actions that share no node do not depend on each other, so any number of them in
+        chains of length c takes c levels.
+        """
         out: list[list[dict]] = []
-        seen: set[str] = set()
+        level: dict[str, int] = {}
         for action in actions:
             touched = {*action["target_ids"], *filter(None, [action.get("canonical_id")])}
-            if not out or seen & touched:
+            k = max((level.get(n, 0) for n in touched), default=0)
+            if k == len(out):
                 out.append([])
-                seen = set()
-            out[-1].append(action)
-            seen |= touched
+            out[k].append(action)
+            level.update(dict.fromkeys(touched, k + 1))
         return out
 
     def _apply_batch(self, nodes: DataFrame, edges: DataFrame, actions: list[dict]) -> tuple[DataFrame, DataFrame]:

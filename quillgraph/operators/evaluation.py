@@ -182,8 +182,8 @@ def evaluate(
 ) -> DataFrame:
     """Scores of candidates (id, texts, tags, matched_terms, graph_refs, time stamps) for a task.
 
-    One row each: relevance, consistency, usefulness, composite, fate, reason, matched, stale,
-    age_days, n_conflicts. ``now`` is an argument, so results can be repeated. ids are unique.
+    One row each: relevance, consistency, usefulness, composite, fate, reason, matched, signals
+    (distinct directions of its relations), stale, age_days, n_conflicts. ``now`` is an argument, so results can be repeated. ids are unique.
     graph_state: stored texts (id, texts, tags) that candidates may also conflict with, one of
     the same id included. n_conflicts counts conflicts with candidates and with stored texts,
     each up to two, which is all that scores depend on; ``exact`` counts every one, at the
@@ -220,11 +220,13 @@ def evaluate(
     use = clamp(0.55 * relevance + 0.25 * focus + 0.20 * dense)
     use = F.when(F.col("stale"), clamp(use - 0.1)).otherwise(use)
     use = F.when(F.col("n_conflicts") > 0, clamp(use - 0.15)).otherwise(use)
-    scored = rows.select("id", rounded(relevance, 3).alias("relevance"), rounded(steady, 3).alias("consistency"), rounded(use, 3).alias("usefulness"), "matched", "stale", "age_days", "n_conflicts")
+    directions = F.filter(F.transform("graph_refs", lambda x: trimmed(x["direction"])), lambda x: x != "")
+    signals = F.array_sort(F.array_distinct(directions))
+    scored = rows.select("id", rounded(relevance, 3).alias("relevance"), rounded(steady, 3).alias("consistency"), rounded(use, 3).alias("usefulness"), "matched", signals.alias("signals"), "stale", "age_days", "n_conflicts")
     r, c, u = F.col("relevance"), F.col("consistency"), F.col("usefulness")
     scored = scored.withColumn("composite", composite(r, c, u, config))
     verdict, why = fate(r, c, u, F.col("composite"), config)
-    return scored.select("id", "relevance", "consistency", "usefulness", "composite", verdict.alias("fate"), why.alias("reason"), "matched", "stale", "age_days", "n_conflicts")
+    return scored.select("id", "relevance", "consistency", "usefulness", "composite", verdict.alias("fate"), why.alias("reason"), "matched", "signals", "stale", "age_days", "n_conflicts")
 
 
 def aggregate_confidence() -> Column:

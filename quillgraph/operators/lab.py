@@ -129,6 +129,27 @@ def verification(pairs: DataFrame) -> DataFrame:
     return out
 
 
+def verification_modes(observations: DataFrame) -> DataFrame:
+    """How kickoffs of each verification profile went: effective_modes (mode -> pairs), abstention_rate, mean_confidence, pairs with baseline prompt metadata.
+
+    observations: profile, effective_mode, confidence, abstained, has_prompt_metadata. Pairs
+    are counted by (profile, mode) first, so a profile's map is made of a few rows; a null mode
+    is "", a null confidence counts as 0.
+    """
+    mode = F.coalesce("effective_mode", F.lit("")).alias("mode")
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    sums = [F.count(F.lit(1)).alias("n"), yes("abstained").alias("away"), F.sum(F.coalesce("confidence", F.lit(0.0))).alias("sure"), yes("has_prompt_metadata").alias("told")]
+    by_mode = observations.groupBy("profile", mode).agg(*sums)
+    out = by_mode.groupBy("profile").agg(
+        F.sum("n").alias("pairs"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", "n")))).alias("effective_modes"),
+        F.sum("away").alias("away"),
+        F.sum("sure").alias("sure"),
+        F.sum("told").alias("baseline_prompt_pairs"),
+    )
+    return out.select("profile", "pairs", "effective_modes", (F.col("away") / F.col("pairs")).alias("abstention_rate"), (F.col("sure") / F.col("pairs")).alias("mean_confidence"), "baseline_prompt_pairs")
+
+
 def gate(profiles: DataFrame) -> DataFrame:
     """One row: the decision whether to rerun, from the profiles' means."""
     whole = (F.col("token_samples") > 0) & (F.col("quality_samples") > 0)

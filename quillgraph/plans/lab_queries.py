@@ -148,6 +148,29 @@ def verification_profiles(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_profiles(spark, d), "mean_token_delta", "mean_quality_delta")
 
 
+_SEEN = f"""
+seen AS (SELECT {_PROFILE} AS profile, coalesce(gq, 0) AS sure, CASE WHEN coalesce(gq, 0) >= 0.7 THEN 'inject' WHEN coalesce(gq, 0) >= 0.4 THEN 'minimal' ELSE 'abstain' END AS mode,
+                b_total_tokens IS NOT NULL AS told FROM pairs WHERE family = 'verification_audit'),
+modes AS (SELECT profile, mode, count(*) AS n FROM seen GROUP BY ALL)"""
+
+
+@query(
+    with_(RUNS, _PAIRS, _SEEN)
+    + f"""SELECT profile, count(*) AS pairs, (SELECT string_agg(mode || ':' || n, ',' ORDER BY mode) FROM modes m WHERE m.profile = seen.profile) AS effective_modes,
+ {r("count(*) FILTER (mode = 'abstain') / CAST(count(*) AS DOUBLE)")} AS abstention_rate, {r('avg(sure)', 4)} AS mean_confidence, count(*) FILTER (told) AS baseline_prompt_pairs FROM seen GROUP BY profile"""
+)
+def verification_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The mode that a graph run's quality would have led to, by profile."""
+    k = F.col("position") % 3
+    pairs = L.paired(runs(spark, d)).where("family = 'verification_audit'")
+    sure = F.coalesce("g.raw_quality", F.lit(0.0))
+    mode = F.when(sure >= 0.7, "inject").when(sure >= 0.4, "minimal").otherwise("abstain")
+    profile = F.when(k == 0, "stats_audit").when(k == 1, "workflow_verification").otherwise("general_verification")
+    seen = pairs.select(profile.alias("profile"), mode.alias("effective_mode"), sure.alias("confidence"), (mode == "abstain").alias("abstained"), F.col("b.total_tokens").isNotNull().alias("has_prompt_metadata"))
+    shown = L.verification_modes(seen).withColumn("effective_modes", F.array_join(F.transform(F.map_entries("effective_modes"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ","))
+    return _rounded(shown, "abstention_rate").withColumn("mean_confidence", rounded(F.col("mean_confidence"), 4))
+
+
 @query(
     with_(RUNS, _PAIRS, _VERIFY)
     + """, x AS (SELECT *, token_samples > 0 AND quality_samples > 0 AS whole FROM prof),

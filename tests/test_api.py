@@ -195,3 +195,20 @@ def test_managed_assets(spark, tmp_path):
     again = e.init_workflow({"a.md": "1", "b.md": "3"}, ["b.md"])["result"]
     assert (again["skipped"], again["preserved"], e.files.read("workflow/assets/b.md")) == (["workflow/assets/a.md"], ["workflow/assets/b.md"], "2")
     assert e.init_workflow({"a.md": "1", "b.md": "3"})["result"]["refreshed"] == ["workflow/assets/b.md"]
+
+
+def test_levels_of_overlapping_actions():
+    """Two hundred actions in fifty chains of four take four rounds, and nothing moves past an action that it shares a node with."""
+    import random
+
+    from quillgraph.api import Engine
+
+    actions = [{"id": f"{c}.{k}", "target_ids": [f"n{c}.{k}", f"n{c}.{k + 1}"], "canonical_id": f"n{c}.{k}"} for k in range(4) for c in range(50)]
+    levels = Engine._levels(actions)
+    assert len(levels) == 4 and sum(map(len, levels)) == 200
+    r = random.Random(2)
+    actions = [{"id": str(i), "target_ids": [f"n{x}" for x in r.sample(range(60), r.randint(1, 3))], "canonical_id": None} for i in range(200)]
+    place = {a["id"]: k for k, level in enumerate(Engine._levels(actions)) for a in level}
+    for i, a in enumerate(actions):
+        for b in actions[i + 1 :]:
+            assert not set(a["target_ids"]) & set(b["target_ids"]) or place[a["id"]] < place[b["id"]]
