@@ -63,9 +63,28 @@ class Engine:
         self.files = workspace.Files(self.spark, self.base)
         self.index = TextIndex(self.spark, f"{self.base}/index")
 
+    def _config(self) -> dict:
+        return {"schema_version": VERSION, "repository": self.repository}
+
     @command("init")
     def init(self) -> dict:
-        return {"base": self.base, "repository": self.repository, "initialized": True}
+        """Keep the workspace's identity beside the graph; one that is there already must be the same."""
+        have = self.files.read_json("workspace.json")
+        if have is None:
+            self.files.write_json("workspace.json", self._config())
+        elif have != self._config():
+            raise StoreError("workspace_mismatch", "the workspace is of another repository or schema version")
+        return {"base": self.base, "repository": self.repository, "initialized": True, "already_exists": have is not None}
+
+    @command("open")
+    def open(self) -> dict:
+        """The workspace's identity, checked."""
+        have = self.files.read_json("workspace.json")
+        if have is None:
+            raise StoreError("workspace_not_initialized", f"{self.base} holds no workspace")
+        if have != self._config():
+            raise StoreError("workspace_mismatch", "the workspace is of another repository or schema version")
+        return have
 
     @command("write")
     def write(self, payload: str) -> dict:
@@ -203,6 +222,11 @@ class Engine:
 
     @command("workflow.start")
     def start(self, task: str, now: str, max_tokens: int = 1200, kickoff_mode: str = "") -> dict:
+        """Readiness, advice, packed context and brief for a task. Where neither workspace nor graph is there yet, only that is said."""
+        if self.store.is_new() and self.files.read_json("workspace.json") is None:
+            state = {"workspace_initialized": False, "graph_available": False, "current_revision": None}
+            ready = {"recommendation": "bootstrap", "status": "action_required", "reasons": ["workspace_not_initialized"], **state}
+            return {"readiness": ready, "recommendation": {"what": "bootstrap", "reasons": ready["reasons"]}}
         graph = self.store.graph()
         stats = health.indicators(graph.entities, graph.relations)
         ready = _plain(workflow.readiness(stats))[0]
@@ -400,6 +424,46 @@ class Engine:
         self.files.write_json(f"lab/runs/batches/{batch}/plan.json", {"schema_version": VERSION, "batch_id": batch, "seed": seed, "created_at": at, "entries": entries})
         return {"batch_id": batch, "entries": entries}
 
+    @command("lab.batch")
+    def lab_batch(self, batch_id: str, model: str, topology: str, started: str, finished: str, outcomes: dict[int, str] | None = None, sessions: dict[int, str] | None = None, logs: str | None = None) -> dict:
+        """Record a run for every entry of a stored plan.
+
+        outcomes: payload by entry; an entry without one gets a synthetic payload. sessions and
+        logs: the session of an entry and where session logs are: the usage of all sessions
+        is read by one job and brought into the payloads. An entry that cannot be recorded is
+        told with its error; the others are not held up.
+        """
+        plan = self.files.read_json(f"lab/runs/batches/{batch_id}/plan.json")
+        if plan is None:
+            raise StoreError("batch_plan_not_found", f"there is no batch {batch_id!r}")
+        tasks = {t["task_id"]: t for t in (self.files.read_json("lab/suite.json") or {}).get("tasks", [])}
+        usage: dict = {}
+        if sessions and logs:
+            asked = self.spark.createDataFrame([(s, model) for s in dict.fromkeys(sessions.values())], "session_id string, model string")
+            found = ledger.session_usages(self.spark, logs, asked).join(asked.select("session_id"), "session_id", "left_semi")
+            usage = {r["session_id"]: r for r in _plain(found)}
+        done = []
+        for entry in plan["entries"]:
+            k, task = entry["entry"], tasks.get(entry["task_id"])
+            told = {"entry": k, "task_id": entry["task_id"], "condition_id": entry["condition_id"]}
+            if task is None:
+                done.append(told | {"error": "record_validation_failed"})
+                continue
+            given = (outcomes or {}).get(k)
+            payload = json.loads(given) if given else finish.synthetic(f"{batch_id}-{k}", finished, task)
+            measured = usage.get((sessions or {}).get(k, ""))
+            if measured is not None:
+                counts = {c: measured[c] for c in ("input_tokens", "output_tokens", "total_tokens")}
+                lost = {"measurement_status": "unavailable", "incomplete_reasons": [measured["problem"]]}
+                state = lost if measured["problem"] else counts | {"measurement_status": "complete"}
+                payload = finish.inject(payload, state | {"source": "session_log", "provider": "session"})
+            made = self.lab_run(entry["task_id"], entry["condition_id"], model, topology, plan["seed"], started, finished, task["description"], json.dumps(payload))
+            if made["status"] == "ok":
+                done.append(told | {"run_id": made["result"]["run_id"], "measurement_status": made["result"]["telemetry"]["measurement_status"]})
+            else:
+                done.append(told | {"error": made["error"]["code"]})
+        return {"batch_id": batch_id, "runs": done, "failed": sum("error" in d for d in done)}
+
     @command("lab.evaluate")
     def lab_evaluate(self, record: dict) -> dict:
         checked = ledger.evaluation_violations(self.spark.createDataFrame([record], ledger.EVALUATION), ledger.runs(self.spark, f"{self.base}/lab")).head()["violations"]

@@ -123,3 +123,26 @@ def telemetry(outcome: dict) -> dict | None:
     if out["measurement_status"] != "complete":
         out["incomplete_reasons"] = reasons or ["token_measurement_incomplete"]
     return out
+
+
+def inject(outcome: dict, usage: dict) -> dict:
+    """The outcome with a measured usage among its revision's properties, as telemetry() reads it; blank texts and absent counts are left out.
+
+    Another revision property stays as it is; a usage that was reported gives way.
+    """
+    told = {k: str(usage.get(k) or "").strip() for k in ("measurement_status", "source", "provider")}
+    told = {k: v for k, v in told.items() if v or k != "provider"}
+    told |= {k: int(usage[k]) for k in ("input_tokens", "output_tokens", "total_tokens") if usage.get(k) is not None}
+    if usage.get("incomplete_reasons"):
+        told["incomplete_reasons"] = list(usage["incomplete_reasons"])
+    meta = outcome.get("metadata") or {}
+    revision = meta.get("revision") or {}
+    properties = (revision.get("properties") or {}) | {USAGE: told}
+    return outcome | {"metadata": meta | {"revision": revision | {"properties": properties}}}
+
+
+def synthetic(run_id: str, finished: str, task: dict) -> dict:
+    """The payload of a controlled run that reports nothing itself (fixed texts)."""
+    meta = {"agent_id": "lab-runner", "session_id": run_id, "timestamp": finished}
+    lists = {"decisions": [], "changed_artifacts": [], "follow_up": []}
+    return {"schema_version": "v1", "metadata": meta, "task": task["description"], "summary": f"Completed controlled run for {task['task_id']}", **lists}

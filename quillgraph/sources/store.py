@@ -169,6 +169,10 @@ class Store:
         entities = self._read(version, "entity", ENTITY)
         return Graph(entities, D.connected(self._read(version, "relation", RELATION).dropDuplicates(EDGE_KEY), entities))
 
+    def is_new(self) -> bool:
+        """Whether nothing has been written yet."""
+        return self._last() == 0
+
     def graph(self) -> Graph:
         """The current graph; empty if nothing has been written. Relations are unique and have both ends."""
         return self._at(self._pointer())

@@ -142,3 +142,32 @@ def test_summary_of_stored_scenarios(spark, tmp_path):
     assert e.benchmark_summary("ghost")["error"]["code"] == "benchmark_scenario_not_found"
     present = {(r["mode"], r["metric"]): r["present"] for r in B.metric_rows(made.where("of = 'fine'"), "mode").collect()}
     assert present["without_graph", "orientation.repo_scans"] and not present["with_graph", "orientation.repo_scans"]
+
+
+def test_workspace_has_one_identity(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/w", repository="one")
+    assert e.open()["error"]["code"] == "workspace_not_initialized"
+    told = e.start("Audit graph stats", "2026-01-01T00:00:00Z")["result"]
+    assert told["readiness"]["reasons"] == ["workspace_not_initialized"] and told["recommendation"]["what"] == "bootstrap"
+    assert [e.init()["result"]["already_exists"] for _ in range(2)] == [False, True] and e.open()["result"]["repository"] == "one"
+    other = Engine(spark, e.base, repository="two")
+    assert other.open()["error"]["code"] == other.init()["error"]["code"] == "workspace_mismatch"
+
+
+def test_batch_of_runs_with_usage_of_their_sessions(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/w")
+    e.lab_init()
+    e.files.write_json("lab/suite.json", {"schema_version": "v1", "suite_id": "s", "tasks": [{"task_id": t, "family": "verification_audit", "description": f"Audit {t}", "acceptance_criteria_ref": "r"} for t in ("t1", "t2")]})
+    at = "2026-01-01T00:00:00Z"
+    plan = e.lab_plan(7, at)["result"]
+    assert len(plan["entries"]) == 10
+    _log(tmp_path / "logs", "s1", _shut("m", m=(8, 4)))
+    _log(tmp_path / "logs", "s2", {"type": "user"})
+    own = {"schema_version": "v1", "metadata": META, "task": "T", "summary": "S"}
+    out = e.lab_batch(plan["batch_id"], "m", "delegated", at, at, outcomes={1: json.dumps(own)}, sessions={1: "s1", 2: "s2", 3: "ghost"}, logs=f"file://{tmp_path}/logs")["result"]
+    assert out["failed"] == 0 and len({r["run_id"] for r in out["runs"]}) == 10
+    runs = {r["run_id"]: r for r in ledger.runs(spark, f"{e.base}/lab").collect()}
+    by = {r["entry"]: runs[r["run_id"]]["telemetry"] for r in out["runs"]}
+    assert (by[1]["measurement_status"], by[1]["total_tokens"]) == ("complete", 12)
+    assert by[2]["incomplete_reasons"] == ["session_usage_unavailable"] and by[3]["incomplete_reasons"] == ["session_log_not_found"]
+    assert e.lab_batch("ghost", "m", "delegated", at, at)["error"]["code"] == "batch_plan_not_found"
