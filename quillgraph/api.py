@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import attribution, bench_summary, briefs, context, diff, evaluation, finish, health, lab, retrieval, seed, workflow
 from .sources import bench_files, ledger, workspace
-from .sources.files import staged
+from .sources.files import staged, staging
 from .sources.index import TextIndex
 from .sources.payload import EDGE, NODE, parse_edge, parse_node, read_payload
 from .sources.store import Graph, Store, StoreError
@@ -27,13 +27,14 @@ BROADCAST_ROWS = 10_000
 
 
 def command(name: str) -> Callable:
-    """A method whose result or failure becomes an envelope."""
+    """A method whose result or failure becomes an envelope; tables that it staged are deleted, as its result holds none."""
 
     def wrap(f: Callable) -> Callable:
         @wraps(f)
         def run(self, *args, **named) -> dict:
             try:
-                return {"schema_version": VERSION, "command": name, "status": "ok", "result": f(self, *args, **named)}
+                with staging(self.spark):
+                    return {"schema_version": VERSION, "command": name, "status": "ok", "result": f(self, *args, **named)}
             except (StoreError, ValueError) as e:
                 return {"schema_version": VERSION, "command": name, "status": "error", "error": {"category": "validation", "type": type(e).__name__, "code": getattr(e, "code", "invalid_argument"), "message": str(e), "details": {}}}
 

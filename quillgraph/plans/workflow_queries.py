@@ -377,7 +377,10 @@ def markdown_summary(spark: SparkSession, d: str) -> DataFrame:
     return markdown_summaries(docs, "doc_id", "text")
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0b\x85\p{Z}]+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, CASE WHEN strlen(t) <= 240 THEN t ELSE trim(left(t, list_max(list_filter(range(0, 238), lambda k: strlen(left(t, k)) <= 237)))) || '...' END AS excerpt FROM d"""
+)
 def text_excerpt(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", excerpt(F.col("text"), 240).alias("excerpt"))
 

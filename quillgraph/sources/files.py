@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,13 +80,31 @@ def remove(spark: SparkSession, path: str) -> None:
     file_system(spark, path).delete(_path(spark, path), True)
 
 
+#: Paths that staged() wrote within the innermost staging() block.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables that staged() writes in this block go with its end: for work whose results are on the driver by then."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        for path in _written.get():
+            remove(spark, path)
+        _written.reset(token)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back, for several uses; it goes when the driver's JVM ends."""
+    """df written once as Parquet in the shared folder and read back, for several uses; it goes with the staging() block around it, else when the driver's JVM ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_on_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if (within := _written.get()) is not None:
+        within.append(path)
     return out
 
 

@@ -212,3 +212,17 @@ def test_levels_of_overlapping_actions():
     for i, a in enumerate(actions):
         for b in actions[i + 1 :]:
             assert not set(a["target_ids"]) & set(b["target_ids"]) or place[a["id"]] < place[b["id"]]
+
+
+def test_commands_leave_no_staged_tables(spark, graph, tmp_path):
+    import os
+
+    from quillgraph.api import Engine
+    from quillgraph.sources.files import shared_dir
+
+    e = Engine(spark, f"file://{tmp_path}/w")
+    e.store.write(*graph, META)
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert e.query("what depends on auth?")["status"] == "ok" and e.stats()["status"] == "ok" and e.hygiene()["status"] == "ok"
+    assert {n for n in os.listdir(folder) if not n.startswith(".")} <= before

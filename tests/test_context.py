@@ -64,3 +64,30 @@ def test_excerpt_equals_its_python_form(spark):
     texts = ["é" * 10, "a" * 30, "ab  cd\n", "日本語" * 5, "", "x é日" * 9]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", excerpt(F.col("t"), 20).alias("e")).collect()
     assert [r["e"] for r in rows] == [cut_bytes(t, 20) for t in texts]
+
+
+def test_packing_by_groups_equals_packing_one_by_one(spark):
+    """Random results of several groups, packed in parallel and by the plain loop over each group."""
+    import random
+
+    from quillgraph.operators import context as C
+
+    r = random.Random(8)
+    word = lambda n: " ".join(r.choice(["alpha", "beta é", "x<y", "42", "a_b"]) for _ in range(n))
+    ref = lambda i: {"kind": r.choice("AB"), "from_id": f"n{i}", "to_id": f"n{r.randint(0, 9)}", "direction": r.choice([*C.PRIORITY, "other"])}
+    rows = []
+    for group in ("g1", "g2", "g3"):
+        for rank in range(1, r.randint(4, 12)):
+            refs = [ref(rank) for _ in range(r.randint(0, 4))]
+            rows.append((group, rank, r.choice([0.5, 2.0, 1e-7]), f"n{rank}", "K", word(r.randint(0, 4)), word(r.randint(0, 30)), [word(1)] * r.randint(0, 2), refs, "2026", None, "me", None, "s", None))
+    refs = "array<struct<kind:string,from_id:string,to_id:string,direction:string>>"
+    schema = f"g string, rank int, score double, id string, kind string, title string, summary string, matched_terms array<string>, graph_refs {refs}, created_at string, updated_at string, created_by string, updated_by string, created_session_id string, updated_session_id string"
+    df = spark.createDataFrame(rows, schema)
+    got = {}
+    for x in C.pack_groups(df, "g", 120).orderBy("rank").collect():
+        got.setdefault(x["g"], []).append((x["id"], x["packed"], x["tokens"]))
+    names = [c.split()[0] for c in schema.replace(refs, "x").split(", ")]
+    for group in ("g1", "g2", "g3"):
+        whole = C.pack([dict(zip(names, row)) for row in rows if row[0] == group], 120)
+        assert [C.render(x) for x in whole["results"]] == [p for _, p, _ in got[group]]
+        assert whole["estimated_tokens"] == sum(t for *_, t in got[group]) <= 120
