@@ -96,7 +96,7 @@ class Engine:
     def _ranked(self, graph: Graph, task: str, hits: DataFrame | None = None) -> DataFrame:
         if not task.strip():
             raise ValueError("a task is required")
-        found = retrieval.hybrid(graph.entities, graph.relations, task, hits=hits)
+        found = retrieval.hybrid(graph.entities, graph.relations, task, hits=hits, incoming=graph.incoming)
         return retrieval.ranked(found).join(graph.entities, "id")
 
     def _indexed(self, task: str) -> tuple[DataFrame, str]:

@@ -109,7 +109,7 @@ def _shown(result: dict) -> list[str]:
 
 
 def delegation_brief(task: str, kind: dict, asked: str, advice: dict, stats: dict, ready: tuple[str, str], revision: str | None, told: dict, packed: dict) -> str:
-    """The prompt for the agent that takes the task over."""
+    """The prompt for the agent that takes the task over (fixed section titles and line forms)."""
     sections = {
         "Kickoff advisory:": {
             "requested mode": asked,
@@ -138,7 +138,7 @@ def delegation_brief(task: str, kind: dict, asked: str, advice: dict, stats: dic
 
 
 def handoff_brief(outcome: dict, before: dict | None, after: dict | None, counts: dict) -> dict:
-    """The brief that a finished task leaves for the next agent."""
+    """The brief that a finished task leaves for the next agent (fixed section titles and line forms)."""
     mark = lambda text, form, value: text + form.format(value) if value else text
     decisions = [mark(d["summary"], " ({})", d["status"]) for d in outcome["decisions"]]
     artifacts = [mark(f"{a['path']} — {a['summary']}", " [{}]", a["change_type"]) for a in outcome["changed_artifacts"]]

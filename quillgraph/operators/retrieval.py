@@ -32,16 +32,23 @@ def boost(direction: Column) -> Column:
     return out
 
 
-def expand(relations: DataFrame, seeds: DataFrame, wanted: str) -> DataFrame:
+def expand(relations: DataFrame, seeds: DataFrame, wanted: str, incoming: DataFrame | None = None) -> DataFrame:
     """(id, direction, from_id, to_id, kind): what each relation that touches a seed gives to its ends.
 
     Exactly one case holds for a relation: the intent's case for DEPENDS_ON, else its from
     end is a seed, else its to end is. seeds: distinct ids as ``id``; relations are unique by
-    (from_id, kind, to_id), as the store returns them.
+    (from_id, kind, to_id), as the store returns them. With ``incoming``, the same keys
+    clustered by to_id, each end is looked up where the table lies and only touched
+    relations are moved to learn of their other end.
     """
-    edges = relations.select("from_id", "to_id", "kind")
     at = lambda c: seeds.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_seed"))
-    flagged = edges.join(at("from_id"), "from_id", "left").join(at("to_id"), "to_id", "left")
+    edges = relations.select("from_id", "to_id", "kind")
+    if incoming is None:
+        flagged = edges.join(at("from_id"), "from_id", "left").join(at("to_id"), "to_id", "left")
+    else:
+        out = edges.join(at("from_id"), "from_id").join(at("to_id"), "to_id", "left")
+        into = incoming.select("from_id", "to_id", "kind").join(at("to_id"), "to_id").join(at("from_id").select("from_id"), "from_id", "left_anti")
+        flagged = out.unionByName(into.withColumn("from_id_seed", F.lit(None).cast("boolean")))
     starts, ends = F.coalesce("from_id_seed", F.lit(False)), F.coalesce("to_id_seed", F.lit(False))
     depends = F.upper("kind") == "DEPENDS_ON"
     give = lambda end, direction: F.struct(F.col(end).alias("id"), F.lit(direction).alias("direction"))
@@ -60,15 +67,25 @@ def structural(expanded: DataFrame, refs: bool = True) -> DataFrame:
     return expanded.groupBy("id").agg(F.sum(boost(F.col("direction"))).alias("structural"), F.count(F.lit(1)).alias("n_refs"), *more)
 
 
-def hybrid(entities: DataFrame, relations: DataFrame, task: str, refs: bool = True, hits: DataFrame | None = None) -> DataFrame:
+def hybrid(
+    entities: DataFrame,
+    relations: DataFrame,
+    task: str,
+    refs: bool = True,
+    hits: DataFrame | None = None,
+    incoming: DataFrame | None = None,
+) -> DataFrame:
     """Candidates with score, text, structural, matched_terms, n_refs (and graph_refs): seeds and their neighbours that are entities.
 
     hits: what a stored index found for the task; without it all entities are searched.
+    incoming: keys of the relations of a stored graph clustered by to_id; both ends of its
+    relations are entities, so neighbours are not looked up again.
     """
     hits = search_entities(entities, task) if hits is None else hits
     found = hits.select(F.col("doc_id").alias("id"), F.col("score").alias("text"), "matched_terms")
-    near = structural(expand(relations, found.select("id"), intent(task)), refs)
-    near = near.join(entities.select("id"), "id", "left_semi")
+    near = structural(expand(relations, found.select("id"), intent(task), incoming), refs)
+    if incoming is None:
+        near = near.join(entities.select("id"), "id", "left_semi")
     fused = found.join(near, "id", "full_outer")
     text, struct_ = F.coalesce("text", F.lit(0.0)), F.coalesce("structural", F.lit(0.0))
     empty = F.array().cast("array<struct<kind:string,from_id:string,to_id:string,direction:string>>")

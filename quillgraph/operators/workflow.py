@@ -16,7 +16,7 @@ VERIFY_WORKFLOW_WORDS = ["workflow", "kickoff", "handoff", "delegated", "delegat
 REPORT_WORDS = ["report", "summarize", "summary", "synthesis", "synthesize", "debrief", "writeup", "analysis"]
 WORKFLOW_WORDS = ["workflow", "handoff", "delegated", "delegate", "bootstrap"]
 HYGIENE_WORDS = ["hygiene", "contradiction", "contradictory", "duplicate", "duplication", "orphan", "graph stats", "health indicator", "graph health"]
-
+# Fixed values that several policies suppress.
 _PLAIN = ["workflow_", "workflow-finish:"]
 _HEALTH = ["graph stats", "graph health", "health indicator", "duplicate", "duplication", "contradiction", "orphan"]
 # Fixed values of the policies: family, subprofile, allowed kinds, suppressed patterns, default mode,

@@ -30,6 +30,7 @@ def _notes(values: object) -> list[str]:
     return [n for n in map(_text, values or []) if n]
 
 
+# The messages of the rules below.
 def _checked(code: str, *rules: tuple[object, str]) -> None:
     """The first rule that does not hold is the error."""
     for holds, message in rules:

@@ -90,3 +90,16 @@ def test_pages_of_a_query(spark, graph, tmp_path):
     pages = [e.query("what depends on auth?", after=k, most=1)["result"] for k in range(3)]
     assert [r["id"] for p in pages for r in p["results"]] == [r["id"] for r in whole["results"]] and {p["total"] for p in pages} == {2}
     assert {r["id"] for r in e.explain("what depends on auth?", after=1, most=1)["result"]["reasons"]} == {whole["results"][1]["id"]}
+
+
+@pytest.mark.parametrize("wanted", ["none", "dependents", "dependencies"])
+def test_expansion_from_both_clusterings_equals_that_from_one_table(spark, wanted):
+    import random
+
+    r = random.Random(4)
+    nodes = [f"n{i}" for i in range(20)]
+    rows = sorted({(r.choice(nodes), r.choice(["DEPENDS_ON", "depends_on", "ABOUT"]), r.choice(nodes)) for _ in range(120)})
+    edges = spark.createDataFrame(rows, "from_id string, kind string, to_id string")
+    seeds = spark.createDataFrame([(n,) for n in nodes[:6]], "id string")
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    assert rows_of(R.expand(edges, seeds, wanted, edges)) == rows_of(R.expand(edges, seeds, wanted)) != []
