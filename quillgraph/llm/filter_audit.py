@@ -41,11 +41,12 @@ STEPS = (
 def local_failures(text: Column) -> dict[str, Column]:
     """The failure conditions that one text decides alone; no text and no words fail A, and nothing else."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words)
+    long = lambda c: c.cast("long")  # noqa: E731  (a hundred times an int may not be one)
+    n = long(F.size(words))
     return {
         "A": n < 100,
-        "B": 100 * F.size(F.array_distinct(words)) < 80 * n,
-        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 10 * F.length(text),
+        "B": 100 * long(F.size(F.array_distinct(words))) < 80 * n,
+        "C": 100 * long(F.regexp_count(text, F.lit("[A-Z]"))) > 10 * long(F.length(text)),
         "D": text.rlike(r"[#$%&*|]"),
     }
 

@@ -98,6 +98,13 @@ def test_audit_of_heavy_copies_and_of_nothing(spark):
     assert _audited(spark, [], [], []) == {}
 
 
+def test_texts_of_many_millions_of_characters(spark):
+    """A hundred times the capitals of a text of 30 million passes what an int holds."""
+    rows = spark.range(1).select(F.repeat(F.lit("A"), 30_000_000).alias("t"))
+    fails = {k: v.alias(k) for k, v in filter_audit.local_failures(F.col("t")).items()}
+    assert rows.select(*fails.values()).head().asDict() == {"A": True, "B": False, "C": True, "D": False}
+
+
 def test_polynomial_corners_and_integral_are_exact():
     r = random.Random(5)
     counts = {m: r.randrange(10**15) for m in range(32)}
