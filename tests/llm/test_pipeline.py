@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registry():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11)) and set(registry.ORACLE) <= set(registry.QUERIES)
+    assert numbers == list(range(1, 14)) and set(registry.ORACLE) <= set(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
