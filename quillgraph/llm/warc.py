@@ -293,6 +293,7 @@ def read_archive(stream) -> Iterator[Record]:
         begins = ahead.position
         if ahead.number(0, 4) != FRAME:
             raise BadArchive(f"no frame at byte {begins}")
+        ahead.have(18)  # a header may lie across two pieces; the last frame may be shorter
         try:
             about = zstandard.get_frame_parameters(ahead.held[ahead.at : ahead.at + 18])
             if not about.has_checksum or about.content_size == zstandard.CONTENTSIZE_UNKNOWN or about.dict_id != known:

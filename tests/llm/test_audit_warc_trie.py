@@ -166,6 +166,23 @@ def test_archives_without_dictionary_and_with_a_plain_one():
     assert list(warc.read_archive(io.BytesIO(b""))) == []
 
 
+class _Pieces(io.BytesIO):
+    """A stream that gives at most so many bytes at a time."""
+
+    def __init__(self, data: bytes, most: int):
+        super().__init__(data)
+        self.most = most
+
+    def read(self, n: int = -1) -> bytes:
+        return super().read(self.most if n < 0 else min(n, self.most))
+
+
+@pytest.mark.parametrize("most", [1, 5, 7, 64])
+def test_frames_may_begin_anywhere_in_a_piece(most):
+    data = _archive([_page(k, b"x" * k) for k in range(40)])
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in warc.read_archive(_Pieces(data, most))] == list(range(40))
+
+
 def test_broken_archives_are_refused():
     good = _archive([_page(1), _page(2)])
     whole = zstandard.ZstdCompressor(write_checksum=True)
