@@ -251,7 +251,7 @@ class Store:
         """Entities and relations that differ between two revisions, by the changes between them; by both snapshots where changes are missing."""
         rows = self.revision(before), self.revision(after)
         if (changes := self._changes_between(*rows)) is not None:
-            return D.entity_changes(changes["entity"]), D.relation_changes(changes["relation"])
+            return D.entity_changes(changes["entity"]), D.stored_relation_changes(changes["relation"])
         a, b = self.snapshot(before), self.snapshot(after)
         return D.diff_entities(a.entities, b.entities), D.diff_relations(a.relations, b.relations)
 

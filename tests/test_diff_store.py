@@ -30,6 +30,16 @@ def test_relation_retag_needs_one_on_each_side(spark):
     assert sorted(r["kind_after"] for r in two if r["change"] == "added") == ["DEPENDS_ON", "RELATES_TO"]
 
 
+def test_relations_meet_in_one_grouping(spark):
+    """Neither side is sorted or joined; properties that differ are an update, repeated relations count once."""
+    full = lambda rows: spark.createDataFrame(rows, "from_id string, kind string, to_id string, props_json string")
+    before = full([("a", "R", "b", '{"x":1,"y":2}'), ("a", "R", "c", None), ("a", "R", "c", "{}"), ("a", "R", "d", '{"x":1}')])
+    found = D.diff_relations(before, full([("a", "R", "b", '{"y":2,"x":1}'), ("a", "R", "c", " "), ("a", "R", "d", '{"x":2}')]))
+    assert [(r["to_id"], r["change"], r["kind_before"], r["kind_after"]) for r in found.collect()] == [("d", "updated", "R", "R")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan
+
+
 def test_blank_null_and_empty_props_are_equal(spark, graph):
     after = graph[0].withColumn("props_json", F.coalesce("props_json", F.lit("{}")))
     assert D.diff_entities(graph[0], after).isEmpty()
