@@ -272,3 +272,11 @@ def test_buckets_grow_with_the_rows(spark, graph, tmp_path, monkeypatch):
     store.write(many.select(*graph[0].columns), graph[1].limit(0), META)
     assert store._layout(store._pointer())["buckets"] == 43 and store.graph().entities.count() == 43
     assert store.graph().incoming.count() == 1 and store.graph().relations.count() == 1
+
+
+def test_an_empty_store_is_joined_with_nothing(spark, graph, tmp_path):
+    """A first write passes its rows through: no join, so no shuffle for one."""
+    now = Store(spark, f"file://{tmp_path}/empty").graph()
+    met = D.upsert(now.entities, graph[0], ["id"])
+    assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["change"] for r in met.collect()} == {"created"}
