@@ -63,3 +63,26 @@ def test_indicators_without_clustering(spark):
 def test_ends_are_distinct_before_they_meet_entities(spark, graph):
     plan = H.orphans(*graph)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftAnti") < plan.index("Aggregate")
+
+
+def test_ids_are_looked_up_by_number(spark):
+    ids = spark.createDataFrame([("part:3",), ("part:007",), ("part:x",), ("supplier:2",)], "id string")
+    df = spark.createDataFrame([(3,), (7,), (2,), (None,)], "k int")
+    marked = adapter._marked(df, "part", "k", "near", ids)
+    assert rows_of(marked) == rows_of(spark.createDataFrame([(3, True), (7, False), (2, False), (None, True)], "k int, near boolean"))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "HashedRelationBroadcastMode(List(input[0, bigint, true]" in plan
+
+
+@pytest.mark.parametrize("task", ["what depends on red widget?", "blue gear supplier overview", "what does blue gear depend on?"])
+def test_candidates_are_those_of_hybrid_with_counts_for_lists(spark, task):
+    e, r = adapter.entities(spark, SMALL), partial(adapter.relations, spark, SMALL)
+    found = R.candidates(e, r, task)
+    whole = R.hybrid(e, r, task).join(e, "id")
+    n = lambda d: F.size(F.filter("graph_refs", lambda x: x["direction"] == d)).cast("long").alias(d)
+    texts = ["id", "title", "updated_at", "matched_terms"]
+    assert rows_of(found.select(*texts, "graph_counts.*")) == rows_of(whole.select(*texts, *map(n, R.DIRECTIONS))) != []
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "FullOuter" not in plan and "LeftSemi" not in plan
+    scores = lambda df: rows_of(E.evaluate(df, task, "2024-06-01T00:00:00Z").drop("reason"))
+    assert scores(found) == scores(whole)
