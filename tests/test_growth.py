@@ -86,3 +86,23 @@ def test_candidates_are_those_of_hybrid_with_counts_for_lists(spark, task):
     assert "collect_list" not in plan and "FullOuter" not in plan and "LeftSemi" not in plan
     scores = lambda df: rows_of(E.evaluate(df, task, "2024-06-01T00:00:00Z").drop("reason"))
     assert scores(found) == scores(whole)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_remap_looks_each_end_up_once(spark, monkeypatch, most):
+    monkeypatch.setattr(H, "MOST_MEMBERS", most)
+    ids = [f"n{k}" for k in range(40)]
+    edges = [(a, kind, b) for i, a in enumerate(ids) for j, b in enumerate(ids) for kind in ("x", "y") if (7 * i + 3 * j + len(kind)) % 5 < 2 or i == j]
+    edges += [(None, "x", "n1"), ("n1", "x", None)]
+    into = {x: ids[k - k % 4] for k, x in enumerate(ids[:24]) if k % 4}
+    want = {}
+    for a, kind, b in sorted(e for e in edges if None not in e):
+        key = (into.get(a, a), kind, into.get(b, b))
+        if key[0] != key[2]:
+            want.setdefault(key, (f"{a}{b}", a, b))
+    relations = spark.createDataFrame([(*e, f"{e[0]}{e[2]}") for e in edges], "from_id string, kind string, to_id string, props_json string")
+    got = H.remap(relations, spark.createDataFrame(list(into.items()), "id string, canonical_id string"), ends=True)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()} == want and got.count() == len(want)
+    if most == 0:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 4 and "LeftSemi" not in plan and "LeftAnti" not in plan
