@@ -106,3 +106,13 @@ def test_remap_looks_each_end_up_once(spark, monkeypatch, most):
     if most == 0:
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == 4 and "LeftSemi" not in plan and "LeftAnti" not in plan
+
+
+@pytest.mark.parametrize("alive", [True, False])
+def test_continuing_scores_once(spark, alive):
+    rows = [("a", 0.7, "survived" if alive else "trimmed"), ("b", 0.5, "trimmed"), ("c", 0.1, "rejected")]
+    scored = spark.createDataFrame(rows, "id string, composite double, fate string")
+    found = E.bundle(scored, "continue")
+    assert rows_of(found) == (rows[:1] if alive else rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "LogicalRDD" not in plan and "LocalRelation" not in plan
