@@ -116,3 +116,13 @@ def test_continuing_scores_once(spark, alive):
     assert rows_of(found) == (rows[:1] if alive else rows)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in plan and "LogicalRDD" not in plan and "LocalRelation" not in plan
+
+
+def test_the_best_candidate_comes_from_one_pass(spark):
+    rows = [("b", 0.7, "survived"), ("a", 0.7, "survived"), ("c", 0.9, "trimmed"), ("d", 0.1, "rejected")]
+    scored = spark.createDataFrame(rows, "id string, composite double, fate string")
+    found = E.bundle(scored, "minimal")
+    assert rows_of(found) == rows[1:2] and found.columns == scored.columns
+    assert rows_of(E.bundle(scored.where("id > 'b'"), "minimal")) == rows[2:3]
+    assert rows_of(E.bundle(scored.limit(0), "minimal")) == []
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
