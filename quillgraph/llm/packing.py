@@ -59,6 +59,11 @@ class Packer:
         n = len(piece[2]) // 4
         return n, 1, max(0, piece[1] + n - max(piece[1], piece[4]))
 
+    @staticmethod
+    def unlearned(piece: tuple) -> int:
+        """Tokens at the head of a piece that bear no loss."""
+        return max(0, min(piece[4] - piece[1], len(piece[2]) // 4))
+
     def put(self, pieces: list[tuple], closed_by: str) -> None:
         """Close a sequence."""
         offset = 0
@@ -86,6 +91,7 @@ class Packer:
         """Fill sequences until the pool holds at most ``leave`` pieces."""
         pool = self.pool
         need = np.array([self.demand(p) for p in pool], float)
+        prompts = np.array([self.unlearned(p) for p in pool], np.int64)
         free = np.ones(len(pool), bool)
         if not pool:
             return
@@ -110,12 +116,12 @@ class Packer:
                     head, pool[k] = self.split(pool[k], int(min(left[0], left[2] + max(0, pool[k][4] - pool[k][1]))))
                     chosen.append(head)
                     left -= self.demand(head)
-                    need[k] = self.demand(pool[k])
+                    need[k], prompts[k] = self.demand(pool[k]), self.unlearned(pool[k])
                 else:
                     break
             closed_by = "tokens" if left[0] == 0 and size == self.capacity else "end" if left[0] == 0 else "segments" if left[1] == 0 else "loss"
             if closed_by == "loss":
-                left_over -= self.fill_with_prompts(chosen, left, free, need)
+                left_over -= self.fill_with_prompts(chosen, left, free, need, prompts)
             used = sum(len(p[2]) for p in chosen) // 4
             if size == self.capacity and used >= FULL * self.capacity:
                 self.put(chosen, closed_by)
@@ -133,19 +139,20 @@ class Packer:
                 left_over += 1
                 pool.append(tail)
                 need = np.vstack([need, self.demand(tail)])
+                prompts = np.append(prompts, self.unlearned(tail))
                 free = np.append(free, True)
             self.put(chosen, closed_by)
             waiting -= sum(len(p[2]) for p in chosen) // 4
         self.pool = [p for p, x in zip(pool, free) if x]
 
-    def fill_with_prompts(self, chosen: list[tuple], left: np.ndarray, free: np.ndarray, need: np.ndarray) -> int:
+    def fill_with_prompts(self, chosen: list[tuple], left: np.ndarray, free: np.ndarray, need: np.ndarray, prompts: np.ndarray) -> int:
         """Put heads of prompts, which bear no loss, into a sequence that may bear no more; longest first, none under LEAST_HEAD tokens.
 
         Returns how many pieces of the pool went in whole.
         """
         pool, whole = self.pool, 0
-        prompt = np.array([max(0, min(p[4] - p[1], len(p[2]) // 4)) for p in pool]) * free
-        for k in np.argsort(-prompt, kind="stable").tolist():
+        prompt = prompts * free
+        for k in np.argsort(-prompt, kind="stable"):
             n = int(min(prompt[k], left[0]))
             if n < LEAST_HEAD or left[1] < 1:
                 break
@@ -154,7 +161,7 @@ class Packer:
                 whole += 1
             else:
                 head, pool[k] = self.split(pool[k], n)
-                need[k] = self.demand(pool[k])
+                need[k], prompts[k] = self.demand(pool[k]), self.unlearned(pool[k])
             chosen.append(head)
             left -= self.demand(head)
         return whole

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import base64
 import os
-import re
-from itertools import compress
-from operator import add
+from itertools import chain
 
 import numpy as np
 
+from .common import blocks, mix, word_spans
+
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-#: Words of a generation of a worker's cache; it keeps two.
-CACHE_WORDS = 400_000
+#: Most units of words, with four times as many ids, that a worker's cache takes before it begins anew, and its places, as a power of two.
+CACHE_WORDS, PLACES = 2_000_000, 21
+#: Characters of texts that are looked up at once.
+BLOCK = 1 << 20
 #: Punctuation that may follow a word without changing how it is split; not the apostrophe, which begins endings.
 _AFTER = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: For texts with U+001C to U+001F, white space to Python but not to the tokenizer.
-_WHITE = re.compile(r"[\x20\x09-\x0D]+")
+_TAIL = np.isin(np.arange(256), list(_AFTER.encode()))
+#: Bytes of other characters than small letters below U+0250: all but a to z, the lead bytes of U+00C0 to U+023F, and those that follow a lead byte.
+_ODD = ~np.isin(np.arange(256), [*range(97, 123), *range(0xC3, 0xC9), *range(0x80, 0xC0)])
+#: Masks of the first bytes of a lane.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _loaded: dict = {}
 
 
@@ -38,10 +43,12 @@ def forget() -> None:
 class WordBpe:
     """The word-level BPE. It drops white space and never merges across it, so a text's ids are those of its words, one after another.
 
-    A worker keeps the words of its last texts in two generations. New words of letters
-    below U+0250, with or without punctuation after them, go to the BPE model without the
-    normaliser and the splitter, which would find nothing to do once they are lower-cased;
-    all others take the whole tokenizer.
+    Words are spans of a block's bytes. A word of letters below U+0250 splits into those and
+    the punctuation after them, any other is one unit. A unit of at most 15 bytes is itself
+    the key, as two 64-bit lanes, of a table with one place for each hash; what is not there
+    is encoded once a block. Units of letters go to the BPE model without the normaliser and
+    the splitter, which would find nothing to do once they are lower-cased; all others take
+    the whole tokenizer.
     """
 
     def __init__(self, name: str = WORD_BPE):
@@ -56,79 +63,129 @@ class WordBpe:
         self.ends = np.array([(self.model.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.shown = {b: 256 + k for k, b in enumerate(hidden)}
-        self.parts: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _heads(self, heads: list[str]) -> list[bytes]:
-        """Ids of words of letters: each ends with its only token that carries the word end."""
-        out: list[bytes] = []
-        for i in range(0, len(heads), 2000):
-            part = heads[i : i + 2000]
-            text = " ".join([x if x.isascii() else x.encode().decode("latin-1").translate(self.shown) for x in part])
-            ids = np.asarray(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stop) != len(part):
-                out += self._whole(part)
+        self.shown = np.arange(256, dtype="<u2")
+        self.shown[hidden] = 256 + np.arange(len(hidden))
+        self.shown[32] = 32
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget all units: lanes, first id and number of ids by place, the ids, and longer units by their bytes."""
+        self.low, self.high = np.zeros(1 << PLACES, np.uint64), np.zeros(1 << PLACES, np.uint64)
+        self.begin, self.count = np.zeros(1 << PLACES, np.int32), np.zeros(1 << PLACES, np.int32)
+        self.store, self.used, self.words = np.zeros(1 << 16, np.uint32), 0, 0
+        self.long: dict[bytes, tuple[int, int]] = {}
+
+    def _whole(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after another, and how many each has."""
+        own = [e.ids for e in self.model.encode_batch_fast([raw[i:j].tobytes().decode() for i, j in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(own), np.uint32), np.fromiter(map(len, own), np.int64, len(own))
+
+    def _letters(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _whole(), of words of letters: each ends with its only token that carries the word end."""
+        out = []
+        for i in range(0, len(starts), 2000):
+            a, b = starts[i : i + 2000], ends[i : i + 2000]
+            after = np.cumsum(b - a + 1)
+            text = raw[np.repeat(b + 1 - after, b - a + 1) + np.arange(after[-1])]
+            text[after - 1] = 32
+            shown = self.shown[text].tobytes().decode("utf-16-le")
+            ids = np.asarray(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            out.append((ids, np.diff(stop, prepend=0)) if len(stop) == len(a) else self._whole(raw, a, b))
+        return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
+
+    def _add(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the ids of units: first id in the store and number of ids of each."""
+        need = self.used + len(ids)
+        if need > len(self.store):
+            self.store = np.concatenate([self.store[: self.used], np.zeros(2 * need - self.used, np.uint32)])
+        self.store[self.used : need] = ids
+        begin = self.used + np.cumsum(n) - n
+        self.used, self.words = need, self.words + len(n)
+        return begin, n
+
+    def _find(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id in the store and number of ids of each unit; raw has 16 bytes more than the units reach."""
+        length = ends - starts
+        lane = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        low = lane[starts] & _KEEP[np.minimum(length, 8)]
+        high = lane[starts + 8] & _KEEP[np.clip(length - 8, 0, 7)] | np.minimum(length, 16).astype(np.uint64) << np.uint64(56)
+        place = (mix(low ^ mix(high)) >> np.uint64(64 - PLACES)).astype(np.int64)
+        begin, count = self.begin[place].astype(np.int64), self.count[place].astype(np.int64)
+        known = (self.low[place] == low) & (self.high[place] == high)
+        short = length < 16
+        for kind, encode in ((letters, self._letters), (~letters, self._whole)):
+            new = np.flatnonzero(kind & short & ~known)
+            if not len(new):
                 continue
-            raw, at = ids.tobytes(), [0, *stop.tolist()]
-            out += [raw[a:b] for a, b in zip(at, at[1:])]
-        return out
-
-    def _new(self, words: list[str]) -> None:
-        """Add words to the cache: a head of letters and a tail of punctuation each, where that is all there is to a word."""
-        lowered = "\n".join(words).lower().split("\n")
-        heads = [x.rstrip(_AFTER) for x in lowered]
-        plain = [h.isalpha() and (h.isascii() or max(h) < "\u0250") for h in heads]
-        tails = [x[len(h) :] for x, h in zip(lowered, heads)]
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        parts = self.parts
-        fresh = set(compress(heads, plain)).difference(parts)
-        parts.update(zip(fresh, self._heads(list(fresh))))
-        fresh = set(tails).difference(parts)
-        parts.update(zip(fresh, self._whole(list(fresh))))
-        get = parts.__getitem__
-        self.known.update(zip(compress(words, plain), map(add, map(get, compress(heads, plain)), map(get, compress(tails, plain)))))
-        odd = [w for w, ok in zip(words, plain) if not ok]
-        self.known.update(zip(odd, self._whole(odd)))
+            order = new[np.lexsort((low[new], high[new]))]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+            first = order[fresh]
+            b, n = self._add(*encode(raw, starts[first], ends[first]))
+            of = np.cumsum(fresh) - 1
+            begin[order], count[order] = b[of], n[of]
+            at, one = np.unique(place[first], return_index=True)
+            self.low[at], self.high[at], self.begin[at], self.count[at] = low[first[one]], high[first[one]], b[one], n[one]
+        if len(rest := np.flatnonzero(~short)):
+            units = [raw[i:j].tobytes() for i, j in zip(starts[rest].tolist(), ends[rest].tolist())]
+            new = {x: i for x, i in zip(units, rest.tolist()) if x not in self.long}
+            if new:
+                first = np.array(list(new.values()))
+                b, n = self._add(*self._whole(raw, starts[first], ends[first]))
+                self.long.update(zip(new, zip(b.tolist(), n.tolist())))
+            begin[rest], count[rest] = np.array([self.long[x] for x in units]).T
+        return begin, count
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a block of texts, the first id of each word, the first word of each text (the last two with an entry for the total)."""
+        same = [i for i, x in enumerate(texts) if "Σ" in x or "<|" in x]  # the tokenizer would lower-case these otherwise
+        lowered = [x.lower() for x in texts]
+        for i in same:
+            lowered[i] = texts[i]
+        parts = [x.encode() for x in lowered]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+        padded = np.frombuffer(b"".join([*parts, bytes(16)]), np.uint8)
+        raw = padded[:-16]
+        starts, ends, first = word_spans(raw, at)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64), first
+        odd = _ODD[raw]
+        odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))  # the signs of multiplication and division
+        for i in same:
+            odd[at[i] : at[i + 1]] |= raw[at[i] : at[i + 1]] >= 0x80
+        place = np.arange(1, len(raw) + 1, dtype=np.int32)
+        place[_TAIL[raw]] = 0
+        middle = np.maximum(np.maximum.accumulate(place)[ends - 1], starts)  # after the last byte that is no punctuation
+        odds = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(odd, out=odds[1:], dtype=np.int32)
+        letters = (middle > starts) & (odds[middle] == odds[starts])
+        middle = np.where(letters, middle, ends)
+        begin, count = np.zeros((len(starts), 2), np.int64), np.zeros((len(starts), 2), np.int64)
+        begin[:, 0], count[:, 0] = self._find(padded, starts, middle, letters)
+        tail = np.flatnonzero(middle < ends)
+        begin[tail, 1], count[tail, 1] = self._find(padded, middle[tail], ends[tail], np.zeros(len(tail), bool))
+        total = np.concatenate([[0], np.cumsum(count.ravel())])
+        ids = self.store[np.repeat(begin.ravel() - total[:-1], count.ravel()) + np.arange(total[-1])]
+        return ids, total[::2], first
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
-        return [b"".join(parts) for parts in self._encoded(texts)]
+        return [own for own, _ in self.ids_and_heads(texts, [""] * len(texts))]
 
     def ids_and_heads(self, texts: list[str], heads: list[str]) -> list[tuple[bytes, int]]:
         """Ids of each whole text, and how many of them are of words that begin in its head (a prefix that ends in white space)."""
-        out = []
-        for text, head, parts in zip(texts, heads, self._encoded(texts)):
-            k = len(_words(head, like=text)) if head else 0
-            out.append((b"".join(parts), sum(map(len, parts[:k])) // 4))
+        out: list[tuple[bytes, int]] = []
+        for i, j in blocks(np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)]), BLOCK):
+            if self.words > CACHE_WORDS or self.used > 4 * CACHE_WORDS:
+                self._clear()
+            ids, at, first = self._block(texts[i:j])
+            own = [x.encode() for x in heads[i:j]]
+            _, _, before = word_spans(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)]))
+            edges, prompts = at[first].tolist(), (at[first[:-1] + np.diff(before)] - at[first[:-1]]).tolist()
+            out += [(ids[a:b].tobytes(), n) for a, b, n in zip(edges, edges[1:], prompts)]
         return out
 
-    def _encoded(self, texts: list[str]) -> list[list[bytes]]:
-        """Ids of each word of each whole text."""
-        texts = [x if "Σ" in x or "<|" in x else x.lower() for x in texts]  # else the tokenizer would lower-case otherwise
-        split = [_words(x, like=x) for x in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.old, self.known = self.known, {}
-        missing = set().union(*split).difference(self.known)
-        again = missing & self.old.keys()
-        self.known.update(zip(again, map(self.old.__getitem__, again)))
-        self._new(list(missing.difference(again)))
-        get = self.known.__getitem__
-        return [list(map(get, words)) for words in split]
-
-
-def _words(text: str, like: str) -> list[str]:
-    """Words between white space of the tokenizer, which differs from Python's in texts that hold the separators U+001C to U+001F."""
-    if "\x1c" in like or "\x1d" in like or "\x1e" in like or "\x1f" in like:
-        return [w for w in _WHITE.split(text) if w]
-    return text.split()
-
 
 def word_bpe(name: str = WORD_BPE) -> WordBpe:
     """One model a worker."""

@@ -82,6 +82,61 @@ def test_word_ids_equal_the_whole_tokenizer(monkeypatch):
         assert model.ids(part) == [np.asarray(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
 
 
+def test_words_of_a_batch_are_no_objects():
+    """Texts are looked up as spans of bytes: each word as a string took 70 bytes and most of the CPU seconds of op6."""
+    import tracemalloc
+
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 6))) for _ in range(3000)]
+    texts = [" ".join(r.choices(words, k=20_000)) for _ in range(200)]
+    model = word_bpe()
+    want = model.ids(texts[:1])
+    tracemalloc.start()
+    got = model.ids(texts)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got[:1] == want and peak < 40 * len(texts) * 20_000
+
+
+def test_units_of_words_at_the_edges_of_the_cache(monkeypatch):
+    """Units of 7, 8, 15 and 16 bytes, with zero bytes, letters that are none, a cache of few places and one that is emptied."""
+    from tokenizers import Tokenizer
+
+    from quillgraph.llm import tokens
+
+    whole, r = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), random.Random(11)
+    texts = [" ".join("".join(r.choice(a) for _ in range(n)) + b for n in (1, 7, 8, 9, 15, 16, 17)) for a in ("a", "ab", "é", "aé×", "aªº", "a\0", ".", "a1", "É") for b in ("", ".", "!" * 15, "!" * 16, "×", "'s")]
+    texts += ["Σ " + x for x in texts] + ["x" + "\0" * n for n in range(17)]
+    monkeypatch.setattr(tokens, "PLACES", 4, raising=False)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    monkeypatch.setattr(tokens, "BLOCK", 300, raising=False)
+    model = tokens.WordBpe()
+    for part in (texts, texts[::-1], [x for x in texts for _ in range(2)]):
+        assert model.ids(part) == [np.asarray(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
+
+
+def test_filling_with_prompts_does_not_walk_the_pool():
+    """A sequence that loss closed once took three Python calls for each piece of the pool."""
+    import sys
+
+    r, calls = random.Random(10), 0
+    packer = packing.Packer(0, packing.INSTRUCTION)
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        for i in range(1500):
+            packer.add(i, bytes(4 * r.randint(100, 1500)), r.randint(1, 40))
+        packer.fill(0)
+    finally:
+        sys.setprofile(None)
+    by_loss = {x[5] for x in packer.rows if x[8] == "loss"}
+    assert len(by_loss) > 50 and calls < 1000 * packer.next
+
+
 def check_packing(rows, pieces, limits=(2048, 128, 2048)):
     """Each id in one piece, gapless sequences within the limits, padded by a tenth at most. rows: (doc_id, text). Returns the padding's share."""
     whole = {}
