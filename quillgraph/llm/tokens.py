@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from itertools import chain
 
 import numpy as np
 
-from .common import blocks, mix, word_spans
+from .common import WHITE, blocks, mix, word_spans
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -23,6 +24,7 @@ _TAIL = np.isin(np.arange(256), list(_AFTER.encode()))
 _ODD = ~np.isin(np.arange(256), [*range(97, 123), *range(0xC3, 0xC9), *range(0x80, 0xC0)])
 #: Masks of the first bytes of a lane.
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_WHITE = re.compile(r"[\x20\x09-\x0D]")
 _loaded: dict = {}
 
 
@@ -177,6 +179,10 @@ class WordBpe:
         """Ids of each whole text, and how many of them are of words that begin in its head (a prefix that ends in white space)."""
         out: list[tuple[bytes, int]] = []
         for i, j in blocks(np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)]), BLOCK):
+            if len(texts[i]) > BLOCK and len(cuts := pieces(texts[i], BLOCK)) > 1:
+                parts = [self.ids_and_heads([texts[i][a:b]], [heads[i][a:b]])[0] for a, b in cuts]
+                out.append((b"".join(own for own, _ in parts), sum(n for _, n in parts)))
+                continue
             if self.words > CACHE_WORDS or self.used > 4 * CACHE_WORDS:
                 self._clear()
             ids, at, first = self._block(texts[i:j])
@@ -187,6 +193,19 @@ class WordBpe:
         return out
 
 
+def pieces(text: str, most: int) -> list[tuple[int, int]]:
+    """Where to cut a text behind white space into parts of at most ``most`` characters, or of one longer word."""
+    out, at = [], 0
+    while len(text) - at > most:
+        end = 1 + max(text.rfind(c, at, at + most) for c in WHITE)
+        if not end:
+            found = _WHITE.search(text, at + most)
+            end = found.end() if found else len(text)
+        out.append((at, end))
+        at = end
+    return out + [(at, len(text))] * (at < len(text))
+
+
 def word_bpe(name: str = WORD_BPE) -> WordBpe:
     """One model a worker."""
     if name not in _loaded:

@@ -115,6 +115,26 @@ def test_units_of_words_at_the_edges_of_the_cache(monkeypatch):
         assert model.ids(part) == [np.asarray(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
 
 
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    """A text longer than a block never has all of its words at hand; its ids and those of its head are the same."""
+    from quillgraph.llm import tokens
+
+    r = random.Random(12)
+    texts = ["".join(r.choice("ab É.\n\t\x1cΣ<|\u3000") for _ in range(n)) for n in (0, 39, 40, 41, 500, 3000)] + ["a" * 500 + "\nb c" + "d" * 500, "x " * 300 + "\ny", "a" * 200]
+    heads = [packing.prompt_of(x, r.choice([1, 5, 20])) for x in texts]
+    want = word_bpe().ids_and_heads(texts, heads)
+    monkeypatch.setattr(tokens, "BLOCK", 40)
+    assert word_bpe().ids_and_heads(texts, heads) == want
+    for x in texts:
+        cuts = tokens.pieces(x, 40)
+        assert "".join(x[a:b] for a, b in cuts) == x and all(b - a <= 40 or not any(c in x[a : b - 1] for c in tokens.WHITE) for a, b in cuts)
+    texts, most = ["ab cd. " * 1_200_000], []
+    monkeypatch.setattr(tokens, "BLOCK", 1 << 20)
+    block = tokens.WordBpe._block
+    monkeypatch.setattr(tokens.WordBpe, "_block", lambda self, part: most.append(sum(map(len, part))) or block(self, part))
+    assert word_bpe().ids(texts) == [word_bpe().ids(["ab cd."])[0] * 1_200_000] and max(most) <= 1 << 20
+
+
 def test_filling_with_prompts_does_not_walk_the_pool():
     """A sequence that loss closed once took three Python calls for each piece of the pool."""
     import sys
