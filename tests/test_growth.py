@@ -5,6 +5,7 @@ from functools import partial, reduce
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.operators import diff as D
 from quillgraph.operators import evaluation as E
 from quillgraph.operators import health as H
 from quillgraph.operators import retrieval as R
@@ -54,6 +55,38 @@ def test_opponents_are_counted_up_to_two(spark, monkeypatch, most):
     assert {r["id"]: r["n_opposed"] for r in E.opposed_among(rows).collect()} == exact != {}
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_opponents_among_stored_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(E, "MOST_TERMS", most)
+    table = lambda texts, p: spark.createDataFrame([(f"{p}{k}", t) for k, t in enumerate(texts)], "id string, terms array<string>")
+    rows = table([["x", "enabled"], ["y", "stale"], ["allow", "z"], ["w", "ready"], ["alone", "enabled"], ["v", "enabled", "disabled"], ["plain"]], "t")
+    stored = table([["disabled", "x"], ["y", "active"], ["y", "active", "z"], ["deny", "z"], ["alone", "enabled"], ["v", "enabled", "disabled"]], "t")
+    exact = {}
+    for a, _ in rows_of(E.conflicts(rows, stored, but_itself=False)):
+        exact[a] = min(2, exact.get(a, 0) + 1)
+    got = E.opposed_among(rows, stored)
+    assert {r["id"]: r["n_opposed"] for r in got.collect()} == exact != {}
+    assert rows_of(got) == rows_of(E.opposed_by(rows, E.stances(stored), but_itself=False))
+
+
+def test_equal_relations_are_found_where_their_ends_are(spark):
+    keys, schema = ["from_id", "kind", "to_id"], "from_id string, kind string, to_id string, props_json string"
+    edges = [("a", "x", "b", None), ("a", "x", "b", None), ("a", "y", "c", '{"k":1}'), ("c", "x", "lost", None), (None, "x", "b", None)]
+    relations, ids = spark.createDataFrame(edges, schema), spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert rows_of(D.connected_once(relations, ids)) == sorted({edges[0], edges[2]}, key=repr)
+    assert D.lacks_ends(relations, ids) and not D.lacks_ends(relations.limit(3), ids)
+    current = spark.createDataFrame([("a", "x", "b", None), ("a", "y", "c", '{"k":2}'), ("b", "x", "c", None)], schema)
+    incoming = spark.createDataFrame([("a", "y", "c", '{"k":1}'), ("c", "x", "a", None)], schema)
+    moves = D.sync_diff(current, incoming.unionByName(current.limit(1)), keys)
+    assert rows_of(moves) == [("a", "y", "c", "updated"), ("b", "x", "c", "removed"), ("c", "x", "a", "created")]
+    plan = moves._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
+    part = lambda change: moves.where(F.col("change") == change)
+    want = D.upsert(current, incoming, keys).where("from_id <> 'b'").drop("change")
+    assert rows_of(D.rewritten(current, incoming, keys, part("updated"), part("removed"))) == rows_of(want)
+    assert rows_of(D.rewritten(current.limit(0), incoming, keys, None, None)) == rows_of(incoming)
+
+
 def test_indicators_without_clustering(spark):
     e, r = adapter.entities(spark, SMALL), adapter.relations(spark, SMALL)
     whole, some = H.indicators(e, r).head().asDict(), H.indicators(e, r, clustered=False).head().asDict()
